@@ -1,16 +1,16 @@
 """Exact quantiles that never hold a whole column in one task.
 
-Up to ``ONE_PASS_ROWS`` rows the built-in ``percentile`` answers in one aggregate; its state is one
-map of distinct values, so the row count bounds it. Beyond that the wanted ranks are bracketed:
-a bounded sketch proposes two values around each rank, one counting scan proves that the rank lies
-between them, and this repeats until a bracket holds few enough rows to be sorted. Every step is a
-scan with map-side aggregation; no rows are shuffled and ties of any size are harmless.
+The built-in ``percentile`` keeps one map of distinct values, so it serves columns with a small
+(estimated) number of distinct values, whatever their row count. For the others the wanted ranks
+are bracketed: a bounded sketch proposes two values around each rank, one counting scan proves
+where the rank lies, and this repeats until a bracket holds few enough rows to be sorted. Every
+step is a scan with map-side aggregation; no rows are shuffled and ties of any size are harmless.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,121 +18,182 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.scalars import number
 
-ONE_PASS_ROWS = 2_000_000
-BRACKET_ROWS = 20_000
+MAP_VALUES = 50_000        # distinct values the built-in aggregate may hold
+BRACKET_ROWS = 20_000      # rows of one bracket that may be sorted in one task
 SKETCH_ACCURACY = 10_000
 
 Wanted = Mapping[str, Sequence[float]]
 Answer = dict[str, dict[float, float | None]]
 
 
+@dataclass(frozen=True)
+class Extent:
+    """What a first scan knows of a column."""
+
+    known: int
+    low: float | None
+    high: float | None
+    distinct: int  # a guess within a small factor
+
+
 @dataclass
 class _Bracket:
-    """Closed value range [low, high] known to hold the two ranks around one quantile."""
+    """Closed value range [low, high] known to hold the row of one rank."""
 
     column: str
-    share: float
-    rank: int          # zero-based rank of the lower neighbour
-    above: int         # rank of the upper neighbour
-    weight: float      # how far the quantile lies towards the upper neighbour
+    rank: int      # zero-based
     low: float
     high: float
-    below: int         # rows under ``low``
-    inside: int        # rows within the bracket
+    below: int     # rows under ``low``
+    inside: int    # rows within the bracket
+    stalled: bool = False
+
+
+def extent_columns(columns: Iterable[str]) -> list[Column]:
+    """Count, range and two 64-bit distinct sketches; all of it stays in generated code."""
+    return [measure.alias(f"{c}_{name}") for c in columns for name, measure in (
+        ("known", F.count(c)), ("low", F.min(c)), ("high", F.max(c)), *_distinct_sketches(c))]
+
+
+def _distinct_sketches(c: str) -> list[tuple[str, Column]]:
+    mixed = F.xxhash64(F.col(c)).bitwiseAND(F.lit(2**62 - 1))
+    lowest_bit = mixed.bitwiseAND(-mixed)
+    slot = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(mixed, F.lit(64)).cast("int"))
+    known = F.col(c).isNotNull()
+    return [("slots", F.bit_or(F.when(known, slot))), ("runs", F.bit_or(F.when(known, lowest_bit)))]
+
 
+def distinct_guess(slots: int | None, runs: int | None) -> int:
+    """Linear counting for few values, else the magnitude from the longest run of zero bits.
 
-def quantiles(df: DataFrame, wanted: Wanted, rows: int | None = None,
-              one_pass_rows: int = ONE_PASS_ROWS, bracket_rows: int = BRACKET_ROWS,
+    The number of filled slots never exceeds the true count.
+    """
+    filled = ((slots or 0) & (2**64 - 1)).bit_count()
+    if filled < 40:
+        return round(64 * math.log(64 / (64 - filled)))
+    bits = (runs or 0) & (2**64 - 1)
+    lowest_zero = next(i for i in range(65) if not bits >> i & 1)
+    return max(64, round(2**lowest_zero / 0.77351))
+
+
+def read_extent(row, key: str) -> Extent:
+    return Extent(row[f"{key}_known"], row[f"{key}_low"], row[f"{key}_high"],
+                  distinct_guess(row[f"{key}_slots"], row[f"{key}_runs"]))
+
+
+def quantiles(df: DataFrame, wanted: Wanted, extents: Mapping[str, Extent] | None = None,
+              map_values: int = MAP_VALUES, bracket_rows: int = BRACKET_ROWS,
               accuracy: int = SKETCH_ACCURACY) -> Answer:
     """Linearly interpolated quantiles of several numeric columns."""
     wanted = {c: sorted(set(map(float, p))) for c, p in wanted.items() if p}
     if not wanted:
         return {}
-    slim = df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(wanted)])
-    keys = {f"c{i}": c for i, c in enumerate(wanted)}
-    if rows is None:
-        rows = slim.count()
-    if rows <= one_pass_rows:
-        found = slim.agg(*one_pass_columns({k: wanted[c] for k, c in keys.items()})).first()
-        return {c: dict(zip(wanted[c], found[k] or [None] * len(wanted[c])))
-                for k, c in keys.items()}
-    found = _bracketed(slim, {k: wanted[c] for k, c in keys.items()}, bracket_rows, accuracy)
-    return {c: found[k] for k, c in keys.items()}
-
-
-def one_pass_columns(wanted: Wanted) -> list[Column]:
-    return [F.percentile(F.col(c), F.array(*[F.lit(p) for p in shares])).alias(c)
+    keys = {c: f"c{i}" for i, c in enumerate(wanted)}
+    slim = df.select(*[number(c).alias(k) for c, k in keys.items()])
+    if extents is None:
+        m = slim.agg(*extent_columns(keys.values())).first()
+        extents = {c: read_extent(m, k) for c, k in keys.items()}
+    few = {keys[c]: p for c, p in wanted.items() if extents[c].distinct <= map_values}
+    many = {keys[c]: p for c, p in wanted.items() if extents[c].distinct > map_values}
+    found: Answer = {}
+    if few:
+        found |= read_maps(slim.agg(*map_columns(few)).first(), few)
+    if many:
+        sizes = {keys[c]: e for c, e in extents.items() if c in keys}
+        found |= _bracketed(slim, many, sizes, bracket_rows, accuracy)
+    return {c: found[k] for c, k in keys.items()}
+
+
+def map_columns(wanted: Wanted) -> list[Column]:
+    return [F.percentile(F.col(c), F.array(*[F.lit(float(p)) for p in shares])).alias(c)
             for c, shares in wanted.items()]
 
 
-def _bracketed(slim: DataFrame, wanted: Wanted, bracket_rows: int, accuracy: int) -> Answer:
-    ends = slim.agg(*[f(c).alias(f"{c}_{name}") for c in wanted
-                      for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
-    answer: Answer = {c: dict.fromkeys(shares) for c, shares in wanted.items()}
-    open_brackets = []
-    for c, shares in wanted.items():
-        n = ends[f"{c}_n"]
-        for share in shares if n else ():
-            position = share * (n - 1)
-            rank, above = math.floor(position), math.ceil(position)
-            open_brackets.append(_Bracket(c, share, rank, above, position - rank,
-                                          ends[f"{c}_lo"], ends[f"{c}_hi"], 0, n))
+def read_maps(row, wanted: Wanted) -> Answer:
+    return {c: dict(zip(shares, row[c] or [None] * len(shares))) for c, shares in wanted.items()}
+
+
+def _bracketed(slim: DataFrame, wanted: Wanted, extents: Mapping[str, Extent],
+               bracket_rows: int, accuracy: int) -> Answer:
+    places = {(c, p): p * (extents[c].known - 1) for c, shares in wanted.items() for p in shares
+              if extents[c].known}
+    ranks = sorted({(c, r) for (c, _), at in places.items() for r in (math.floor(at), math.ceil(at))})
+    waiting, value = [], {}
+    for c, r in ranks:
+        e = extents[c]
+        if r in (0, e.known - 1):
+            value[c, r] = e.low if r == 0 else e.high
+        else:
+            waiting.append(_Bracket(c, r, e.low, e.high, 0, e.known))
     small = []
-    while open_brackets:
-        still_open = []
-        for b in open_brackets:
+    while waiting:
+        wide = []
+        for b in waiting:
             if b.low == b.high:
-                answer[b.column][b.share] = b.low
-            elif b.inside <= bracket_rows:
-                small.append(b)
+                value[b.column, b.rank] = b.low
             else:
-                still_open.append(b)
-        open_brackets = _narrow(slim, still_open, accuracy) if still_open else []
+                (small if b.inside <= bracket_rows else wide).append(b)
+        if wide:
+            _narrow(slim, wide, accuracy)
+        waiting = wide
     if small:
-        _read_ranks(slim, small, answer)
+        value.update(_read_ranks(slim, small))
+    answer: Answer = {c: dict.fromkeys(shares) for c, shares in wanted.items()}
+    for (c, p), at in places.items():
+        lower, upper = value[c, math.floor(at)], value[c, math.ceil(at)]
+        answer[c][p] = lower if lower == upper else (
+            (math.ceil(at) - at) * lower + (at - math.floor(at)) * upper)
     return answer
 
 
-def _within(b: _Bracket) -> Column:
-    return F.col(b.column).between(F.lit(b.low), F.lit(b.high))
+def _within(column: str, low: float, high: float) -> Column:
+    return F.col(column).between(F.lit(low), F.lit(high))
 
 
-def _narrow(slim: DataFrame, brackets: list[_Bracket], accuracy: int) -> list[_Bracket]:
-    """One sketching scan and one counting scan; every bracket comes back smaller."""
+def _narrow(slim: DataFrame, brackets: list[_Bracket], accuracy: int) -> None:
+    """One sketching scan and one counting scan; brackets that do not shrink are halved next time."""
+    groups: dict[tuple, list[_Bracket]] = {}
+    for b in brackets:
+        groups.setdefault((b.column, b.low, b.high), []).append(b)
     sketches = []
-    for i, b in enumerate(brackets):
-        centre, slack = (b.rank - b.below) / b.inside, 2.0 / accuracy
-        shares = [max(0.0, centre - slack), min(1.0, centre + slack)]
-        sketches.append(F.percentile_approx(F.when(_within(b), F.col(b.column)), shares,
-                                            accuracy).alias(f"s{i}"))
+    for i, ((column, low, high), members) in enumerate(groups.items()):
+        shares = []
+        for b in members:
+            centre, slack = (b.rank - b.below) / b.inside, 2.0 / accuracy
+            shares += [max(0.0, centre - slack), min(1.0, centre + slack)]
+        held = F.when(_within(column, low, high), F.col(column))
+        sketches.append(F.percentile_approx(held, shares, accuracy).alias(f"s{i}"))
     proposed = slim.agg(*sketches).first()
-    cuts = []
-    for i, b in enumerate(brackets):
-        middle = b.low + (b.high - b.low) / 2
-        cuts.append(sorted({b.low, b.high, middle, *proposed[f"s{i}"]}))
-    counted = slim.agg(*[
-        F.count_if(test(F.col(b.column), F.lit(v))).alias(f"{name}{i}_{j}")
-        for i, b in enumerate(brackets) for j, v in enumerate(cuts[i])
-        for name, test in (("lt", Column.__lt__), ("le", Column.__le__))]).first()
-    for i, b in enumerate(brackets):
-        under = [counted[f"lt{i}_{j}"] for j in range(len(cuts[i]))]
-        upto = [counted[f"le{i}_{j}"] for j in range(len(cuts[i]))]
-        first = max(j for j in range(len(cuts[i])) if under[j] <= b.rank)
-        last = min(j for j in range(len(cuts[i])) if upto[j] > b.above)
-        b.low, b.high = cuts[i][first], cuts[i][last]
-        b.below, b.inside = under[first], upto[last] - under[first]
-    return brackets
-
-
-def _read_ranks(slim: DataFrame, brackets: list[_Bracket], answer: Answer) -> None:
+    cuts: dict[int, list[float]] = {}
+    for i, members in enumerate(groups.values()):
+        for j, b in enumerate(members):
+            cuts[id(b)] = sorted({*proposed[f"s{i}"][2 * j:2 * j + 2],
+                                  *([b.low + (b.high - b.low) / 2] if b.stalled else [])})
+    points = sorted({(b.column, v) for b in brackets for v in cuts[id(b)]})
+    counted = slim.agg(*[m for i, (c, v) in enumerate(points) for m in (
+        F.count_if(F.col(c) < F.lit(v)).alias(f"lt{i}"),
+        F.count_if(F.col(c) <= F.lit(v)).alias(f"le{i}"))]).first()
+    under = {p: counted[f"lt{i}"] for i, p in enumerate(points)}
+    upto = {p: counted[f"le{i}"] for i, p in enumerate(points)}
+    for b in brackets:
+        before = b.inside
+        end = b.below + b.inside
+        for v in cuts[id(b)]:
+            lt, le = under[b.column, v], upto[b.column, v]
+            if lt <= b.rank and lt >= b.below:
+                b.low, b.below = v, lt
+            if le > b.rank and le <= end:
+                b.high, end = v, le
+                break
+        b.inside = end - b.below
+        b.stalled = b.inside == before
+
+
+def _read_ranks(slim: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, int], float]:
     """Sort the few rows of each bracket; their number was counted before."""
-    picks = []
-    for i, b in enumerate(brackets):
-        held = F.array_sort(F.collect_list(F.when(_within(b), F.col(b.column))))
-        picks.append(F.struct(F.element_at(held, b.rank - b.below + 1).alias("lower"),
-                              F.element_at(held, b.above - b.below + 1).alias("upper")).alias(f"b{i}"))
-    found = slim.agg(*picks).first()
-    for i, b in enumerate(brackets):
-        lower, upper = found[f"b{i}"]
-        same = lower == upper
-        answer[b.column][b.share] = lower if same else (1 - b.weight) * lower + b.weight * upper
+    spans = list(dict.fromkeys((b.column, b.low, b.high) for b in brackets))
+    held = {s: F.array_sort(F.collect_list(F.when(_within(*s), F.col(s[0])))) for s in spans}
+    found = slim.agg(*[
+        F.element_at(held[b.column, b.low, b.high], b.rank - b.below + 1).alias(f"b{i}")
+        for i, b in enumerate(brackets)]).first()
+    return {(b.column, b.rank): found[f"b{i}"] for i, b in enumerate(brackets)}

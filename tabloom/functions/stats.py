@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tabloom.functions import quantiles as Q
 from tabloom.functions.scalars import named, number
 
-# under this estimate the distinct count is taken exactly, at the cost of a tiny shuffle
+# under this guess the distinct count is taken exactly
 EXACT_DISTINCT_BELOW = 60
 
 
@@ -19,7 +19,7 @@ EXACT_DISTINCT_BELOW = 60
 class ColumnStats:
     rows: int
     known: int
-    distinct: int            # exact when small, else a sketch estimate
+    distinct: int            # exact when small, else a guess of its magnitude
     mean: float | None
     std: float | None        # sample
     std_pop: float | None    # population
@@ -49,34 +49,38 @@ class ColumnStats:
 
 
 def fit_stats(df: DataFrame, wanted: Mapping[str, Sequence[float]],
-              one_pass_rows: int = Q.ONE_PASS_ROWS) -> dict[str, ColumnStats]:
+              map_values: int = Q.MAP_VALUES) -> dict[str, ColumnStats]:
     """Statistics of numeric columns; ``wanted`` names the quantiles needed per column."""
     if not wanted:
         return {}
-    names = list(wanted)
-    slim = df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(names)])
-    measures = [F.count(F.lit(1)).alias("rows")]
-    for i in range(len(names)):
-        c = F.col(f"c{i}")
-        measures += [F.count(c).alias(f"known{i}"), F.avg(c).alias(f"mean{i}"),
-                     F.stddev_samp(c).alias(f"std{i}"), F.stddev_pop(c).alias(f"pop{i}"),
-                     F.min(c).alias(f"min{i}"), F.max(c).alias(f"max{i}"),
-                     F.approx_count_distinct(c, 0.02).alias(f"distinct{i}")]
-    m = slim.agg(*measures).first()
-    stats = {name: ColumnStats(m["rows"], m[f"known{i}"], m[f"distinct{i}"], m[f"mean{i}"],
-                               m[f"std{i}"], m[f"pop{i}"], m[f"min{i}"], m[f"max{i}"])
-             for i, name in enumerate(names)}
-    few = [i for i, name in enumerate(names) if stats[name].distinct < EXACT_DISTINCT_BELOW]
-    shares = {f"c{i}": sorted(set(map(float, wanted[name])))
-              for i, name in enumerate(names) if wanted[name]}
-    exact = [F.count_distinct(F.col(f"c{i}")).alias(f"exact{i}") for i in few]
-    if exact:
-        found = slim.agg(*exact).first()
-        for i in few:
-            stats[names[i]].distinct = found[f"exact{i}"]
-    answer = Q.quantiles(slim, shares, rows=m["rows"], one_pass_rows=one_pass_rows)
-    for i, name in enumerate(names):
-        stats[name].quantile = answer.get(f"c{i}", {})
+    keys = {name: f"c{i}" for i, name in enumerate(wanted)}
+    slim = df.select(*[number(name).alias(k) for name, k in keys.items()])
+    m = slim.agg(F.count(F.lit(1)).alias("rows"), *Q.extent_columns(keys.values()),
+                 *[measure(k).alias(f"{k}_{part}") for k in keys.values() for part, measure in (
+                     ("mean", F.avg), ("std", F.stddev_samp), ("std_pop", F.stddev_pop))]).first()
+    extents = {k: Q.read_extent(m, k) for k in keys.values()}
+    stats = {}
+    for name, k in keys.items():
+        e = extents[k]
+        stats[name] = ColumnStats(m["rows"], e.known, e.distinct, m[f"{k}_mean"], m[f"{k}_std"],
+                                  m[f"{k}_std_pop"], e.low, e.high)
+    shares = {k: sorted(set(map(float, wanted[name]))) for name, k in keys.items() if wanted[name]}
+    tiny = [name for name in keys if stats[name].distinct < EXACT_DISTINCT_BELOW]
+    few = {k: p for k, p in shares.items() if extents[k].distinct <= map_values}
+    many = {k: p for k, p in shares.items() if k not in few}
+    # a set of a column with few values stays small, so it needs no shuffle of its own
+    second = Q.map_columns(few) + [
+        F.size(F.collect_set(keys[name])).alias(f"{keys[name]}_exact") for name in tiny]
+    answer: Q.Answer = {}
+    if second:
+        found = slim.agg(*second).first()
+        answer = Q.read_maps(found, few)
+        for name in tiny:
+            stats[name].distinct = found[f"{keys[name]}_exact"]
+    if many:
+        answer |= Q.quantiles(slim, many, extents, map_values=map_values)
+    for name, k in keys.items():
+        stats[name].quantile = answer.get(k, {})
     return stats
 
 

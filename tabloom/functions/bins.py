@@ -54,3 +54,24 @@ def labelled_quantiles(value: Column, edges: Sequence[float | None], labels: Seq
     if edges[-1] > edges[0]:
         return cut(value, equal_width(edges[0], edges[-1], len(labels)), labels, include_lowest=True)
     return F.lit(constant)
+
+
+def by_interval(value: Column, bounds: Sequence[float], outcomes: Sequence[Column]) -> Column:
+    """Outcome of the first bound at or above the value; the last outcome is for the rest.
+
+    Written as a balanced tree of comparisons, so many intervals cost few tests per row.
+    """
+    if len(outcomes) != len(bounds) + 1:
+        raise ValueError("one outcome more than bounds is needed")
+    if not bounds:
+        return outcomes[0]
+    middle = len(bounds) // 2
+    return F.when(value <= F.lit(bounds[middle]),
+                  by_interval(value, bounds[:middle], outcomes[:middle + 1])).otherwise(
+        by_interval(value, bounds[middle + 1:], outcomes[middle + 1:]))
+
+
+def bin_index(value: Column, edges: Sequence[float]) -> Column:
+    """Number of the right-closed bin between fitted edges; the outer bins are open."""
+    inner = list(edges[1:-1])
+    return F.when(value.isNotNull(), by_interval(value, inner, [F.lit(i) for i in range(len(inner) + 1)]))

@@ -10,12 +10,13 @@ from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.bins import cut
+from tabloom.functions.bins import bin_index
 from tabloom.functions.scalars import named, number
 from tabloom.functions.stats import fit_stats
 from tabloom.operators.profile import to_rows
 
 PAIRS_PER_AGGREGATE = 200
+MISSING = "\x00missing"
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -123,19 +124,17 @@ def temporal_correlation(df: DataFrame, moment: str, target: str) -> DataFrame:
 
 def coded_columns(df: DataFrame, columns: Sequence[str], numeric: Sequence[str],
                   bins: int = 20) -> dict[str, Column]:
-    """Text codes per column: the value itself, or the quantile bin of a number."""
+    """Text codes per column: the value itself, or the number of its quantile bin."""
     shares = [i / bins for i in range(bins + 1)]
     stats = fit_stats(df, {c: shares for c in columns if c in numeric})
     coded = {}
     for c in columns:
         if c not in numeric:
-            coded[c] = F.coalesce(named(c).cast("string"), F.lit("\x00missing"))
+            coded[c] = F.coalesce(named(c).cast("string"), F.lit(MISSING))
             continue
         edges = sorted({e for e in stats[c].edges(*shares) if e is not None})
-        value = number(c)
-        if len(edges) > 1:
-            value = cut(value, edges, [f"b{i:03d}" for i in range(len(edges) - 1)], include_lowest=True)
-        coded[c] = F.coalesce(value.cast("string"), F.lit("\x00missing"))
+        code = bin_index(number(c), edges) if len(edges) > 1 else number(c)
+        coded[c] = F.coalesce(code.cast("string"), F.lit(MISSING))
     return coded
 
 
@@ -148,11 +147,13 @@ def mutual_information(df: DataFrame, columns: Sequence[str], target: str,
     """
     coded = coded_columns(df, [*columns, target], numeric, bins)
     y = coded.pop(target)
-    known = df.where(named(target).isNotNull())
-    tall = known.select(y.alias("y"), F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), v.alias("x")) for c, v in coded.items()])).alias("e"))
-    cells = (tall.select("e.feature", "e.x", "y").groupBy("feature", "x", "y")
-             .agg(F.count(F.lit(1)).cast("double").alias("n")))
+    codes = df.where(named(target).isNotNull()).select(
+        y.alias("y"), *[v.alias(f"x{i}") for i, v in enumerate(coded.values())])
+    tall = codes.select("y", F.posexplode(F.array(*[F.col(f"x{i}") for i in range(len(coded))]))
+                        .alias("at", "x"))
+    names = F.array(*[F.lit(c) for c in coded])
+    cells = (tall.groupBy("at", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
+             .withColumn("feature", names[F.col("at")]))
 
     def weighted_log(grouped: DataFrame, out: str) -> DataFrame:
         return grouped.groupBy("feature").agg(F.sum(F.col("n") * F.ln("n")).alias(out),

@@ -13,6 +13,7 @@ from pyspark.ml.feature import FeatureHasher
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.functions.bins import by_interval
 from tabloom.functions.scalars import named, number, numeric_columns, text_columns
 from tabloom.functions.stats import fit_stats, modes
 from tabloom.operators.association import mutual_information
@@ -176,15 +177,22 @@ def hash_encode(df: DataFrame, columns: Sequence[str], width: int | None = None,
                          categoricalCols=list(columns)).transform(df)
 
 
-def inverse_normal(p: Column) -> Column:
-    """Normal quantile of a share by the rational approximation 26.2.23 of Abramowitz and Stegun
-    (absolute error under 4.5e-4)."""
-    tail = F.least(p, F.lit(1.0) - p)
-    t = F.sqrt(F.lit(-2.0) * F.ln(tail))
-    top = F.lit(2.515517) + t * (F.lit(0.802853) + t * F.lit(0.010328))
-    bottom = F.lit(1.0) + t * (F.lit(1.432788) + t * (F.lit(0.189269) + t * F.lit(0.001308)))
-    size = t - top / bottom
-    return F.when(p < 0.5, -size).otherwise(size)
+def with_inverse_normal(df: DataFrame, shares: dict[str, str]) -> DataFrame:
+    """Normal quantiles of share columns (``output -> share column``).
+
+    Rational approximation 26.2.23 of Abramowitz and Stegun, absolute error under 4.5e-4. It is laid
+    out in steps so that each step is evaluated once per row.
+    """
+    tail = {f"__t_{out}": F.sqrt(F.lit(-2.0) * F.ln(F.least(named(p), F.lit(1.0) - named(p))))
+            for out, p in shares.items()}
+    size, signed = {}, {}
+    for out, p in shares.items():
+        t = named(f"__t_{out}")
+        top = F.lit(2.515517) + t * (F.lit(0.802853) + t * F.lit(0.010328))
+        bottom = F.lit(1.0) + t * (F.lit(1.432788) + t * (F.lit(0.189269) + t * F.lit(0.001308)))
+        size[f"__t_{out}"] = t - top / bottom
+        signed[out] = F.when(named(p) < 0.5, -t).otherwise(t)
+    return df.withColumns(tail).withColumns(size).withColumns(signed).drop(*tail)
 
 
 SMALLEST_SHARE = 1e-7
@@ -204,11 +212,11 @@ def uniform_share(value: Column, edges: Sequence[float]) -> Column:
             start = i
     if len(knots) == 1:
         return F.when(value.isNotNull(), F.lit(0.5))
-    expr = F.when(value <= F.lit(knots[0][0]), F.lit(knots[0][1] if knots[0][1] else 0.0))
+    ramps = [F.lit(knots[0][1])]
     for (x0, p0), (x1, p1) in zip(knots, knots[1:]):
-        slope = (p1 - p0) / (x1 - x0)
-        expr = expr.when(value <= F.lit(x1), F.lit(p0) + (value - F.lit(x0)) * F.lit(slope))
-    return expr.when(value.isNotNull(), F.lit(knots[-1][1]))
+        ramps.append(F.lit(p0) + (value - F.lit(x0)) * F.lit((p1 - p0) / (x1 - x0)))
+    ramps.append(F.lit(knots[-1][1]))
+    return F.when(value.isNotNull(), by_interval(value, [x for x, _ in knots], ramps))
 
 
 def quantile_normal(df: DataFrame, columns: Sequence[str], points: int = 100) -> DataFrame:
@@ -218,13 +226,11 @@ def quantile_normal(df: DataFrame, columns: Sequence[str], points: int = 100) ->
     points = max(2, min(points, rows))
     shares = [i / (points - 1) for i in range(points)]
     fitted = fit_stats(df, {c: shares for c in columns})
-    made = {}
-    for c in columns:
-        edges = fitted[c].edges(*shares)
-        share = uniform_share(number(c), edges)
-        clipped = F.greatest(F.least(share, F.lit(1 - SMALLEST_SHARE)), F.lit(SMALLEST_SHARE))
-        made[c] = F.when(share.isNotNull(), inverse_normal(clipped))
-    return df.withColumns(made)
+    share = {c: uniform_share(number(c), fitted[c].edges(*shares)) for c in columns}
+    low, high = F.lit(SMALLEST_SHARE), F.lit(1 - SMALLEST_SHARE)
+    df = df.withColumns({f"__p_{c}": p for c, p in share.items()})
+    df = df.withColumns({f"__p_{c}": F.greatest(F.least(named(f"__p_{c}"), high), low) for c in columns})
+    return with_inverse_normal(df, {c: f"__p_{c}" for c in columns}).drop(*[f"__p_{c}" for c in columns])
 
 
 def split_by_cardinality(df: DataFrame, columns: Sequence[str], max_categories: int,

@@ -229,7 +229,8 @@ def quantile_normal(df: DataFrame, columns: Sequence[str], points: int = 100) ->
     share = {c: uniform_share(number(c), fitted[c].edges(*shares)) for c in columns}
     low, high = F.lit(SMALLEST_SHARE), F.lit(1 - SMALLEST_SHARE)
     df = df.withColumns({f"__p_{c}": p for c, p in share.items()})
-    df = df.withColumns({f"__p_{c}": F.greatest(F.least(named(f"__p_{c}"), high), low) for c in columns})
+    df = df.withColumns({f"__p_{c}": F.when(named(f"__p_{c}").isNotNull(), F.greatest(
+        F.least(named(f"__p_{c}"), high), low)) for c in columns})
     return with_inverse_normal(df, {c: f"__p_{c}" for c in columns}).drop(*[f"__p_{c}" for c in columns])
 
 

@@ -124,7 +124,7 @@ def temporal_correlation(df: DataFrame, moment: str, target: str) -> DataFrame:
 
 def coded_columns(df: DataFrame, columns: Sequence[str], numeric: Sequence[str],
                   bins: int = 20) -> dict[str, Column]:
-    """Text codes per column: the value itself, or the number of its quantile bin."""
+    """Text codes per column: the value itself, or the quantile bin of a number with many values."""
     shares = [i / bins for i in range(bins + 1)]
     stats = fit_stats(df, {c: shares for c in columns if c in numeric})
     coded = {}
@@ -132,8 +132,10 @@ def coded_columns(df: DataFrame, columns: Sequence[str], numeric: Sequence[str],
         if c not in numeric:
             coded[c] = F.coalesce(named(c).cast("string"), F.lit(MISSING))
             continue
-        edges = sorted({e for e in stats[c].edges(*shares) if e is not None})
-        code = bin_index(number(c), edges) if len(edges) > 1 else number(c)
+        code = number(c)
+        if stats[c].distinct > bins:
+            edges = sorted({e for e in stats[c].edges(*shares) if e is not None})
+            code = bin_index(code, edges)
         coded[c] = F.coalesce(code.cast("string"), F.lit(MISSING))
     return coded
 

@@ -25,30 +25,36 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None,
                     exact: bool = True) -> DataFrame:
     """Per column: rows, nulls, distinct counts with and without NULL, ratios and screening flags.
 
-    Exact distinct counts share one shuffle of the distinct values of all columns; with
-    ``exact=False`` a sketch answers in one scan without it.
+    Each column is counted per value on its own, which reads every column once and shuffles only
+    its distinct values; with ``exact=False`` a sketch answers in one scan without a shuffle.
     """
     columns = list(columns or df.columns)
-    distinct = F.count_distinct if exact else (lambda c: F.approx_count_distinct(c, 0.01))
-    measures = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(columns):
-        measures += [distinct(named(c)).alias(f"distinct{i}"),
-                     F.count(named(c)).alias(f"known{i}")]
-    tall = to_rows(df.agg(*measures), columns,
-                   {"rows": "rows", "distinct": "distinct{i}", "known": "known{i}"})
+    if exact:
+        tall = None
+        for c in columns:
+            values = df.select(named(c).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+            part = values.agg(F.sum("n").alias("rows"), F.count("v").alias("distinct"),
+                              F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"))
+            part = part.select(F.lit(c).alias("feature"), "rows", "distinct", "nulls")
+            tall = part if tall is None else tall.unionByName(part)
+    else:
+        measures = [F.count(F.lit(1)).alias("rows")]
+        for i, c in enumerate(columns):
+            measures += [F.approx_count_distinct(named(c), 0.01).alias(f"distinct{i}"),
+                         F.count_if(named(c).isNull()).alias(f"nulls{i}")]
+        tall = to_rows(df.agg(*measures), columns,
+                       {"rows": "rows", "distinct": "distinct{i}", "nulls": "nulls{i}"})
     rows = F.col("rows").cast("double")
     unique, missing = F.col("distinct") / rows, F.col("nulls") / rows
     kinds = set(text_columns(df))
     textual = F.col("feature").isin([c for c in columns if c in kinds])
-    return (tall.withColumn("nulls", F.col("rows") - F.col("known"))
-            .withColumn("distinct_with_null",
-                        F.col("distinct") + (F.col("nulls") > 0).cast("bigint"))
+    return (tall.withColumn("distinct_with_null",
+                            F.col("distinct") + (F.col("nulls") > 0).cast("bigint"))
             .withColumns({"unique_ratio": unique, "null_ratio": missing})
             .withColumns({"constant": F.col("distinct_with_null") <= 1,
                           "id_like": F.col("unique_ratio") > 0.9,
                           "high_cardinality": textual & (F.col("unique_ratio") > 0.9),
-                          "null_heavy": F.col("null_ratio") > 0.5})
-            .drop("known"))
+                          "null_heavy": F.col("null_ratio") > 0.5}))
 
 
 def missing_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

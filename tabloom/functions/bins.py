@@ -56,22 +56,30 @@ def labelled_quantiles(value: Column, edges: Sequence[float | None], labels: Seq
     return F.lit(constant)
 
 
-def by_interval(value: Column, bounds: Sequence[float], outcomes: Sequence[Column]) -> Column:
-    """Outcome of the first bound at or above the value; the last outcome is for the rest.
+def sql_double(x: float) -> str:
+    """A double as SQL text with all its digits."""
+    if math.isinf(x):
+        return f"double('{'-' if x < 0 else ''}Infinity')"
+    return f"{x!r}D"
 
-    Written as a balanced tree of comparisons, so many intervals cost few tests per row.
+
+def interval_sql(value: str, bounds: Sequence[float], outcomes: Sequence[str]) -> str:
+    """SQL for the outcome of the first bound at or above the value; the last is for the rest.
+
+    A balanced tree of comparisons, so many intervals cost few tests per row. As text it also costs
+    one call to the session, however many bounds there are.
     """
     if len(outcomes) != len(bounds) + 1:
         raise ValueError("one outcome more than bounds is needed")
     if not bounds:
         return outcomes[0]
-    middle = len(bounds) // 2
-    return F.when(value <= F.lit(bounds[middle]),
-                  by_interval(value, bounds[:middle], outcomes[:middle + 1])).otherwise(
-        by_interval(value, bounds[middle + 1:], outcomes[middle + 1:]))
+    m = len(bounds) // 2
+    return (f"if({value} <= {sql_double(bounds[m])}, {interval_sql(value, bounds[:m], outcomes[:m + 1])}, "
+            f"{interval_sql(value, bounds[m + 1:], outcomes[m + 1:])})")
 
 
-def bin_index(value: Column, edges: Sequence[float]) -> Column:
-    """Number of the right-closed bin between fitted edges; the outer bins are open."""
+def bin_sql(value: str, edges: Sequence[float]) -> str:
+    """SQL for the number of the right-closed bin between fitted edges; the outer bins are open."""
     inner = list(edges[1:-1])
-    return F.when(value.isNotNull(), by_interval(value, inner, [F.lit(i) for i in range(len(inner) + 1)]))
+    tree = interval_sql(value, inner, [str(i) for i in range(len(inner) + 1)])
+    return f"if({value} IS NULL, NULL, {tree})"

@@ -18,7 +18,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.bins import by_interval
+from tabloom.functions.bins import interval_sql, sql_double
 from tabloom.functions.scalars import number
 
 MAP_VALUES = 50_000        # distinct values the built-in aggregate may hold
@@ -108,7 +108,7 @@ def quantiles(df: DataFrame, wanted: Wanted, extents: Mapping[str, Extent] | Non
 
 
 def map_columns(wanted: Wanted) -> list[Column]:
-    return [F.percentile(F.col(c), F.array(*[F.lit(float(p)) for p in shares])).alias(c)
+    return [F.expr(f"percentile({c}, array({', '.join(sql_double(float(p)) for p in shares)}))").alias(c)
             for c, shares in wanted.items()]
 
 
@@ -164,9 +164,9 @@ def _span_codes(slim: DataFrame, spans: list[_Span]) -> dict[int, Column]:
     codes = {}
     for i in {s.column for s in spans}:
         mine = sorted((s.low, s.high, n) for n, s in enumerate(spans) if s.column == i)
-        v = F.col(slim.columns[i])
-        outcomes = [F.when(v >= F.lit(low), F.lit(n)) for low, _, n in mine]
-        codes[i] = by_interval(v, [high for _, high, _ in mine], [*outcomes, F.lit(None).cast("int")])
+        v = slim.columns[i]
+        outcomes = [f"if({v} >= {sql_double(low)}, {n}, NULL)" for low, _, n in mine]
+        codes[i] = F.expr(interval_sql(v, [high for _, high, _ in mine], [*outcomes, "NULL"]))
     return codes
 
 
@@ -182,7 +182,7 @@ def _narrow(slim: DataFrame, spans: list[_Span], accuracy: int) -> list[_Span]:
     tall = _tall(slim, _span_codes(slim, spans))
     asked = sorted({p for held in shares.values() for p in held})
     sketched = {r["code"]: dict(zip(asked, r["q"])) for r in tall.groupBy("code").agg(
-        F.percentile_approx("v", asked, accuracy).alias("q")).collect()}
+        F.expr(f"percentile_approx(v, array({', '.join(map(sql_double, asked))}), {accuracy})").alias("q")).collect()}
     points: dict[int, set[float]] = {}
     for n, s in enumerate(spans):
         found = points.setdefault(s.column, set())
@@ -222,9 +222,9 @@ def _counts(slim: DataFrame, points: dict[int, list[float]]) -> dict[int, list[t
     """Rows under and rows up to each point, from the row counts of the intervals between points."""
     codes = {}
     for i, held in points.items():
-        v = F.col(slim.columns[i])
-        at = [F.when(v == F.lit(p), 2 * j + 1).otherwise(2 * j) for j, p in enumerate(held)]
-        codes[i] = F.when(v.isNotNull(), by_interval(v, held, [*at, F.lit(2 * len(held))]))
+        v = slim.columns[i]
+        at = [f"if({v} = {sql_double(p)}, {2 * j + 1}, {2 * j})" for j, p in enumerate(held)]
+        codes[i] = F.expr(f"if({v} IS NULL, NULL, {interval_sql(v, held, [*at, str(2 * len(held))])})")
     counted = _tall(slim, codes).groupBy("column", "code").agg(F.count(F.lit(1)).alias("n")).collect()
     rows = {(r["column"], r["code"]): r["n"] for r in counted}
     answer: dict[int, list[tuple[float, int, int]]] = {}
@@ -254,8 +254,8 @@ def _merged(spans: list[_Span]) -> list[_Span]:
 
 def _read_ranks(slim: DataFrame, spans: list[_Span]) -> dict[tuple[int, int], float]:
     """Sort the few rows of each span, whose number was counted before, and pick the ranks."""
-    places = F.create_map(*[x for n, s in enumerate(spans) for x in (
-        F.lit(n), F.array(*[F.lit(r - s.below + 1) for r in s.ranks]))])
+    listed = ", ".join(f"{n}, array({', '.join(str(r - s.below + 1) for r in s.ranks)})" for n, s in enumerate(spans))
+    places = F.expr(f"map({listed})")
     held = (_tall(slim, _span_codes(slim, spans)).groupBy("code")
             .agg(F.array_sort(F.collect_list("v")).alias("sorted")))
     picked = held.select("code", F.transform(F.element_at(places, F.col("code")),

@@ -10,13 +10,13 @@ from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.bins import bin_index
+from tabloom.functions.bins import bin_sql
 from tabloom.functions.scalars import named, number
 from tabloom.functions.stats import fit_stats
 from tabloom.operators.profile import to_rows
 
 PAIRS_PER_AGGREGATE = 200
-MISSING = "\x00missing"
+MISSING = "(missing)"
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -122,22 +122,18 @@ def temporal_correlation(df: DataFrame, moment: str, target: str) -> DataFrame:
     return target_correlation(slim, list(parts), target)
 
 
-def coded_columns(df: DataFrame, columns: Sequence[str], numeric: Sequence[str],
-                  bins: int = 20) -> dict[str, Column]:
-    """Text codes per column: the value itself, or the quantile bin of a number with many values."""
+def coded(df: DataFrame, columns: Sequence[str], numeric: Sequence[str], bins: int = 20) -> DataFrame:
+    """Text codes ``x0, x1, ...`` of the columns: the value, or the quantile bin of a number with many values."""
     shares = [i / bins for i in range(bins + 1)]
     stats = fit_stats(df, {c: shares for c in columns if c in numeric})
-    coded = {}
-    for c in columns:
-        if c not in numeric:
-            coded[c] = F.coalesce(named(c).cast("string"), F.lit(MISSING))
-            continue
-        code = number(c)
-        if stats[c].distinct > bins:
-            edges = sorted({e for e in stats[c].edges(*shares) if e is not None})
-            code = bin_index(code, edges)
-        coded[c] = F.coalesce(code.cast("string"), F.lit(MISSING))
-    return coded
+    held = df.select(*[(number(c) if c in numeric else named(c)).alias(f"v{i}") for i, c in enumerate(columns)])
+    codes = []
+    for i, c in enumerate(columns):
+        code = f"v{i}"
+        if c in numeric and stats[c].distinct > bins:
+            code = bin_sql(code, sorted({e for e in stats[c].edges(*shares) if e is not None}))
+        codes.append(F.expr(f"coalesce(CAST({code} AS STRING), '{MISSING}')").alias(f"x{i}"))
+    return held.select(*codes)
 
 
 def mutual_information(df: DataFrame, columns: Sequence[str], target: str,
@@ -147,15 +143,14 @@ def mutual_information(df: DataFrame, columns: Sequence[str], target: str,
     Numbers are cut at quantiles first. Cell counts come from one grouped aggregate; the entropies
     need only sums of ``n ln n``, so nothing is joined back to rows.
     """
-    coded = coded_columns(df, [*columns, target], numeric, bins)
-    y = coded.pop(target)
-    codes = df.where(named(target).isNotNull()).select(
-        y.alias("y"), *[v.alias(f"x{i}") for i, v in enumerate(coded.values())])
-    tall = codes.select("y", F.posexplode(F.array(*[F.col(f"x{i}") for i in range(len(coded))]))
+    names = list(columns)
+    codes = coded(df.where(named(target).isNotNull()), [*names, target], numeric, bins)
+    codes = codes.withColumnRenamed(f"x{len(names)}", "y")
+    tall = codes.select("y", F.posexplode(F.array(*[F.col(f"x{i}") for i in range(len(names))]))
                         .alias("at", "x"))
-    names = F.array(*[F.lit(c) for c in coded])
+    listed = F.array(*[F.lit(c) for c in names])
     cells = (tall.groupBy("at", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
-             .withColumn("feature", names[F.col("at")]))
+             .withColumn("feature", listed[F.col("at")]))
 
     def weighted_log(grouped: DataFrame, out: str) -> DataFrame:
         return grouped.groupBy("feature").agg(F.sum(F.col("n") * F.ln("n")).alias(out),

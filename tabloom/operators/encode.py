@@ -13,8 +13,8 @@ from pyspark.ml.feature import FeatureHasher
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.bins import by_interval
-from tabloom.functions.scalars import named, number, numeric_columns, text_columns
+from tabloom.functions.bins import interval_sql, sql_double
+from tabloom.functions.scalars import named, number, numeric_columns, quoted, text_columns
 from tabloom.functions.stats import fit_stats, modes
 from tabloom.operators.association import mutual_information
 from tabloom.operators.joins import attach
@@ -198,8 +198,8 @@ def with_inverse_normal(df: DataFrame, shares: dict[str, str]) -> DataFrame:
 SMALLEST_SHARE = 1e-7
 
 
-def uniform_share(value: Column, edges: Sequence[float]) -> Column:
-    """Share of the reference values at or under ``value``, linear between its quantiles.
+def share_sql(value: str, edges: Sequence[float]) -> str:
+    """SQL for the share of reference values at or under a column, linear between its quantiles.
 
     Repeated quantiles form a step whose middle is taken.
     """
@@ -211,12 +211,12 @@ def uniform_share(value: Column, edges: Sequence[float]) -> Column:
             knots.append((edges[start], (start + i - 1) / 2 / last))
             start = i
     if len(knots) == 1:
-        return F.when(value.isNotNull(), F.lit(0.5))
-    ramps = [F.lit(knots[0][1])]
+        return f"if({value} IS NULL, NULL, 0.5D)"
+    ramps = [sql_double(knots[0][1])]
     for (x0, p0), (x1, p1) in zip(knots, knots[1:]):
-        ramps.append(F.lit(p0) + (value - F.lit(x0)) * F.lit((p1 - p0) / (x1 - x0)))
-    ramps.append(F.lit(knots[-1][1]))
-    return F.when(value.isNotNull(), by_interval(value, [x for x, _ in knots], ramps))
+        ramps.append(f"{sql_double(p0)} + ({value} - {sql_double(x0)}) * {sql_double((p1 - p0) / (x1 - x0))}")
+    ramps.append(sql_double(knots[-1][1]))
+    return f"if({value} IS NULL, NULL, {interval_sql(value, [x for x, _ in knots], ramps)})"
 
 
 def quantile_normal(df: DataFrame, columns: Sequence[str], points: int = 100) -> DataFrame:
@@ -226,9 +226,10 @@ def quantile_normal(df: DataFrame, columns: Sequence[str], points: int = 100) ->
     points = max(2, min(points, rows))
     shares = [i / (points - 1) for i in range(points)]
     fitted = fit_stats(df, {c: shares for c in columns})
-    share = {c: uniform_share(number(c), fitted[c].edges(*shares)) for c in columns}
+    df = df.withColumns({f"__p_{c}": number(c) for c in columns})
+    df = df.withColumns({f"__p_{c}": F.expr(share_sql(quoted(f"__p_{c}"), fitted[c].edges(*shares)))
+                         for c in columns})
     low, high = F.lit(SMALLEST_SHARE), F.lit(1 - SMALLEST_SHARE)
-    df = df.withColumns({f"__p_{c}": p for c, p in share.items()})
     df = df.withColumns({f"__p_{c}": F.when(named(f"__p_{c}").isNotNull(), F.greatest(
         F.least(named(f"__p_{c}"), high), low)) for c in columns})
     return with_inverse_normal(df, {c: f"__p_{c}" for c in columns}).drop(*[f"__p_{c}" for c in columns])
@@ -282,8 +283,8 @@ def f_scores(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
         F.corr(number(c), y).alias(f"r{i}"),
         F.count_if(number(c).isNotNull() & y.isNotNull()).alias(f"n{i}"))])
     r2 = F.col("r") * F.col("r")
-    return (to_rows(row, columns, {"r": "r{i}", "n": "n{i}"})
-            .select("feature", (r2 / (F.lit(1.0) - r2) * (F.col("n") - 2)).alias("f")))
+    f = F.when(r2 < 1, r2 / F.when(r2 < 1, F.lit(1.0) - r2) * (F.col("n") - 2)).when(r2 >= 1, F.lit(float("inf")))
+    return to_rows(row, columns, {"r": "r{i}", "n": "n{i}"}).select("feature", f.alias("f"))
 
 
 def best_by_f(df: DataFrame, columns: Sequence[str], target: str, k: int) -> DataFrame:

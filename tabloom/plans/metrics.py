@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.scalars import named, number
+from tabloom.functions.scalars import named, number, safe_ratio
 
 
 def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -64,7 +64,7 @@ def auc(df: DataFrame, classes: int, label: str = "label", probability: str = "p
 def r2(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """One minus the residual over the total sum of squares."""
     y, p = number(label), number(prediction)
-    return df.agg((F.lit(1.0) - F.sum((y - p) * (y - p)) / (F.var_pop(y) * F.count(y))).alias("r2"))
+    return df.agg((F.lit(1.0) - safe_ratio(F.sum((y - p) * (y - p)), F.var_pop(y) * F.count(y))).alias("r2"))
 
 
 def evaluate(df: DataFrame, classes: int, imbalanced: bool, label: str = "label",

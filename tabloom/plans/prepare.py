@@ -11,7 +11,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import (FeatureHasher, OneHotEncoder, SQLTransformer, StringIndexer, TargetEncoder,
-                                UnivariateFeatureSelector, VectorAssembler, VectorSlicer)
+                                VectorAssembler, VectorSlicer)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -25,6 +25,7 @@ from tabloom.operators.encode import choose_encoding, frequent_values, split_by_
 from tabloom.operators.sampling import sample_rows
 
 DICTIONARY_VALUES = 100_000   # distinct values for which a dictionary is kept on the driver
+CORRELATIONS = 200            # correlations per aggregate
 SELECTION_ROWS = 50_000       # fixed value: rows looked at when features are scored
 
 
@@ -252,11 +253,14 @@ def select_features(p: Preprocessor, df: DataFrame, key: str, k: int, classifica
             best = scored.orderBy(F.desc("mutual_info"), "feature").limit(k).collect()
             alive = sorted(int(r["feature"][1:]) for r in best)
         else:
-            slim = VectorSlicer(inputCol="features", outputCol="__alive", indices=alive).transform(ready)
-            fitted = UnivariateFeatureSelector(featuresCol="__alive", outputCol="__best", labelCol=label,
-                                               selectionMode="numTopFeatures").setFeatureType("continuous") \
-                .setLabelType("continuous").setSelectionThreshold(k).fit(slim)
-            alive = sorted(alive[i] for i in fitted.selectedFeatures)
+            # the F statistic grows with the squared correlation, so that decides
+            array, strength = vector_to_array("features"), {}
+            wide = ready.select(F.col(label).cast("double").alias("__y"), *[array[i].alias(f"s{i}") for i in alive])
+            for start in range(0, len(alive), CORRELATIONS):
+                part = alive[start:start + CORRELATIONS]
+                row = wide.agg(*[F.corr(f"s{i}", "__y").alias(f"s{i}") for i in part]).first()
+                strength |= {i: (row[f"s{i}"] or 0.0) ** 2 for i in part}
+            alive = sorted(sorted(alive, key=lambda i: (-strength[i], i))[:k])
     if len(alive) == len(p.slots):
         return p
     stages = [*p.model.stages[:-1], p.model.stages[-1].copy().setOutputCol("__all"),

@@ -182,7 +182,7 @@ def sample_n(spark, folder):
     return M.sample_rows(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus"), 500, "o_orderkey")
 
 
-@query(f"""WITH s AS (SELECT o_orderstatus AS label, {hash_sql('o_orderkey')} < least(5000.0::DOUBLE / (SELECT count(*) FROM orders), 0.99) AS kept FROM orders)
+@query(f"""WITH s AS (SELECT o_orderstatus AS label, (SELECT count(*) FROM orders) <= 5000 OR {hash_sql('o_orderkey')} < least(5000.0::DOUBLE / (SELECT count(*) FROM orders), 0.99) AS kept FROM orders)
     SELECT label, count(*) AS n_before, count(*) FILTER (kept) AS n_after, round(count(*)::DOUBLE / (SELECT count(*) FROM s), 6) AS share_before,
     round(count(*) FILTER (kept)::DOUBLE / (SELECT count(*) FROM s WHERE kept), 6) AS share_after FROM s GROUP BY 1""")
 def stratified_sample(spark, folder):

@@ -15,6 +15,8 @@ SETTINGS = {
     # a skewed partition may also be split when that costs one more shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # no Python call site per column expression: wide projections are built many times faster
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

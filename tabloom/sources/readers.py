@@ -103,17 +103,35 @@ def read_delimited(spark: SparkSession, path: str, separator: str | None = None,
         separator = separator_by_columns(lines) or separator_by_count(lines) or ","
     reader = (spark.read.option("header", True).option("sep", separator)
               .option("ignoreLeadingWhiteSpace", True))
+    western = (encoding or "").lower() in ("windows-1252", "cp1252")
     if encoding:
-        reader = reader.option("encoding", encoding)
+        # Spark has no reader for Windows-1252; it is Latin-1 with letters in place of control codes
+        reader = reader.option("encoding", "ISO-8859-1" if western else encoding)
     if schema is None:
         typed = reader.option("inferSchema", True).csv(path).schema
     else:
         typed = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    # whole lines are split, so that a wrong number of fields shows whatever columns are asked for;
+    # a value of the wrong type shows in the columns that are read
+    reader = reader.option("columnPruning", False)
     if keep_broken:
         typed = T.StructType([*typed.fields, T.StructField("_broken", T.StringType())])
-        return (reader.schema(typed).option("mode", "PERMISSIVE")
-                .option("columnNameOfCorruptRecord", "_broken").csv(path))
-    return reader.schema(typed).option("mode", "DROPMALFORMED").csv(path)
+        df = (reader.schema(typed).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", "_broken").csv(path))
+    else:
+        df = reader.schema(typed).option("mode", "DROPMALFORMED").csv(path)
+    return _western_letters(df) if western else df
+
+
+def _western_letters(df: DataFrame) -> DataFrame:
+    """Control codes 80-9F of Latin-1 text as the letters they stand for in Windows-1252."""
+    codes = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
+    codes = {k: v for k, v in codes.items() if v}
+    source, target = "".join(codes), "".join(codes.values())
+    table = str.maketrans(codes)
+    return df.select(*[
+        (F.translate(named(f.name), source, target) if isinstance(f.dataType, T.StringType) else named(f.name))
+        .alias(f.name.translate(table)) for f in df.schema])
 
 
 def read_or_retry(spark: SparkSession, path: str, first: str = ",", second: str = ";") -> DataFrame:

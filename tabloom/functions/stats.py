@@ -87,14 +87,20 @@ def fit_stats(df: DataFrame, wanted: Mapping[str, Sequence[float]],
 def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
     """Most frequent known value per column, the smallest one on ties.
 
-    Values are counted per key and the counts reduced with ``max_by``, so no task ever
-    holds a whole column of distinct values.
+    Values are counted per key and every task keeps its best one, so no task ever holds a whole
+    column of distinct values. Columns of one type share a job.
     """
-    found = {}
+    kinds = {f.name: f.dataType for f in df.schema}
+    by_kind: dict[str, list[str]] = {}
     for c in columns:
-        counts = (df.select(named(c).alias("v")).where("v IS NOT NULL")
-                  .groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-                  .orderBy(F.desc("n"), F.asc("v")).limit(1))
-        top = counts.first()
-        found[c] = top["v"] if top else None
+        by_kind.setdefault(kinds[c].simpleString(), []).append(c)
+    found: dict[str, object] = dict.fromkeys(columns)
+    for members in by_kind.values():
+        tops = None
+        for c in members:
+            counts = (df.select(named(c).alias("v")).where("v IS NOT NULL")
+                      .groupBy("v").agg(F.count(F.lit(1)).alias("n")))
+            top = counts.orderBy(F.desc("n"), F.asc("v")).limit(1).select(F.lit(c).alias("c"), "v")
+            tops = top if tops is None else tops.unionByName(top)
+        found |= {r["c"]: r["v"] for r in tops.collect()}
     return found

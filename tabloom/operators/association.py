@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,39 +80,51 @@ def part_crosstab(df: DataFrame, moment: str, label: str) -> DataFrame:
             .groupBy("part", "value", "label").agg(F.count(F.lit(1)).alias("n")))
 
 
-def chi_square(crosstab: DataFrame, group: str = "part", x: str = "value",
-               y: str = "label") -> DataFrame:
+def chi_square(crosstab: DataFrame, group: str = "part", x: str = "value", y: str = "label",
+               corrected: bool = False) -> DataFrame:
     """Chi-square statistic and degrees of freedom per group of cell counts.
 
     Written as ``N * (sum(n^2 / (row * column)) - 1)``, which needs the filled cells only.
+    ``corrected`` applies the continuity correction to two-by-two tables.
     """
-    rows = crosstab.groupBy(group, x).agg(F.sum("n").alias("row_n"))
-    columns = crosstab.groupBy(group, y).agg(F.sum("n").alias("column_n"))
+    rows = crosstab.groupBy(group, x).agg(F.sum("n").cast("double").alias("row_n"))
+    columns = crosstab.groupBy(group, y).agg(F.sum("n").cast("double").alias("column_n"))
     cells = crosstab.join(rows, [group, x]).join(columns, [group, y])
     n = F.sum("n").cast("double")
-    share = F.sum(F.col("n") * F.col("n") / (F.col("row_n").cast("double") * F.col("column_n")))
+    share = F.sum(F.col("n") * F.col("n") / (F.col("row_n") * F.col("column_n")))
     summed = cells.groupBy(group).agg(n.alias("n"), (n * (share - 1)).alias("chi2"))
-    shape = (rows.groupBy(group).agg(F.count(F.lit(1)).alias("rows_"))
-             .join(columns.groupBy(group).agg(F.count(F.lit(1)).alias("columns_")), group))
-    return (summed.join(shape, group)
-            .select(group, "chi2", ((F.col("rows_") - 1) * (F.col("columns_") - 1)).alias("dof")))
-
-
-def temporal_chi_square(df: DataFrame, moment: str, label: str) -> DataFrame:
-    return chi_square(part_crosstab(df, moment, label))
+    shape = (rows.groupBy(group).agg(F.count(F.lit(1)).alias("rows_"), F.product("row_n").alias("row_p"))
+             .join(columns.groupBy(group).agg(F.count(F.lit(1)).alias("columns_"),
+                                              F.product("column_n").alias("column_p")), group))
+    dof = (F.col("rows_") - 1) * (F.col("columns_") - 1)
+    product = F.col("row_p") * F.col("column_p")
+    apart = F.sqrt(F.greatest(F.col("chi2"), F.lit(0.0)) * product / F.col("n")) - F.col("n") / 2
+    yates = F.col("n") * F.pow(F.greatest(apart, F.lit(0.0)), F.lit(2.0)) / product
+    value = F.when(dof == 1, yates).otherwise(F.col("chi2")) if corrected else F.col("chi2")
+    return summed.join(shape, group).select(group, value.alias("chi2"), dof.alias("dof"))
+
+
+def chi_square_tail(value: float, dof: int) -> float:
+    """Probability of a larger chi-square value: a finite sum for whole degrees of freedom."""
+    if dof <= 0 or value <= 0:
+        return 1.0
+    x = value / 2
+    start, total = (0.5, math.erfc(math.sqrt(x))) if dof % 2 else (0.0, 0.0)
+    steps = dof // 2
+    for i in range(steps):
+        k = start + i
+        total += math.exp(k * math.log(x) - x - math.lgamma(k + 1)) if x > 0 else 0.0
+    return min(1.0, total)
+
+
+def temporal_chi_square(df: DataFrame, moment: str, label: str, corrected: bool = False) -> DataFrame:
+    return chi_square(part_crosstab(df, moment, label), corrected=corrected)
 
 
 def temporal_p_values(df: DataFrame, moment: str, label: str) -> dict[str, float]:
     """P-value of independence between each date part and a class label."""
-    parts = part_columns(moment)
-    known = df.where(named(moment).isNotNull() & named(label).isNotNull())
-    codes = {r["label"]: float(i) for i, r in enumerate(
-        known.select(named(label).alias("label")).distinct().orderBy("label").collect())}
-    code = F.element_at(F.create_map(*[F.lit(v) for kv in codes.items() for v in kv]), named(label))
-    coded = known.select(code.alias("__y"), *[p.cast("double").alias(n) for n, p in parts.items()])
-    vectors = VectorAssembler(inputCols=list(parts), outputCol="__x").transform(coded)
-    tested = ChiSquareTest.test(vectors, "__x", "__y").first()
-    return dict(zip(parts, [float(p) for p in tested["pValues"]]))
+    return {r["part"]: chi_square_tail(r["chi2"], r["dof"])
+            for r in temporal_chi_square(df, moment, label, corrected=True).collect()}
 
 
 def temporal_correlation(df: DataFrame, moment: str, target: str) -> DataFrame:

@@ -21,6 +21,7 @@ from tabloom.operators.joins import attach
 from tabloom.operators.profile import to_rows
 from tabloom.session import checkpoint
 
+WIDEST = 5_000              # one-hot columns that one category may give
 ONE_TASK_VALUES = 200_000   # distinct values that one task may number
 
 
@@ -47,13 +48,16 @@ def scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def frequent_values(df: DataFrame, column: str, limit: int | None) -> tuple[list, bool]:
     """Values to encode in sorted order, and whether rarer ones share one extra column.
 
-    Over ``limit`` values the ``limit - 1`` most frequent stay. Without a limit the number of
-    values must be known to be small.
+    Over ``limit`` values the ``limit - 1`` most frequent stay. Without a limit all values stay, and
+    a column too wide for that is refused.
     """
     counts = (df.where(named(column).isNotNull()).groupBy(named(column).alias("v"))
               .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc("v")))
     if limit is None:
-        return sorted(r["v"] for r in counts.select("v").collect()), False
+        values = [r["v"] for r in counts.select("v").limit(WIDEST + 1).collect()]
+        if len(values) > WIDEST:
+            raise ValueError(f"{column} has over {WIDEST} values; hash or target-encode it instead")
+        return sorted(values), False
     rows = counts.limit(limit + 1).collect()
     if len(rows) <= limit:
         return sorted(r["v"] for r in rows), False

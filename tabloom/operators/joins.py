@@ -71,13 +71,13 @@ def look_up(value: str | Column, names: Mapping, default: str | None = None) ->
 
 
 def only_new(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not there yet."""
-    return new.join(existing.select(key), key, "left_anti")
+    """Rows whose key is not there yet. Keys are made distinct first, so a repeated one weighs nothing."""
+    return new.join(existing.select(key).distinct(), key, "left_anti")
 
 
 def with_parent(rows: DataFrame, parents: DataFrame, key: str, parent_key: str) -> DataFrame:
     """Rows whose parent exists."""
-    return rows.join(parents.select(named(parent_key).alias(key)), key, "left_semi")
+    return rows.join(parents.select(named(parent_key).alias(key)).distinct(), key, "left_semi")
 
 
 def compare_predictions(actual: DataFrame, predicted: DataFrame, key: str,

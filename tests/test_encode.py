@@ -155,3 +155,23 @@ def test_rules(spark):
     assert df.select(R.campaign_answered(F.lit(0.3), F.lit(0.2), none, F.lit(0))).first()[0] == 1
     assert df.select(R.opportunity_won(F.lit("Proposal"), F.lit(6000), F.lit(0))).first()[0] == 1
     assert df.select(R.lead_converted(F.lit("Cold"), F.lit("Meeting"), F.lit(7))).first()[0] == 7
+
+
+def test_chi_square_tail():
+    # table values of the 5 % and 1 % points
+    for dof, five, one in ((1, 3.841, 6.635), (2, 5.991, 9.210), (3, 7.815, 11.345), (10, 18.307, 23.209), (31, 44.985, 52.191)):
+        assert A.chi_square_tail(five, dof) == pytest.approx(0.05, abs=2e-4)
+        assert A.chi_square_tail(one, dof) == pytest.approx(0.01, abs=1e-4)
+    assert A.chi_square_tail(0, 3) == 1.0
+
+
+def test_continuity_correction(spark):
+    cells = spark.createDataFrame([("t", 0, "a", 8), ("t", 0, "b", 2), ("t", 1, "a", 1), ("t", 1, "b", 5)], "part string, value int, label string, n long")
+    plain, corrected = (A.chi_square(cells, corrected=c).first()["chi2"] for c in (False, True))
+    assert plain == pytest.approx(6.112, abs=1e-3) and corrected == pytest.approx(16 * 30**2 / 3780)
+
+
+def test_one_hot_refuses_wide_columns(spark, monkeypatch):
+    monkeypatch.setattr(E, "WIDEST", 10)
+    with pytest.raises(ValueError):
+        E.one_hot(spark.range(20).select(F.col("id").cast("string").alias("c")), ["c"], None)

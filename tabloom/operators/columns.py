@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions import fixed_values as V
-from tabloom.functions.scalars import date_columns, is_numeric, named, numeric_columns, text_columns
+from tabloom.functions.scalars import distinct_sketch, date_columns, is_numeric, named, numeric_columns, text_columns
 from tabloom.functions.stats import fit_stats, modes
 
 
@@ -59,7 +59,7 @@ def column_roles(df: DataFrame) -> dict[str, str]:
     open_columns = [c for c in rest if roles[c] is None]
     if open_columns:
         counted = df.agg(F.count(F.lit(1)).alias("__n"), *[
-            F.approx_count_distinct(named(c), 0.01).alias(c) for c in open_columns]).first()
+            distinct_sketch(named(c)).alias(c) for c in open_columns]).first()
         for c in open_columns:
             roles[c] = "category" if counted[c] < 0.01 * counted["__n"] else "text"
     return roles

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.bins import interval_sql, sql_double
-from tabloom.functions.scalars import named, number, numeric_columns, quoted, text_columns
+from tabloom.functions.scalars import distinct_sketch, named, number, numeric_columns, quoted, text_columns
 from tabloom.functions.stats import fit_stats, modes
 from tabloom.operators.association import mutual_information
 from tabloom.operators.joins import attach
@@ -247,7 +247,7 @@ def split_by_cardinality(df: DataFrame, columns: Sequence[str], max_categories:
     """
     if not columns:
         return [], [], {}
-    counted = df.agg(*[F.approx_count_distinct(named(c), 0.01).alias(f"n{i}")
+    counted = df.agg(*[distinct_sketch(named(c)).alias(f"n{i}")
                        for i, c in enumerate(columns)]).first()
     sizes = {c: counted[f"n{i}"] for i, c in enumerate(columns)}
     low = [c for c in columns if sizes[c] <= max_categories]

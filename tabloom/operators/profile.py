@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.scalars import named, numeric_columns, text_columns
+from tabloom.functions.scalars import distinct_sketch, named, numeric_columns, text_columns
 from tabloom.functions.stats import fit_stats
 from tabloom.operators.joins import attach
 
@@ -40,7 +40,7 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None,
     else:
         measures = [F.count(F.lit(1)).alias("rows")]
         for i, c in enumerate(columns):
-            measures += [F.approx_count_distinct(named(c), 0.01).alias(f"distinct{i}"),
+            measures += [distinct_sketch(named(c)).alias(f"distinct{i}"),
                          F.count_if(named(c).isNull()).alias(f"nulls{i}")]
         tall = to_rows(df.agg(*measures), columns,
                        {"rows": "rows", "distinct": "distinct{i}", "nulls": "nulls{i}"})
@@ -88,7 +88,7 @@ def category_counts(df: DataFrame, columns: Sequence[str], most: int) -> dict[st
     """Value counts of the columns that have at most ``most`` distinct values."""
     if not columns:
         return {}
-    guess = df.agg(*[F.approx_count_distinct(named(c), 0.05).alias(c) for c in columns]).first()
+    guess = df.agg(*[distinct_sketch(named(c)).alias(c) for c in columns]).first()
     small = [c for c in columns if guess[c] <= 2 * most + 10]
     found = {}
     for c in small:

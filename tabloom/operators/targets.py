@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tabloom.functions import fixed_values as V
 from tabloom.functions.bins import cut, increasing, labelled_quantiles
-from tabloom.functions.scalars import (flag, min_max, named, number, numeric_columns, row_mean,
+from tabloom.functions.scalars import (distinct_sketch, flag, min_max, named, number, numeric_columns, row_mean,
                                        safe_ratio, text_length, weekend, whole_days)
 from tabloom.functions.stats import ColumnStats, fit_stats
 from tabloom.operators.columns import clean_columns, column_roles
@@ -193,10 +193,15 @@ def aggregate_columns(df: DataFrame, key: str, ids: Sequence[str]) -> list[str]
     """Up to five numeric columns worth aggregating by ``key``; None when the key is unique."""
     candidates = [c for c in numeric_columns(df)
                   if not c.endswith("_id") and c not in ids][:5]
-    m = df.agg(F.count(F.lit(1)).alias("__n"), F.count_distinct(named(key)).alias("__k"),
-               *[F.approx_count_distinct(named(c), 0.01).alias(c) for c in candidates]).first()
-    if m["__k"] == m["__n"]:
+    # two jobs on purpose: together the sketches would be kept once per key
+    most = df.groupBy(named(key).alias("k")).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.max("n").alias("n"), F.max(F.col("k").isNull()).alias("gap")).first()
+    if most["n"] in (None, 1) and not most["gap"]:
         return None
+    if not candidates:
+        return []
+    m = df.agg(F.count(F.lit(1)).alias("__n"), *[
+        distinct_sketch(named(c)).alias(c) for c in candidates]).first()
     return [c for c in candidates if m[c] <= 0.8 * m["__n"]]
 
 

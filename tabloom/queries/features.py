@@ -278,15 +278,39 @@ def lifecycle(spark, folder):
     return df.groupBy(stage.alias("customer_lifecycle")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+QUARTILE_Q = "[0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE]"
+
+
+def quarter_sql(c, labels):
+    return cut_sql(c, [f"{c}_min", f"{c}_q[1]", f"{c}_q[2]", f"{c}_q[3]", f"{c}_max"], labels, True)
+
+
+@query(f"""WITH g AS (SELECT l_orderkey, sum(l_quantity) AS total, avg(l_quantity) AS mean FROM lineitem GROUP BY 1),
+    d AS (SELECT l_orderkey, l_extendedprice AS price, l_quantity AS qty, l_tax AS tax, l_shipdate, total, mean,
+                 l_extendedprice / nullif(l_quantity, 0) AS unit FROM lineitem JOIN g USING (l_orderkey)),
+    {stats_cte(['price', 'tax', 'total', 'mean', 'unit'], 'd', QUARTILE_Q)},
+    t AS (SELECT quantile_cont(qty, [1.0::DOUBLE / 3, 2.0::DOUBLE / 3]) AS qt, min(qty) AS ql, max(qty) AS qh, max(l_shipdate) AS newest FROM d),
+    f AS (SELECT {quarter_sql('price', V.TIER)} AS sale_price_tier, {cut_sql('qty', ['ql', 'qt[1]', 'qt[2]', 'qh'], V.THIRDS, True)} AS sale_quantity_category,
+        {quarter_sql('tax', V.RATING_SATISFACTION)} AS tax_rating_satisfaction, year(l_shipdate)::INT AS ship_date_year,
+        {recency_sql("date_diff('microsecond', l_shipdate, newest) // 86400000000")} AS ship_date_recency_category,
+        {quarter_sql('unit', V.TIER)} AS sale_price_per_sale_quantity_category,
+        {quarter_sql('total', V.QUARTERS)} AS sale_quantity_by_order_id_sum_category, {quarter_sql('mean', V.QUARTERS)} AS sale_quantity_by_order_id_mean_category,
+        'Medium' AS return_text_length_category,
+        {cut_sql('price', [None, 'price_mean - price_std', 'price_mean', 'price_mean + price_std', None], V.STDDEV_SEGMENT)} AS sale_price_stddev_segment FROM d, s, t)
+    SELECT *, count(*) AS n FROM f GROUP BY ALL""")
 def generate_all(spark, folder):
-    """F32: every family at once on orders joined to their lines."""
+    """F32: every family at once on lines; rows per combination of the generated classes."""
     lines = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("supplier_id"),
         F.col("l_extendedprice").alias("sale_price"), F.col("l_quantity").alias("sale_quantity"),
         F.col("l_tax").alias("tax_rating"), F.col("l_shipdate").alias("ship_date"),
         F.col("l_returnflag").alias("return_text"))
-    return T.generate_features(lines)
+    made = T.generate_features(lines)
+    classes = ["sale_price_tier", "sale_quantity_category", "tax_rating_satisfaction", "ship_date_year",
+               "ship_date_recency_category", "sale_price_per_sale_quantity_category",
+               "sale_quantity_by_order_id_sum_category", "sale_quantity_by_order_id_mean_category",
+               "return_text_length_category", "sale_price_stddev_segment"]
+    return made.groupBy(*classes).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH s AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS sd,

@@ -10,7 +10,7 @@ import __spark_entry__ as entry_points
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
 SQL = entry_points.oracle_sql()
-QUICK = ["hash_encode", "score_clusters", "generate_all"]
+QUICK = ["hash_encode", "score_clusters"]
 
 
 @pytest.fixture(scope="module")

@@ -63,7 +63,8 @@ def weekend(day: Column) -> Column:
 
 
 def timestamp_micros(moment: Column) -> Column:
-    return F.unix_micros(moment.cast("timestamp"))
+    """Microseconds of the wall-clock time since 1970, whatever the time zone of the session."""
+    return F.unix_micros(F.from_utc_timestamp(moment.cast("timestamp"), F.current_timezone()))
 
 
 def whole_days(start: Column, end: Column) -> Column:

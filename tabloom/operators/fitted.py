@@ -162,7 +162,7 @@ class FeatureTransformer:
         return z if f.kind == "zscore" else flag(F.abs(z) > 2)
 
     def _date_features(self, c: str) -> dict[str, Column]:
-        reference = (F.lit(self.reference_date).cast("timestamp") if self.reference_date
+        reference = (F.lit(self.reference_date).cast("timestamp_ntz") if self.reference_date
                      else F.current_timestamp())
         text = self.column_types.get(c) == "string"
         moment = F.try_to_timestamp(named(c)) if text else named(c)

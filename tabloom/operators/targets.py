@@ -124,7 +124,7 @@ def date_features(c: str, latest) -> Features:
     """Date parts plus recency against the latest moment in the data."""
     made = date_parts(c)
     if latest is not None:
-        made |= recency_features(c, F.lit(latest))
+        made |= recency_features(c, F.lit(str(latest)).cast("timestamp_ntz"))
     return made
 
 
@@ -240,7 +240,7 @@ class TargetGenerator:
             for c in columns:
                 wanted.setdefault(c, set()).update(shares)
         stats = fit_stats(df, {c: sorted(p) for c, p in wanted.items()})
-        newest = df.agg(*[F.max(named(c)).alias(c) for c in dates]).first() if dates else {}
+        newest = df.agg(*[F.max(named(c)).cast("string").alias(c) for c in dates]).first() if dates else {}
 
         first: Features = {}
         for columns, family in ((money, price_features), (counts, quantity_features),

@@ -150,17 +150,19 @@ def train_classification(df: DataFrame, target: str, *, key: str | None = None,
     raw = split.withColumn("weight", weight).persist(StorageLevel.MEMORY_AND_DISK)
     train_raw = raw.where(~F.col("__test"))
     bare = train_raw.drop("weight", "__test")
+    failures: dict[str, str] = {}
     try:
         prep = efficient_preprocessing(bare, "label", KEY, max_categories=10, max_dummy_features=500,
                                        max_features=50 if quick_mode else 100)
-    except Exception:  # an encoder that cannot be fitted leaves the plain preprocessor
+    except Exception as error:  # an encoder that cannot be fitted leaves the plain preprocessor
+        failures["preprocessing"] = f"{type(error).__name__}: {error}"[:500]
         prep = fallback_preprocessor(bare.drop(KEY), "label")
     ready = prep.transform(raw).select("label", "features", "weight", "__test").persist(StorageLevel.MEMORY_AND_DISK)
     train, test = ready.where(~F.col("__test")).drop("__test"), ready.where(F.col("__test")).drop("__test")
     shape = Shape(rows, len(prep.slots), classes, imbalanced)
     chosen = models or (quick_models() if quick_mode else advanced_models(shape))
     results: dict[str, dict] = {}
-    best_name, best_model, best_score, failures = None, None, 0.0, {}
+    best_name, best_model, best_score = None, None, 0.0
     for name, fit in chosen.items():
         try:
             estimator = create_fresh_model(name, shape) if search else None

@@ -17,7 +17,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.scalars import (date_columns, named, numeric_columns, quoted, text_columns,
+from tabloom.functions.scalars import (date_columns, epoch_nanos, named, numeric_columns, quoted, text_columns,
                                        whole_days)
 from tabloom.functions.stats import fit_stats, modes
 from tabloom.operators.association import mutual_information
@@ -222,14 +222,14 @@ def regression_preprocessor(df: DataFrame, target: str) -> Preprocessor:
 
 def dates_as_numbers(df: DataFrame) -> DataFrame:
     """Date columns as nanoseconds since 1970."""
-    made = {c: F.unix_micros(named(c).cast("timestamp")) * 1000 for c in date_columns(df)}
+    made = {c: epoch_nanos(named(c)) for c in date_columns(df)}
     return df.withColumns(made) if made else df
 
 
 def days_since(df: DataFrame, reference: str, drop: Sequence[str] = ()) -> DataFrame:
     """Date columns replaced by whole days up to a reference moment, ids dropped."""
     dates = date_columns(df)
-    moment = F.lit(reference).cast("timestamp")
+    moment = F.lit(reference).cast("timestamp_ntz")
     return df.withColumns({f"{c}_days_since": whole_days(named(c), moment) for c in dates}) \
         .drop(*dates, *drop)
 

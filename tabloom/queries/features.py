@@ -131,7 +131,7 @@ def recency_sql(days):
 def date_features(spark, folder):
     """F15-F17, X1-X4 on order dates."""
     df = table(spark, folder, "orders").select("o_orderkey", "o_orderdate")
-    newest = df.agg(F.max("o_orderdate")).first()[0]
+    newest = df.agg(F.max("o_orderdate").cast("string")).first()[0]
     return df.select("o_orderkey", *[v.alias(n) for n, v in T.date_features("o_orderdate", newest).items()])
 
 
@@ -140,8 +140,9 @@ def date_features(spark, folder):
 def recency_of_events(spark, folder):
     """F16, F17 where the time of day matters."""
     df = table(spark, folder, "events").select("event_id", "ts")
-    newest = df.agg(F.max("ts")).first()[0]
-    return df.select("event_id", *[v.alias(n) for n, v in T.recency_features("ts", F.lit(newest)).items()])
+    newest = df.agg(F.max("ts").cast("string")).first()[0]
+    recency = T.recency_features("ts", F.lit(newest).cast("timestamp_ntz"))
+    return df.select("event_id", *[v.alias(n) for n, v in recency.items()])
 
 
 @query(f"""WITH d AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice / nullif(l_quantity - 1, 0) AS v FROM lineitem),

@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from tabloom.functions import scalars as X
 from tabloom.operators import columns as C
 from tabloom.operators import profile as P
+from tabloom.operators.encode import dummies
+from tabloom.plans.prepare import days_since
 from tabloom.queries.base import query, r, rounded, table
 
 LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -206,3 +209,44 @@ def complete_rows(spark, folder):
         F.col("c_custkey"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")).alias("c_acctbal"),
         F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).alias("target"))
     return C.known_target(C.complete_rows(df), "target").drop("target")
+
+
+@query("""SELECT o_orderkey, year(o_orderdate)::INT AS y, month(o_orderdate)::INT AS m, quarter(o_orderdate)::INT AS q, day(o_orderdate)::INT AS d,
+    isodow(o_orderdate)::INT - 1 AS wd, (isodow(o_orderdate) >= 6)::INT AS weekend,
+    date_diff('microsecond', o_orderdate, TIMESTAMP '2002-01-01 06:00:00') // 86400000000 AS age, epoch_ns(o_orderdate) AS nanos,
+    regexp_replace(o_orderpriority, '[^0-9A-Za-z]', '_', 'g') AS clean, concat_ws(' ', o_orderstatus, o_orderpriority) AS joined,
+    round(o_totalprice / nullif(o_orderkey % 5, 0), 4) AS ratio, round(sqrt(abs(o_totalprice - 250000)), 4) AS root,
+    o_orderstatus IN ('F', 'O') AS closed, printf('%.4f', o_custkey / 8.0::DOUBLE) AS four, printf('%.2f%%', (o_custkey % 8) / 8.0::DOUBLE * 100) AS pct,
+    round(list_avg([CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END, CASE WHEN o_orderkey % 2 > 0 THEN o_orderkey END]), 4) AS mean,
+    CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 1 ELSE -1 END AS code FROM orders""")
+def scalar_functions(spark, folder):
+    """X1-X6, X10-X18 on every order."""
+    day, key, cust = F.col("o_orderdate"), F.col("o_orderkey"), F.col("o_custkey")
+    means = [F.when(key % 3 > 0, cust.cast("double")), F.when(key % 2 > 0, key.cast("double"))]
+    return table(spark, folder, "orders").select(
+        "o_orderkey", F.year(day).alias("y"), F.month(day).alias("m"), F.quarter(day).alias("q"), F.dayofmonth(day).alias("d"),
+        F.weekday(day).alias("wd"), X.weekend(day).alias("weekend"),
+        X.whole_days(day, F.lit("2002-01-01 06:00:00").cast("timestamp_ntz")).alias("age"), X.epoch_nanos(day).alias("nanos"),
+        X.clean_name(F.col("o_orderpriority")).alias("clean"), F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("joined"),
+        r(X.safe_ratio(F.col("o_totalprice"), key % 5), 4).alias("ratio"),
+        r(F.sqrt(F.abs(F.col("o_totalprice") - 250000)), 4).alias("root"), F.col("o_orderstatus").isin("F", "O").alias("closed"),
+        X.four_decimals(cust / 8).alias("four"), X.percent_text((cust % 8) / 8).alias("pct"), r(X.row_mean(means), 4).alias("mean"),
+        X.category_code(F.col("o_orderstatus"), ["F", "P"]).alias("code"))
+
+
+@query("""SELECT o_orderkey, date_diff('microsecond', o_orderdate, TIMESTAMP '2002-01-01') // 86400000000 AS o_orderdate_days_since,
+    (o_orderstatus = 'F')::INT AS "o_orderstatus_F", (o_orderstatus = 'O')::INT AS "o_orderstatus_O", (o_orderstatus = 'P')::INT AS "o_orderstatus_P" FROM orders""")
+def days_and_dummies(spark, folder):
+    """Dates as days up to a reference, dummies for the rest, ids dropped."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
+    return dummies(days_since(orders, "2002-01-01", ["o_custkey"]), ["o_orderstatus"])
+
+
+@query("""SELECT count(*) AS rows, 6 AS columns, 'o_custkey:bigint o_orderdate:timestamp_ntz' AS kinds, count(*) FILTER (o_orderkey % 10 = 0) AS missing FROM orders""")
+def describe_table(spark, folder):
+    """Shape, types and missing values."""
+    orders = table(spark, folder, "orders").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 10 != 0, F.col("o_totalprice")))
+    about = P.describe(orders)
+    kinds = " ".join(f"{c}:{about['types'][c]}" for c in ("o_custkey", "o_orderdate"))
+    return spark.createDataFrame([(about["rows"], about["columns"], kinds, about["missing"]["o_totalprice"])],
+                                 "rows bigint, columns int, kinds string, missing bigint")

@@ -145,3 +145,33 @@ def test_valid_ids(spark):
     df = spark.createDataFrame([("1d0046a9-3ed3-4cdb-b8c4-3e47f4cb527c",), ("x",), (None,)], "id string")
     assert column(df, C.valid_id("id")) == [True, False, False]
     assert all(len(v) == 36 for v in column(df, C.valid_or_new_id("id")))
+
+
+def test_dates_do_not_depend_on_the_session_zone(spark):
+    days = [dt.datetime(2024, 3, 10), dt.datetime(2024, 3, 11), dt.datetime(2024, 11, 4)]
+    df = spark.createDataFrame([(d,) for d in days], "day timestamp_ntz").coalesce(1)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("America/New_York", "Asia/Tokyo", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            made = T.generate_features(df.withColumn("price", F.lit(1.0)))
+            assert column(made, "day_recency_days") == [239, 238, 0], name
+            fitted = FeatureTransformer(reference_date="2024-11-04").fit(df.withColumnRenamed("day", "a_date"))
+            assert column(fitted.transform(df.withColumnRenamed("day", "a_date")), "a_date_recency_days") == [239, 238, 0], name
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_small_column_tools(spark):
+    df = spark.createDataFrame([(1.5, "a", 1), (None, None, 2), (2.5, "a", 3)], "x double, t string, n int")
+    assert C.narrow_floats(df).dtypes == [("x", "float"), ("t", "string"), ("n", "int")]
+    assert C.text_target(df, "n").dtypes[2] == ("n", "string") and C.as_text(df, ["x"]).dtypes[0] == ("x", "string")
+    assert C.added_columns(["a"], ["a", "b"]) == ["b"]
+    assert C.prefixed(df, {"num": ["x"], "cat": ["t"]}).columns == ["num__x", "cat__t"]
+    assert [tuple(r) for r in C.fill_typical(df).collect()] == [(1.5, "a", 1), (2.0, "a", 2), (2.5, "a", 3)]
+    assert C.complete_rows(df).count() == 2 and C.known_target(df, "t").count() == 2
+    assert C.numeric_features(df, "n") == ["x"]
+    loose = spark.createDataFrame([("7", "x")], "a string, b string")
+    assert tuple(C.coerce_record(loose, {"a": "int", "b": "double", "c": "string"}).first()) == (7, None, None)
+    hot = C.align_one_hot(spark.createDataFrame([("u_v", 1)], "my_col string, n int"), ["cat__my_col_u_v", "cat__my_col_w", "n", "gone"])
+    assert tuple(hot.first()) == (1, 0, 1, 0)

@@ -91,7 +91,7 @@ def dummies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 def numbered(values: DataFrame, column: str, out: str = "index") -> DataFrame:
-    """Distinct values with their position in sorted order.
+    """Rows of distinct values with their position in sorted order.
 
     A small set is numbered by one window. A larger one is range-sorted and written; every
     partition then starts at the total of the partitions before it.
@@ -99,8 +99,7 @@ def numbered(values: DataFrame, column: str, out: str = "index") -> DataFrame:
     if values.limit(ONE_TASK_VALUES + 1).count() <= ONE_TASK_VALUES:
         w = Window.orderBy(named(column))
         return values.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-    placed = checkpoint(values.orderBy(named(column)).select(
-        named(column), F.monotonically_increasing_id().alias("__at")))
+    placed = checkpoint(values.orderBy(named(column)).withColumn("__at", F.monotonically_increasing_id()))
     part, at = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit(2**33 - 1))
     sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(
         F.count(F.lit(1)).alias("n")).collect()}
@@ -108,14 +107,14 @@ def numbered(values: DataFrame, column: str, out: str = "index") -> DataFrame:
     for p in sorted(sizes):
         starts += [F.lit(p).cast("bigint"), F.lit(start).cast("bigint")]
         start += sizes[p]
-    return placed.select(named(column), (F.element_at(F.create_map(*starts), part) + at).alias(out))
+    return placed.withColumn(out, F.element_at(F.create_map(*starts), part) + at).drop("__at")
 
 
 def category_index(df: DataFrame, column: str) -> DataFrame:
-    """Table ``(column, index, rows)`` of the sorted known values."""
+    """Table ``(column, __rows, index)`` of the sorted known values."""
     counts = (df.where(named(column).isNotNull()).groupBy(named(column))
               .agg(F.count(F.lit(1)).alias("__rows")))
-    return attach(counts, numbered(counts.select(column), column), column)
+    return numbered(counts, column)
 
 
 def ordinal(df: DataFrame, column: str, fitted: DataFrame | None = None,

@@ -30,15 +30,19 @@ def build_session(app: str = "tabloom", master: str | None = None, **extra: str)
     return builder.getOrCreate()
 
 
+_local: list[str] = []
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, the folder all executors share.
 
-    Only where the cluster names none (tests on one machine) is a local one set.
+    Only where the cluster names none (tests on one machine) is a local one used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tabloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="tabloom-"))
+        base = _local[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -22,6 +22,7 @@ from tabloom.functions.scalars import (date_columns, epoch_nanos, named, numeric
 from tabloom.functions.stats import fit_stats, modes
 from tabloom.operators.association import mutual_information
 from tabloom.operators.encode import choose_encoding, frequent_values, split_by_cardinality
+from tabloom.operators.fitted import FeatureTransformer
 from tabloom.operators.sampling import sample_rows
 
 DICTIONARY_VALUES = 100_000   # distinct values for which a dictionary is kept on the driver
@@ -51,13 +52,13 @@ class Preprocessor:
     def transform(self, df: DataFrame) -> DataFrame:
         return self.model.transform(df)
 
-    def wide(self, df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-        """Features as plain columns; generic names when ``names`` does not match their number."""
+    def wide(self, df: DataFrame, names: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+        """Features as plain columns after the kept ones; generic names when ``names`` does not match."""
         names = list(names if names is not None else self.feature_names)
         if len(names) != len(self.slots):
             names = [f"feature_{i}" for i in range(len(self.slots))]
         array = vector_to_array("features")
-        return self.transform(df).select(*[array[i].alias(n) for i, n in enumerate(names)])
+        return self.transform(df).select(*[named(c) for c in keep], *[array[i].alias(n) for i, n in enumerate(names)])
 
     def info(self) -> str:
         return json.dumps({"slots": [asdict(s) for s in self.slots], "target": self.target,
@@ -210,6 +211,22 @@ def create_preprocessor(df: DataFrame, numbers: Sequence[str] | None = None,
     return build_preprocessor(df, target, numbers=numbers, categories=categories, limit_per_column=10)
 
 
+@dataclass
+class PreparedFeatures:
+    """Fitted features on top of imputed, scaled and one-hot encoded columns."""
+
+    preprocessor: Preprocessor | None = None
+    features: FeatureTransformer | None = None
+
+    def fit(self, df: DataFrame, **options) -> "PreparedFeatures":
+        self.preprocessor = create_preprocessor(df)
+        self.features = FeatureTransformer(**options).fit(self.preprocessor.wide(df))
+        return self
+
+    def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        return self.features.transform(self.preprocessor.wide(df, keep=keep))
+
+
 def fallback_preprocessor(df: DataFrame, target: str) -> Preprocessor:
     """One-hot up to ten values, positions for wider columns."""
     return build_preprocessor(df, target, max_categories=10, encoding="ordinal")

@@ -4,12 +4,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tabloom.functions import fixed_values as V
 from tabloom.functions.scalars import named
 from tabloom.operators.fitted import FeatureTransformer
 from tabloom.plans import classify, cluster, metrics, prepare, regress, score
 from tabloom.plans import models as M
 from tabloom.queries.associations import joined
-from tabloom.queries.base import query, r, rounded, table
+from tabloom.queries.base import cut_sql, query, r, rounded, table
 from tabloom.queries.fitted import SHARES, numeric_sql
 from tabloom.queries.features import stats_cte
 from tabloom.session import work_folder
@@ -86,6 +87,19 @@ def preprocess_wide(spark, folder):
         array[names.index("cat_high__p_brand")].alias("brand"))
 
 
+@query(f"""WITH m AS (SELECT avg(p_retailprice) AS m, stddev_pop(p_retailprice) AS sd FROM part),
+    d AS (SELECT p_partkey, (p_retailprice - m) / sd AS price, p_type FROM part, m), {stats_cte(['price'], 'd', SHARES)}
+    SELECT p_partkey, round(price, 5) AS scaled, {cut_sql('price', ['price_min', 'price_q[1]', 'price_q[3]', 'price_q[5]', 'price_max'], V.QUARTERS, True)} AS category,
+           (p_type = 'ECONOMY')::INT::DOUBLE AS economy FROM d, s""")
+def prepared_features(spark, folder):
+    """features generated after imputing, scaling and one-hot encoding."""
+    part = table(spark, folder, "part").select("p_partkey", "p_retailprice", "p_type")
+    fitted = prepare.PreparedFeatures().fit(part.drop("p_partkey"), target_only=True)
+    made = fitted.transform(part, keep=["p_partkey"])
+    return made.select("p_partkey", r(F.col("num__p_retailprice"), 5).alias("scaled"),
+                       F.col("num__p_retailprice_category").alias("category"), F.col("cat__p_type_ECONOMY").alias("economy"))
+
+
 def order_facts(spark, folder):
     """Orders with their customer; the target leans on price and balance."""
     df = joined(spark, folder).drop("o_custkey", "size_class", "is_cheap")

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabloom.llm.exact_dedup import exact_groups
 from tabloom.llm.line_dedup import drop_repeated_lines
+from tabloom.llm.pieces import encode_documents
 from tabloom.llm.sharding import shard_documents
 from tabloom.llm.simhash import near_groups
+from tabloom.llm.token_count import token_counts
+from tabloom.llm.warc import archived_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +33,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public vocabulary file, the same on driver and executors."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 LINE_SQL = """
 WITH lines AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -103,3 +112,21 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document, over fingerprints that differ in at most two bits."""
     return near_groups(table(spark, folder, "documents"), words=3, max_bits=2)
+
+
+@query()
+def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document by a SentencePiece model, verified against that library, and whether they decode back."""
+    return encode_documents(table(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query()
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether there are over 512 tokens."""
+    return token_counts(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=512)
+
+
+@query()
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """What archives that were written from all pages and read back say of each page."""
+    return archived_pages(table(spark, folder, "pages"))

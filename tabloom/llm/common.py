@@ -10,6 +10,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tabloom.session import work_folder
 
@@ -29,7 +30,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema: str) -> DataFrame:
+              schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` with batches bounded by bytes, so that very long texts don't pile up in a Python worker.
 
     Workers import this package; it is sent along once per session, as ``--py-files`` would.

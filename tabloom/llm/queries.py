@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabloom.llm.decontaminate import contaminated
 from tabloom.llm.exact_dedup import exact_groups
+from tabloom.llm.language import label_documents
+from tabloom.llm.licenses import license_spans
 from tabloom.llm.line_dedup import drop_repeated_lines
 from tabloom.llm.pieces import encode_documents
 from tabloom.llm.sharding import shard_documents
@@ -130,3 +133,21 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     """What archives that were written from all pages and read back say of each page."""
     return archived_pages(table(spark, folder, "pages"))
+
+
+@query()
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item, the similarity and the place."""
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query()
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of all documents that match a licence text or notice."""
+    return license_spans(table(spark, folder, "documents"))
+
+
+@query()
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learnt from the labelled four fifths."""
+    return label_documents(table(spark, folder, "documents"))

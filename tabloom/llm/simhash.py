@@ -14,38 +14,60 @@ from tabloom.llm.common import by_id, id_and_text, map_arrow, stored
 from tabloom.llm.components import components
 
 SEED = 42
+MASK = (1 << 64) - 1
 CHUNK = 65536          # shingles whose bits are counted at a time
 CODE_BITS = 31         # length of the Hamming code whose words are the anchors; covering radius 1
 HALVES = (0, 32)       # where the compared halves of a fingerprint start
 
 
-def fingerprint(text: str, words: int) -> int:
-    """Bits set in over half the hashes of the text's word shingles, repeats counted; 0 without words."""
+def _mixed(hashes: np.ndarray, draw: int) -> np.ndarray:
+    """The hashes themselves for draw 0, other hashes of the same shingles for every further draw."""
+    if not draw:
+        return hashes
+    with np.errstate(over="ignore"):
+        x = (hashes ^ np.uint64(draw * 0x9E3779B97F4A7C15 & MASK)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(29)
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set, the highest first; 255 rows at a time fit a byte."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    whole = len(bits) // 255 * 255
+    counts = bits[whole:].sum(axis=0, dtype=np.int64)
+    return counts + bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(text: str, words: int, draws: int = 1) -> list[int]:
+    """Bits set in over half the hashes of the text's word shingles, repeats counted; 0 without words. One per draw."""
     found = text.encode("utf-8").lower().split()      # of bytes: lower-cases A-Z, splits at \x20 and \x09-\x0D only
     if not found:
-        return 0
+        return [0] * draws
     size = min(words, len(found))
     total = len(found) - size + 1
-    counts = np.zeros(64, dtype=np.int64)
+    counts = np.zeros((draws, 64), dtype=np.int64)
     for start in range(0, total, CHUNK):
         piece = found[start:min(start + CHUNK, total) + size - 1]
         shingles = map(b" ".join, zip(*(piece[i:] for i in range(size))))
-        digests = b"".join(xxhash.xxh64_digest(s, SEED) for s in shingles)
-        bits = np.unpackbits(np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
+        hashes = np.frombuffer(b"".join(xxhash.xxh64_digest(s, SEED) for s in shingles), dtype=">u8").astype(np.uint64)
+        for draw in range(draws):
+            counts[draw] += _bit_counts(_mixed(hashes, draw))
+    return [int.from_bytes(np.packbits(2 * c > total).tobytes(), "big") for c in counts]
 
 
-def fingerprints(docs: DataFrame, words: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp``, the 64-bit fingerprint, of every document."""
+def fingerprints(docs: DataFrame, words: int = 3, draws: int = 1, id_column: str = "doc_id",
+                 text_column: str = "text") -> DataFrame:
+    """``doc_id`` and ``fps``, the 64-bit fingerprints of all draws, of every document."""
     rows = id_and_text(docs, id_column, text_column)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t.as_py(), words) for t in batch["text"]], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            values = [fingerprint(t.as_py(), words, draws) for t in batch["text"]]
+            flat = np.array(values, dtype=np.uint64).reshape(-1).view(np.int64)
+            fps = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * draws), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], fps], ["doc_id", "fps"])
 
-    return map_arrow(rows, of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return map_arrow(rows, of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fps array<bigint>")
 
 
 def _syndrome(x: Column) -> Column:
@@ -61,7 +83,7 @@ def _home(x: Column, syndrome: Column) -> Column:
 
 
 def linked(fps: DataFrame, max_bits: int = 2) -> DataFrame:
-    """Pairs ``a`` < ``b`` of the distinct fingerprints ``fp`` that differ in 1 to ``max_bits`` bits (5 at most).
+    """``draw`` and pairs ``a`` < ``b`` of its distinct fingerprints ``fp`` that differ in 1 to ``max_bits`` bits (5 at most).
 
     One half of the two fingerprints differs in at most ``max_bits // 2`` bits. 31 bits of each half are covered by
     the words of the Hamming code: every value has its home anchor within one bit. Fingerprints are replicated to the
@@ -73,28 +95,32 @@ def linked(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     if not 0 <= max_bits <= 5:
         raise ValueError("max_bits is 0 to 5")
     if max_bits == 0:
-        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
-    near = max_bits // 2 > 1
-    halves = fps.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("half"), F.shiftrightunsigned("fp", start).bitwiseAND(F.lit((1 << CODE_BITS) - 1)).alias("x"))
-        for i, start in enumerate(HALVES)])).alias("h")).select("fp", "h.*").withColumn("s", _syndrome(F.col("x")))
-    halves = halves.withColumn("home", _home(F.col("x"), F.col("s")))
+        return fps.select("draw", F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
+
+    def half(fp: str, slot: Column) -> Column:
+        start = F.when(slot % 2 == 0, HALVES[0]).otherwise(HALVES[1])
+        return F.call_function("shiftrightunsigned", F.col(fp), start).bitwiseAND(F.lit((1 << CODE_BITS) - 1))
+
+    # the slot, draw and half of an anchor, stands above its bits, so that key and fingerprint are all that is moved
+    halves = (fps.select("fp", F.explode(F.array(F.col("draw") * 2, F.col("draw") * 2 + 1)).alias("slot"))
+              .withColumn("x", half("fp", F.col("slot"))).withColumn("s", _syndrome(F.col("x"))))
+    above = F.call_function("shiftleft", F.col("slot").cast("bigint"), F.lit(CODE_BITS))
+    halves = halves.withColumn("home", _home(F.col("x"), F.col("s")).bitwiseOR(above))
     others = F.expr(f"""transform(filter(sequence(1, {CODE_BITS}), i -> i < (i ^ s)),
-        i -> x ^ shiftleft(1L, i - 1) ^ shiftleft(1L, (i ^ s) - 1))""")
+        i -> x ^ shiftleft(1L, i - 1) ^ shiftleft(1L, (i ^ s) - 1) | shiftleft(bigint(slot), {CODE_BITS}))""")
     replicas = halves.withColumn("anchor", F.explode(F.concat(F.array("home"), others)))
-    far = replicas.select("half", "anchor", F.col("fp").alias("b"), F.col("x").alias("y"))
-    differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    if not near:
-        homes = halves.select("half", F.col("home").alias("anchor"), F.col("fp").alias("a"))
-        pairs = homes.join(far, ["half", "anchor"]).where((F.col("a") < F.col("b")) & (differ <= max_bits))
+    far = replicas.select("anchor", F.col("fp").alias("b"))
+    close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
+    slot = F.shiftright("anchor", CODE_BITS)
+    if max_bits // 2 <= 1:
+        pairs = halves.select(F.col("home").alias("anchor"), F.col("fp").alias("a")).join(far, "anchor").where(close)
     else:
-        here = replicas.select("half", "anchor", F.col("fp").alias("a"), "x")
-        gap = F.col("x").bitwiseXOR(F.col("y"))
-        between = F.when(F.bit_count(gap) == 2, F.col("x").bitwiseXOR(gap.bitwiseAND(-gap))).otherwise(F.col("x"))
-        pairs = here.join(far, ["half", "anchor"]).where(
-            (F.col("a") < F.col("b")) & (differ <= max_bits)
-            & (F.col("anchor") == _home(between, _syndrome(between))))
-    return pairs.select("a", "b").distinct()
+        a, b = half("a", slot), half("b", slot)
+        gap = a.bitwiseXOR(b)
+        between = F.when(F.bit_count(gap) == 2, a.bitwiseXOR(gap.bitwiseAND(-gap))).otherwise(a)
+        here = F.col("anchor").bitwiseAND(F.lit((1 << CODE_BITS) - 1)) == _home(between, _syndrome(between))
+        pairs = replicas.select("anchor", F.col("fp").alias("a")).join(far, "anchor").where(close & here)
+    return pairs.select((slot / 2).cast("int").alias("draw"), "a", "b").distinct()
 
 
 def near_groups(docs: DataFrame, words: int = 3, max_bits: int = 2, id_column: str = "doc_id",
@@ -108,9 +134,10 @@ def near_groups(docs: DataFrame, words: int = 3, max_bits: int = 2, id_column: s
     NULL and blank texts have fingerprint zero and are linked like any other. NULL ids are left out of the smallest id
     (a component of NULL ids only has NULL). Repeated rows are all returned. An empty table gives an empty result.
     """
-    rows = stored(fingerprints(docs, words, id_column, text_column), "fingerprints")
+    rows = stored(fingerprints(docs, words, 1, id_column, text_column).select("doc_id", F.col("fps")[0].alias("fp")),
+                  "fingerprints")
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(linked(classes.select("fp"), max_bits))
+    roots = components(linked(classes.select(F.lit(0).alias("draw"), "fp"), max_bits))
     joined = classes.join(roots, classes["fp"] == roots["node"])
     smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = joined.join(smallest, "root").select(F.col("fp").alias("moved_fp"), "component_id")
@@ -121,9 +148,31 @@ def near_groups(docs: DataFrame, words: int = 3, max_bits: int = 2, id_column: s
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, max_bits: int = 5, id_column: str = "doc_id",
+def drop_near_copies(docs: DataFrame, words: int = 5, max_bits: int = 5, draws: int = 8, id_column: str = "doc_id",
                      text_column: str = "text") -> DataFrame:
-    """``docs`` with all its columns, of every group of near copies the document with the smallest id."""
-    groups = near_groups(docs, words, max_bits, id_column, text_column)
-    stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return by_id(docs, stays, "left_semi", id_column)
+    """``docs`` with all its columns, of every group of near copies the document with the smallest id.
+
+    Documents are near copies if any of ``draws`` fingerprints of their shingles, each over other hashes, differ in at
+    most ``max_bits`` bits; one fingerprint alone misses many pairs of similarity 0.8, eight find most. The first two
+    draws run first and only one document of each group goes on to the others, so a large group is not linked over and
+    over. Groups reach over links as in ``near_groups``. Documents without id stay.
+    """
+    left = stored(fingerprints(docs, words, draws, id_column, text_column).where("doc_id IS NOT NULL"), "fingerprints")
+    gone = None
+    for first, last in ((0, min(2, draws)), (2, draws)):
+        if first >= last:
+            continue
+        each = left.select("doc_id", F.posexplode("fps").alias("draw", "fp")).where(
+            (F.col("draw") >= first) & (F.col("draw") < last))
+        classes = stored(each.groupBy("draw", "fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
+        same = each.join(classes, ["draw", "fp"]).where("doc_id <> least").select(
+            F.col("doc_id").alias("a"), F.col("least").alias("b"))
+        ends = [classes.select("draw", F.col("fp").alias(c), F.col("least").alias(f"{c}_id")) for c in "ab"]
+        pairs = stored(linked(classes, max_bits), "fingerprint-links")
+        near = pairs.join(ends[0], ["draw", "a"]).join(ends[1], ["draw", "b"]).select(
+            F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+        copies = stored(components(same.unionByName(near)).where("node <> root").select(F.col("node").alias("doc_id")), "near-copies")
+        gone = copies if gone is None else gone.unionByName(copies)
+        if last < draws:
+            left = stored(left.join(copies, "doc_id", "left_anti"), "fingerprints")
+    return by_id(docs, gone, "left_anti", id_column)

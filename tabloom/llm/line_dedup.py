@@ -65,14 +65,14 @@ def _variants(lines: DataFrame) -> DataFrame:
             xxhash64(b, substring(line, b * {BLOCK} + 2, {BLOCK})), 0L))"""),
     })
     fold = "aggregate({}, 0L, (x, y) -> x ^ y)"
-    whole = blocks.select("line_id", "place", F.expr(fold.format("plain")).alias("key"),
+    whole = blocks.select("rank", F.expr(fold.format("plain")).alias("key"),
                           F.length("line").alias("size"), F.lit(0).alias("position"))
-    parts = blocks.select("line_id", "place", F.length("line").alias("n"), F.explode(F.expr(f"""transform(sequence(0, {last}),
+    parts = blocks.select("rank", F.length("line").alias("n"), F.explode(F.expr(f"""transform(sequence(0, {last}),
         b -> struct(b AS block, substring(line, b * {BLOCK} + 1, {BLOCK} + 1) AS part,
                     {fold.format('slice(plain, 1, b)')} ^ {fold.format(f'slice(moved, b + 2, {last} + 1)')} AS others))""")).alias("p"))
-    less = parts.select("line_id", "place", "n", "p.*", F.explode(F.expr(
+    less = parts.select("rank", "n", "p.*", F.explode(F.expr(
         f"sequence(1, least(length(p.part), {BLOCK}))")).alias("i")).select(
-        "line_id", "place",
+        "rank",
         F.expr("others ^ if(length(part) = 1, 0L, xxhash64(block, concat(left(part, i - 1), substring(part, i + 1))))").alias("key"),
         (F.col("n") - 1).alias("size"), F.expr(f"block * {BLOCK} + i").alias("position"))
     return whole.unionByName(less)
@@ -83,29 +83,26 @@ def _near_repeats(docs: DataFrame, lines: DataFrame) -> DataFrame:
     halves = lines.select("line_id", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").count().where("count > 1").select("half")
     chosen = halves.join(shared, "half", "left_semi").select("line_id").distinct()
-    texts = stored(_with_text(docs, lines.select("line_id", "place").join(chosen, "line_id", "left_semi")), "line-texts")
+    texts = _with_text(docs, lines.select("line_id", "place").join(chosen, "line_id", "left_semi"))
+    # numbered in the order of their places, so that one number tells which of two lines comes first
+    texts = stored(texts.orderBy("place").select(F.monotonically_increasing_id().alias("rank"), "line_id", "line"), "line-texts")
     variants = stored(_variants(texts), "line-variants")
     # A replaced character: equal after a deletion at one position. Whoever comes first there is within one edit of
     # all the others, so each is paired with that one only.
     same = ["key", "size", "position"]
     deleted = variants.where("position > 0")
-    heads = (deleted.groupBy(*same).agg(F.min(F.struct("place", "line_id")).alias("head"), F.count(F.lit(1)).alias("n"))
+    heads = (deleted.groupBy(*same).agg(F.min("rank").alias("early"), F.count(F.lit(1)).alias("n"))
              .where("n > 1"))
-    replaced = (deleted.join(heads, same).where("place > head.place")
-                .select(F.col("line_id").alias("late"), F.col("head.line_id").alias("early")))
+    replaced = (deleted.join(heads, same).where("rank > early").select(F.col("rank").alias("late"), "early"))
     # An added or missing character: one line is a variant of the other.
-    whole = variants.where("position = 0").select("key", "size", F.col("line_id").alias("short"),
-                                                  F.col("place").alias("short_place"))
-    later = F.col("place") > F.col("short_place")
-    added = deleted.join(whole, ["key", "size"]).select(
-        F.when(later, F.col("line_id")).otherwise(F.col("short")).alias("late"),
-        F.when(later, F.col("short")).otherwise(F.col("line_id")).alias("early"))
+    whole = variants.where("position = 0").select("key", "size", F.col("rank").alias("short"))
+    added = deleted.join(whole, ["key", "size"]).select(F.greatest("rank", "short").alias("late"),
+                                                        F.least("rank", "short").alias("early"))
     pairs = replaced.unionByName(added).distinct()
-    late = texts.select(F.col("line_id").alias("late"), F.col("line").alias("late_line"))
-    early = texts.select(F.col("line_id").alias("early"), F.col("line").alias("early_line"))
+    late = texts.select(F.col("rank").alias("late"), "line_id", F.col("line").alias("late_line"))
+    early = texts.select(F.col("rank").alias("early"), F.col("line").alias("early_line"))
     return (pairs.join(late, "late").join(early, "early")
-            .where(F.levenshtein("late_line", "early_line", 1).between(0, 1))
-            .select(F.col("late").alias("line_id")).distinct())
+            .where(F.levenshtein("late_line", "early_line", 1).between(0, 1)).select("line_id").distinct())
 
 
 def drop_repeated_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, id_column: str = "doc_id",

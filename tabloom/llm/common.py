@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from tabloom.session import work_folder
 
-ARROW_BYTES = 32 * 1024 * 1024      # text handed to Python at a time, whatever the number of rows
+ARROW_BYTES = 4 * 1024 * 1024       # text handed to Python at a time, whatever the number of rows
 _ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 _sent: set[str] = set()             # applications that have the package
 

@@ -54,6 +54,7 @@ class Pieces:
         self._bytes = [bytes([int(n[1:-1], 16)]) if k == BYTE else n.encode("utf-8") for n, k in zip(self.names, kinds)]
         self._met: dict[str, bytes] = {}
         self._lossy: set[str] = set()
+        self._odd: set[str] = set()
         self.skipped = {i for i, k in enumerate(kinds) if k == CONTROL}
         self.verify(PROBES)
 
@@ -63,7 +64,7 @@ class Pieces:
 
         steps = [normalizers.Precompiled(rule.precompiled_charsmap)] if rule.precompiled_charsmap else []
         if rule.remove_extra_whitespaces:
-            steps += [normalizers.Replace(Regex(f"^[ {MARK}]+|[ {MARK}]+$"), ""), normalizers.Replace(Regex(f"[ {MARK}]{{2,}}"), " ")]
+            steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
         steps.append(normalizers.Replace(" ", MARK))
         if rule.add_dummy_prefix:
             steps.append(normalizers.Prepend(MARK))
@@ -74,7 +75,8 @@ class Pieces:
 
         scores = [p.score for p in self.model.pieces]
         if trained.model_type == UNIGRAM:
-            return models.Unigram(list(zip(self.names, scores)), trained.unk_id, trained.byte_fallback)
+            apart = [f"\uffff{k}" if kinds[k] == CONTROL else n for k, n in enumerate(self.names)]    # never met in texts
+            return models.Unigram(list(zip(apart, scores)), trained.unk_id, trained.byte_fallback)
         if trained.model_type != BPE:
             raise ValueError("only byte-pair and unigram models are known")
         vocabulary = {n: i for i, n in enumerate(self.names)}
@@ -94,7 +96,7 @@ class Pieces:
 
         steps = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
         if rule.add_dummy_prefix:
-            steps.append(decoders.Strip(" ", 1, 0))
+            steps.append(decoders.Strip(" ", 1 << 20 if rule.remove_extra_whitespaces else 1, 0))
         return decoders.Sequence(steps)
 
     def normalise(self, text: str) -> str:
@@ -103,36 +105,36 @@ class Pieces:
             return self.normaliser.normalize_str(text) if text else ""
         return self.identity + text.replace(" ", MARK)
 
-    def encode(self, texts: Sequence[str]) -> tuple[list[np.ndarray], list[bool]]:
-        """Ids of every text, and whether they stand for its normalised form byte by byte.
+    def encode(self, texts: Sequence[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
+        """Ids of every text, whether they stand for its normalised form byte by byte, and whether both libraries agree.
 
         Distinct parts that the worker hasn't met yet are encoded as one batch on several threads, and by the
-        sentencepiece library too; a difference between the two raises ``ValueError``.
+        sentencepiece library too; where the two differ, its ids are taken.
         """
         cut = [[n] if self.parts is None and n else self.parts.findall(n) if n else [] for n in map(self.normalise, texts)]
-        met, lossy = self._met, self._lossy
+        met, lossy, odd = self._met, self._lossy, self._odd
         if len(met) > REMEMBERED:
-            met.clear()
-            lossy.clear()
+            for kept in (met, lossy, odd):
+                kept.clear()
         new = list(set(chain.from_iterable(cut)).difference(met))
         if new:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self._compare(new, ids)
+            for k, expected in self._differing(new, ids):
+                ids[k] = expected
+                odd.add(new[k])
             for part, i in zip(new, ids):
                 met[part] = array("i", i).tobytes()
                 if b"".join(map(self._bytes.__getitem__, i)) != part.encode("utf-8"):
                     lossy.add(part)
         return ([np.frombuffer(b"".join(map(met.__getitem__, c)), dtype=np.int32) for c in cut],
-                [not lossy or lossy.isdisjoint(c) for c in cut])
+                [not lossy or lossy.isdisjoint(c) for c in cut], [not odd or odd.isdisjoint(c) for c in cut])
 
-    def _compare(self, parts: list[str], ids: list[list[int]]) -> None:
-        # the sentencepiece library puts its own mark in front, so a part gives up the one it has
-        chosen = [k for k, p in enumerate(parts) if not self.prefix or p.startswith(MARK)]
-        raw = [parts[k][1:] if self.prefix else parts[k] for k in chosen]
-        chosen, raw = zip(*[(k, r) for k, r in zip(chosen, raw) if r]) if any(raw) else ((), ())
-        for k, expected in zip(chosen, self.plain.encode(list(raw), num_threads=self.threads)):
-            if expected != ids[k]:
-                raise ValueError(f"{parts[k]!r} gives {ids[k]}, sentencepiece gives {expected}")
+    def _differing(self, parts: list[str], ids: list[list[int]]) -> list[tuple[int, list[int]]]:
+        """Numbers of the parts that the sentencepiece library encodes otherwise, with its ids."""
+        # it puts its own mark in front, so a part gives up the one it has
+        chosen = [k for k, p in enumerate(parts) if len(p) > self.prefix and (not self.prefix or p.startswith(MARK))]
+        expected = self.plain.encode([parts[k][self.prefix:] for k in chosen], num_threads=self.threads)
+        return [(k, e) for k, e in zip(chosen, expected) if e != ids[k]]
 
     def verify(self, texts: Sequence[str]) -> None:
         """Raises ``ValueError`` unless whole texts encode and decode as with the sentencepiece library."""
@@ -158,12 +160,13 @@ def _load(path: str, threads: int) -> Pieces:
 
 def encode_documents(docs: DataFrame, model: str, threads: int = THREADS, id_column: str = "doc_id",
                      text_column: str = "text") -> DataFrame:
-    """``doc_id``, ``ids``, ``n_tokens`` and ``round_trip`` (the ids give back the text) of every document.
+    """``doc_id``, ``ids``, ``n_tokens``, ``round_trip`` (the ids give back the text) and ``parity`` of every document.
 
     ``model`` is the path of a SentencePiece model file, readable on every executor. Normaliser, space marks, scores or
     merges and byte fallback are rebuilt on the tokenizers library, which encodes each batch on ``threads`` threads.
     Texts are cut before spaces where no piece of the model crosses them, and distinct parts are encoded once while the
-    worker remembers them; every part is verified against the sentencepiece library, and a difference fails the job.
+    worker remembers them; every part is verified against the sentencepiece library. Where the two differ, ``parity``
+    is false and the ids are those of sentencepiece.
 
     Documents are independent: one pass, no shuffle, memory bounded by a batch. NULL text counts as empty and gives no
     ids. NULL ids and repeated rows are returned as they are. An empty table gives an empty result.
@@ -174,16 +177,17 @@ def encode_documents(docs: DataFrame, model: str, threads: int = THREADS, id_col
         pieces = _load(model, threads)
         for batch in batches:
             texts = batch["text"].to_pylist()
-            ids, same = pieces.encode(texts)
+            ids, same, agreed = pieces.encode(texts)
             sizes = np.array([len(i) for i in ids], dtype=np.int64)
             flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sizes),
-                 pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
+                 pa.array(same, pa.bool_()), pa.array(agreed, pa.bool_())],
+                ["doc_id", "ids", "n_tokens", "round_trip", "parity"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_arrow(rows, encode, f"doc_id {kind}, ids array<int>, n_tokens bigint, round_trip boolean")
+    return map_arrow(rows, encode, f"doc_id {kind}, ids array<int>, n_tokens bigint, round_trip boolean, parity boolean")
 
 
 def decode_documents(encoded: DataFrame, model: str, threads: int = THREADS) -> DataFrame:

@@ -14,8 +14,8 @@ from tabloom.llm.align import MATCH, align, bands
 from tabloom.llm.common import by_id, map_arrow
 from tabloom.llm.seeds import Index, Vocabulary, grams, words
 
-SEED_WORDS = 5
-STRETCH = 4                  # of so many neighbouring word groups of an item, the rarest is a seed
+SEED_WORDS = 3
+STRETCH = 3                  # of so many neighbouring word groups of an item, the rarest is a seed
 SIMILARITY = 0.6             # score of the alignment, as a share of that of the whole item
 BLOCK_WORDS = 1_000_000      # words of the items that are looked up in one pass
 FOUND = "item_id {item}, similarity double, matched_words int, item_words int, first_word int, last_word int"
@@ -78,12 +78,12 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
 
     Texts are compared as lower-cased words. The items (``item_id``, ``text``) are the query set: they are looked up in
     blocks of about ``block_words`` words, so what the driver holds and broadcasts is bounded, and every block meets all
-    documents. A first pass counts in how many documents each group of five words of an item stands; of each stretch of
+    documents. A first pass counts in how many documents each group of three words of an item stands; of each stretch of
     neighbouring groups the rarest becomes a seed, so that every part of every item has one however common it is. A
     second pass joins documents to items on the seeds and aligns each item in a band around its hits. Nothing is
     shuffled but the counts, and a document is never compared with an item without a seed.
 
-    NULL and empty texts, of documents or items, match nothing. Items shorter than five words are their own seed.
+    NULL and empty texts, of documents or items, match nothing. Items shorter than three words are their own seed.
     Repeated items are looked up once, repeated documents give a row each. Empty tables give an empty result.
     """
     rows = docs.select(docs[id_column].alias("doc_id"), F.coalesce(docs[text_column], F.lit("")).alias("text"))

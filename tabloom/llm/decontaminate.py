@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.align import MATCH, align, bands
 from tabloom.llm.common import by_id, map_arrow
-from tabloom.llm.seeds import Index, Vocabulary, grams, words
+from tabloom.llm.seeds import Index, Vocabulary, grams, members, words
 
 SEED_WORDS = 3
 STRETCH = 3                  # of so many neighbouring word groups of an item, the rarest is a seed
@@ -21,7 +21,7 @@ BLOCK_WORDS = 1_000_000      # words of the items that are looked up in one pass
 FOUND = "item_id {item}, similarity double, matched_words int, item_words int, first_word int, last_word int"
 
 
-def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[object, list[str]]]]:
+def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[object, list[bytes]]]]:
     """Items with words, in blocks of about ``block_words`` words; the driver holds one block at a time."""
     counted = items.withColumn("size", F.size(F.split(F.trim("text"), "\\s+")))
     total = counted.agg(F.sum("size")).first()[0] or 0
@@ -32,13 +32,13 @@ def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[object, l
             yield block
 
 
-def _groups(item: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, int]:
+def _groups(item: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, int]:
     numbers = vocabulary.of(item)
     size = min(SEED_WORDS, len(numbers))
     return *grams(numbers, size), size
 
 
-def _seeds(rows: DataFrame, block: list[tuple[object, list[str]]], vocabulary: Vocabulary) -> dict[int, Index]:
+def _seeds(rows: DataFrame, block: list[tuple[object, list[bytes]]], vocabulary: Vocabulary) -> dict[int, Index]:
     """Of every stretch of word groups of an item the group that the fewest documents hold, by size of the group."""
     found = [_groups(item, vocabulary) for _, item in block]
     sizes = sorted({size for _, _, size in found})
@@ -52,7 +52,7 @@ def _seeds(rows: DataFrame, block: list[tuple[object, list[str]]], vocabulary: V
             for text in batch["text"]:
                 numbers = vocabulary.of(words(text.as_py()))
                 for size, hashes in known.items():
-                    held.update((size, h) for h in np.intersect1d(grams(numbers, size)[1], hashes).tolist())
+                    held.update((size, h) for h in members(grams(numbers, size)[1], hashes).tolist())
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in held], pa.int32()), pa.array(np.array([k[1] for k in held], np.uint64).view(np.int64)),
              pa.array(list(held.values()), pa.int64())], ["size", "hash", "n"])
@@ -100,7 +100,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     return result
 
 
-def _matcher(shared, similarity: float, kinds: list[str]):
+def _matcher(shared, similarity: float, kinds: list[bytes]):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, indexes, numbers, names = shared.value
         for batch in batches:

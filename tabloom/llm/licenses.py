@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from tabloom.llm.align import align, bands
 from tabloom.llm.common import id_and_text, map_arrow
-from tabloom.llm.seeds import WORD, Index, Vocabulary, grams, words
+from tabloom.llm.seeds import Index, Vocabulary, grams, word_spans, words
 
 GROUP_WORDS = 3
 WINDOW = 2                   # four shared words in a row are sure to share a fingerprint
@@ -103,7 +103,7 @@ def license_spans(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, cov
     rows = id_and_text(docs, id_column, text_column)
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, license string, coverage double, matched_words int, first_char int, end_char int"
-    blocks: list[list[tuple[str, list[str]]]] = [[]]
+    blocks: list[list[tuple[str, list[bytes]]]] = [[]]
     for name, text in sorted(templates.items()):
         if found := words(text):
             if sum(len(w) for _, w in blocks[-1]) + len(found) > block_words:
@@ -130,7 +130,7 @@ def _matcher(shared, coverage: float):
                 text = value.as_py()
                 document = vocabulary.of(words(text))
                 query, diagonal = index.hits(*winnowed(document))
-                spans = [(m.start(), m.end()) for m in WORD.finditer(text)] if len(query) else []
+                spans = word_spans(text) if len(query) else []
                 for k in np.unique(query).tolist():
                     template = numbers[k]
                     found = {(a.text_start, a.text_end): a for a in (

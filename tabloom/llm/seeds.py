@@ -4,29 +4,44 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from itertools import repeat
 
 import numpy as np
 
 WORD = re.compile(r"\w+")
+_OTHER = re.compile(r"[^\w\x00-\x7f]+")
+_SPACED = bytes(c if chr(c).isalnum() or c == ord("_") or c > 127 else 32 for c in range(256))
 
 
-def words(text: str) -> list[str]:
-    """Runs of letters, digits and underscores, then lower-cased, so that their places in the text stay."""
-    return list(map(str.lower, WORD.findall(text)))
+def words(text: str) -> list[bytes]:
+    """Lower-cased runs of letters, digits and underscores, in UTF-8. What ``WORD`` finds in the lower-cased text, faster."""
+    text = text.lower()
+    if not text.isascii():
+        text = _OTHER.sub(" ", text)
+    return text.encode("utf-8", "surrogatepass").translate(_SPACED).split()
+
+
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Start and end, in characters of ``text``, of each of its ``words``."""
+    lowered = text.lower()
+    found = [(m.start(), m.end()) for m in WORD.finditer(lowered)]
+    if len(lowered) == len(text):
+        return found
+    at = [i for i, c in enumerate(text) for _ in c.lower()]      # some letters are longer when lower-cased
+    return [(at[a], at[b - 1] + 1) for a, b in found]
 
 
 class Vocabulary:
     """Numbers of the words of the query set; 0 for all others."""
 
-    def __init__(self, texts: Iterable[Sequence[str]]):
-        self.numbers: dict[str, int] = {}
+    def __init__(self, texts: Iterable[Sequence[bytes]]):
+        self.numbers: dict[bytes, int] = {}
         for text in texts:
             for word in text:
                 self.numbers.setdefault(word, len(self.numbers) + 1)
 
-    def of(self, text: Sequence[str]) -> np.ndarray:
-        get = self.numbers.get
-        return np.fromiter((get(w, 0) for w in text), dtype=np.int64, count=len(text))
+    def of(self, text: Sequence[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.numbers.get, text, repeat(0)), dtype=np.int64, count=len(text))
 
 
 def grams(numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +59,14 @@ def grams(numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return places, h
 
 
+def members(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Distinct hashes that are among the sorted ``known`` ones."""
+    if not len(known):
+        return hashes[:0]
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.unique(hashes[known[at] == hashes])
+
+
 class Index:
     """Places of chosen word groups in the query set, by hash; every hit is checked word by word by the alignment."""
 

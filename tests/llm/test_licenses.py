@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from tabloom.llm.licenses import TEMPLATES, WINDOW, license_spans, winnowed
-from tabloom.llm.seeds import grams
+from tabloom.llm.seeds import WORD, grams, word_spans, words
 
 
 def plain_winnowed(numbers):
@@ -27,6 +27,14 @@ def test_winnowing():
     assert len(winnowed(np.array([], dtype=np.int64))[0]) == 0
 
 
+def test_words():
+    for text in ("", "Ab c_1, d\u00a0E\u201cf\u201d\u2014g", "\u0130stanbul \u00c9t\u00e9\u3000x", "a\x0bb\x1cc\x85d\u0660 \u00b2", "1\u0301x"):
+        found = WORD.findall(text.lower())
+        assert [w.decode() for w in words(text)] == found
+        assert [text[a:b].lower() for a, b in word_spans(text) if len(text.lower()) == len(text)] in ([], found)
+    assert word_spans("\u0130 ab") == [(0, 1), (2, 4)]
+
+
 def test_spans(spark):
     rng = random.Random(3)
     filler = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))

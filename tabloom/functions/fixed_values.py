@@ -86,3 +86,21 @@ PROPOSAL_DEFAULTS = {
 WHOLE_TEXT_TITLE = "AI Use Case Proposal"
 MODEL_TYPES = ["classification", "regression", "clustering", "sentiment_analysis"]
 UUID_PATTERN = r"(?i)^\{?(urn:uuid:)?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\}?$"
+
+# --- fixed values: patterns in proposal texts (letter case is ignored, "." takes in line ends where noted) ---
+PROPOSAL_JSON = r"\[\s*\{.*\}\s*\]"                                                # over line ends
+PROPOSAL_INTRO = r"^(.*?)(?=\b(?:Use Case|AI Use Case|Proposal|Title)\b)"           # over line ends
+PROPOSAL_START = r"(?:\n|^)(?:Use Case|AI Use Case|Proposal)(?:\s*\d+)?(?:\s*[:–-])?\s*(.*?)(?=\n|$)"
+PROPOSAL_NUMBER = r"\n\s*\d+[\.\)]\s+"
+PROPOSAL_GAP = r"\n\n\n+"
+PROPOSAL_TITLE = r"(?:Title|Use Case|AI Use Case)(?:\s*\d+)?(?:\s*[:–-])?\s*(.*?)(?=\n|$)"
+PROPOSAL_TARGET = r"TARGET_VARIABLE:\s*([^\n]+)"
+PROPOSAL_MODEL = r"MODEL_TYPE:\s*([^\n]+)"
+PROPOSAL_KPIS = r"\b(?:KPIs?|Key\s+Performance\s+Indicators?)\b"
+PROPOSAL_KPI = r"(?:^|\n)\s*(?:\d+\.|\-|\*|\•)\s*(.*?)(?=\n\s*(?:\d+\.|\-|\*|\•)|$)"    # over line ends
+PROPOSAL_TARGET_LINE = r"^TARGET_VARIABLE:.*$"                                       # of every line
+PROPOSAL_MODEL_LINE = r"^MODEL_TYPE:.*$"                                             # of every line
+BOLD = r"\*\*(.*?)\*\*"
+FENCE_START = r"```\w*\n"
+FENCE = r"```"
+IDENTIFIER = r"\b([a-zA-Z_][a-zA-Z0-9_]*)\b"

@@ -21,18 +21,13 @@ def role_by_name(column: str) -> str | None:
     return None
 
 
-def date_like_columns(df: DataFrame, columns: Sequence[str], sample: int = 5) -> set[str]:
-    """Text columns whose first known values start like a date.
-
-    A handful of values per column decides, so that no scan of the whole column is needed.
-    """
-    found = set()
+def date_like_columns(df: DataFrame, columns: Sequence[str]) -> set[str]:
+    """Text columns in which some value starts like a date, in one pass over all rows."""
+    if not columns:
+        return set()
     pattern = "^(" + "|".join(V.DATE_TEXT_PATTERNS) + ")"
-    for c in columns:
-        few = df.select(named(c).alias("v")).where("v IS NOT NULL").limit(sample)
-        if few.agg(F.max(F.col("v").rlike(pattern))).first()[0]:
-            found.add(c)
-    return found
+    found = df.agg(*[F.bool_or(named(c).rlike(pattern)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    return {c for i, c in enumerate(columns) if found[f"c{i}"]}
 
 
 def column_roles(df: DataFrame) -> dict[str, str]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,44 +13,53 @@ from tabloom.functions.scalars import as_column, named
 from tabloom.session import checkpoint
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+SPRINKLE = 64          # places over which the rows of a hot key are spread
 HOT_SHARE = 0.001      # a key with more than this share of the rows is handled apart
 
 
-def width(df: DataFrame) -> int:
-    """Planner-style row width in bytes; text is taken as 32 bytes."""
-    sizes = {"string": 32, "bigint": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8}
-    return 16 + sum(sizes.get(f.dataType.simpleString(), 16) for f in df.schema)
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row as it is held in memory; texts, arrays, maps and structs by what they hold."""
+    sizes = [F.lit(16)]
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            sizes.append(F.coalesce(F.octet_length(named(f.name)), F.lit(0)) + 8)
+        elif kind in ("array", "map", "struct"):
+            sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(named(f.name)))), F.lit(0)) + 8)
+        else:
+            sizes.append(F.lit(16 if kind == "decimal" else 8))
+    return reduce(add, sizes)
 
 
 def fits_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> bool:
-    """Counts at most as many rows as could be broadcast."""
-    most = max(1, limit_bytes // width(df))
-    return df.limit(most + 1).count() <= most
+    """Whether all rows together, by their real lengths, are within the limit."""
+    return (df.agg(F.sum(row_bytes(df).cast("bigint"))).first()[0] or 0) <= limit_bytes
 
 
 def attach(rows: DataFrame, table: DataFrame, key: str, weight: str | None = None,
            limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Left join of ``rows`` with the one-row-per-key ``table``.
 
-    A table under ``limit_bytes`` is broadcast. A larger one is shuffled, except for the keys whose
-    row count in ``weight`` exceeds ``HOT_SHARE`` of all rows: there are at most ``1 / HOT_SHARE`` of
-    those, so their table rows are broadcast and their data rows stay where they are.
+    A table whose bytes were counted to be under ``limit_bytes`` is broadcast. A larger one is shuffled: rows without a
+    key get theirs from a sprinkling number and meet nothing, and the keys whose row count in ``weight`` exceeds
+    ``HOT_SHARE`` of all rows (at most ``1 / HOT_SHARE``) are copied to ``SPRINKLE`` places over which their rows are
+    spread. Either way ``rows`` is read once.
     """
     values = table.drop(weight) if weight else table
     if fits_broadcast(values, limit_bytes):
         return rows.join(F.broadcast(values), key, "left")
-    if weight is None:
-        return rows.join(values, key, "left")
     table = checkpoint(table)  # read by several of the next steps
-    values = table.drop(weight)
-    total = table.agg(F.sum(weight)).first()[0] or 0
-    hot = [r[key] for r in table.where(named(weight) > HOT_SHARE * total).select(key).collect()]
-    if not hot:
-        return rows.join(values, key, "left")
-    is_hot = F.coalesce(named(key).isin(hot), F.lit(False))
-    few = values.where(named(key).isin(hot))
-    return (rows.where(is_hot).join(F.broadcast(few), key, "left")
-            .unionByName(rows.where(~is_hot).join(values.where(~named(key).isin(hot)), key, "left")))
+    values = table.drop(weight) if weight else table
+    hot = []
+    if weight:
+        total = table.agg(F.sum(weight)).first()[0] or 0
+        hot = [r[key] for r in table.where(named(weight) > HOT_SHARE * total).select(key).collect()]
+    number = F.pmod(F.xxhash64(*[named(c) for c in rows.columns]), F.lit(SPRINKLE)).cast("int")
+    is_hot = F.coalesce(named(key).isin(hot), F.lit(False)) if hot else F.lit(False)
+    left = rows.withColumn("__spread", F.when(named(key).isNull() | is_hot, number).otherwise(F.lit(0)))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SPRINKLE - 1))).otherwise(F.array(F.lit(0)))
+    right = values.withColumn("__spread", F.explode(copies))
+    return left.join(right, [key, "__spread"], "left").drop("__spread")
 
 
 def group_values(df: DataFrame, key: str, measures: Mapping[str, Column],
@@ -71,8 +82,17 @@ def look_up(value: str | Column, names: Mapping, default: str | None = None) ->
 
 
 def only_new(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not there yet. Keys are made distinct first, so a repeated one weighs nothing."""
-    return new.join(existing.select(key).distinct(), key, "left_anti")
+    """Rows whose key is not there yet, one per key. Keys are made distinct first, so a repeated one weighs nothing.
+
+    Of rows that repeat a key inside ``new`` the first in order of their other values stays.
+    """
+    left = new.join(existing.select(key).distinct(), key, "left_anti")
+    others = [c for c in new.columns if c != key]
+    if not others:
+        return left.dropDuplicates([key])
+    order = F.to_json(F.struct(*[named(c) for c in others]))
+    first = left.groupBy(named(key)).agg(F.min_by(F.struct(*[named(c) for c in others]), order).alias("__first"))
+    return first.select(named(key), "__first.*").select(*[named(c) for c in new.columns])
 
 
 def with_parent(rows: DataFrame, parents: DataFrame, key: str, parent_key: str) -> DataFrame:

@@ -15,9 +15,13 @@ SEED = 42
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = SEED) -> DataFrame:
     """Exactly ``n`` random rows (all when there are fewer): the smallest hashes of the row key.
 
-    Each task keeps its own ``n`` best rows, so ``n`` should be of a size one task can hold.
+    A counting pass thins the rows to somewhat more than ``n``; those are sorted in ranges, so no task holds them all.
     """
-    return df.orderBy(hash_text(named(key), seed), named(key)).limit(n)
+    rows = df.count()
+    if rows <= n:
+        return df
+    margin = (n + 6 * n ** 0.5 + 20) / rows      # six deviations above the expected number
+    return df.where(hash_unit(named(key), seed) < margin).orderBy(hash_text(named(key), seed), named(key)).limit(n)
 
 
 def sample_share(df: DataFrame, share: float, key: str, seed: int = SEED) -> DataFrame:
@@ -26,9 +30,20 @@ def sample_share(df: DataFrame, share: float, key: str, seed: int = SEED) -> Dat
 
 
 def stratified_sample(df: DataFrame, n: int, label: str, key: str, seed: int = SEED) -> DataFrame:
-    """About ``n`` rows with class shares kept: every class is thinned by the same share."""
+    """About ``n`` rows with class shares kept and no class lost.
+
+    Every class is thinned by the same share; the row of each class with the smallest hash stays whatever the share. A
+    missing class counts as one.
+    """
     rows = df.count()
-    return df if rows <= n else sample_share(df, min(n / rows, 0.99), key, seed)
+    if rows <= n:
+        return df
+    hashed = hash_text(named(key), seed)
+    first = df.groupBy(named(label)).agg(F.min(hashed).alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    joined = attach(df.withColumn("__h", hashed), first, label, "__rows")
+    missing = df.where(named(label).isNull()).agg(F.min(hashed)).first()[0]
+    least = F.coalesce(F.col("__first"), F.lit(missing))
+    return joined.where((hash_unit(named(key), seed) < n / rows) | (F.col("__h") == least)).drop("__h", "__first")
 
 
 def sampling_report(before: DataFrame, after: DataFrame, label: str) -> DataFrame:

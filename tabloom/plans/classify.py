@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions.scalars import named, text_columns
-from tabloom.operators.joins import missing_labels
+from tabloom.operators.encode import category_index
+from tabloom.operators.joins import attach, missing_labels
 from tabloom.operators.profile import class_counts
 from tabloom.operators.sampling import marked_split, sample_rows, stratified_sample
 from tabloom.operators.screening import leaky_features, screen_features
 from tabloom.plans import metrics
-from tabloom.plans.models import (Ensemble, Search, Shape, advanced_models, create_fresh_model, forest,
+from tabloom.plans.models import (DEEP, Ensemble, Search, Shape, advanced_models, create_fresh_model, forest,
                                   importances, of, quick_models, with_probability)
 from tabloom.plans.prepare import Preprocessor, efficient_preprocessing, fallback_preprocessor
 from tabloom.sources.readers import read_data_flexible
@@ -84,17 +85,17 @@ def load_trained(spark: SparkSession, path: str) -> Trained:
                    info["model_type"])
 
 
-def encode_label(df: DataFrame, target: str, most: int = 1000) -> tuple[DataFrame, list]:
-    """Class numbers in sorted order as ``label``; a missing text class counts as ``None``."""
+def encode_label(df: DataFrame, target: str) -> tuple[DataFrame, list]:
+    """Class numbers in sorted order as ``label``; a missing text class counts as ``None``.
+
+    The model holds its classes by nature, so their names are gathered; rows get theirs by an attached table.
+    """
     if target in text_columns(df):
         df = df.withColumn(target, F.coalesce(named(target), F.lit("None")))
-    values = [r[0] for r in df.select(named(target)).where(named(target).isNotNull()).distinct()
-              .limit(most + 1).collect()]
-    if len(values) > most:
-        raise ValueError(f"{target} has over {most} classes; train a regression instead")
-    values = sorted(values)
-    pairs = [F.lit(x) for i, v in enumerate(values) for x in (v, float(i))]
-    return df.withColumn("label", F.element_at(F.create_map(*pairs), named(target))), values
+    index = category_index(df, target)
+    values = [r[0] for r in index.select(named(target)).orderBy(named(target)).collect()]
+    table = index.select(named(target), "__rows", F.col("index").cast("double").alias("label"))
+    return attach(df, table, target, "__rows"), values
 
 
 def by_source(preprocessor: Preprocessor, slots: list[float] | None) -> dict[str, float]:
@@ -152,7 +153,7 @@ def train_classification(df: DataFrame, target: str, *, key: str | None = None,
     bare = train_raw.drop("weight", "__test")
     failures: dict[str, str] = {}
     try:
-        prep = efficient_preprocessing(bare, "label", KEY, max_categories=10, max_dummy_features=500,
+        prep = efficient_preprocessing(bare, "label", KEY, max_categories=10, max_dummy_features=500, classes=len(labels),
                                        max_features=50 if quick_mode else 100)
     except Exception as error:  # an encoder that cannot be fitted leaves the plain preprocessor
         failures["preprocessing"] = f"{type(error).__name__}: {error}"[:500]
@@ -202,17 +203,12 @@ def train_classification_model(spark: SparkSession, target_variable: str, path:
     return trained
 
 
-def predict_categorical(df: DataFrame, trees: int = 20, depth: int = 5, key: str | None = None,
-                        most_values: int = 50) -> DataFrame:
-    """Accuracy of predicting every categorical column from the other ones.
-
-    A column with one value, or with more than ``most_values``, is no target here.
-    """
+def predict_categorical(df: DataFrame, trees: int = 100, depth: int = DEEP, key: str | None = None) -> DataFrame:
+    """Accuracy of predicting every categorical column from the other ones; a column with one value is no target."""
     texts = text_columns(df)
     rows = []
     for target in texts:
-        values = df.select(named(target)).distinct().limit(most_values + 1).count()
-        if len(texts) < 2 or not 1 < values <= most_values:
+        if len(texts) < 2 or df.select(named(target)).distinct().limit(2).count() < 2:
             continue
         held = df.select(*[named(c) for c in texts], *([named(key)] if key and key not in texts else []))
         t = train_classification(held, target, key=key, drop_leaky=False, threshold=2.0,

@@ -23,11 +23,9 @@ from tabloom.functions.stats import fit_stats, modes
 from tabloom.operators.association import mutual_information
 from tabloom.operators.encode import choose_encoding, frequent_values, split_by_cardinality
 from tabloom.operators.fitted import FeatureTransformer
-from tabloom.operators.sampling import sample_rows
 
-DICTIONARY_VALUES = 100_000   # distinct values for which a dictionary is kept on the driver
 CORRELATIONS = 200            # correlations per aggregate
-SELECTION_ROWS = 50_000       # fixed value: rows looked at when features are scored
+EPOCH = "__epoch"             # ends the names of dates as numbers
 
 
 @dataclass(frozen=True)
@@ -75,6 +73,12 @@ def _sql(expressions: dict[str, str]) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {made} FROM __THIS__")
 
 
+def epoch_sql(column: str) -> str:
+    """Nanoseconds since 1970 of a date, a moment, or a text that reads as one."""
+    return (f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', "
+            f"try_cast({quoted(column)} AS TIMESTAMP_NTZ)) * 1000")
+
+
 def _text(value) -> str:
     return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -100,12 +104,16 @@ def build_preprocessor(df: DataFrame, target: str | None = None, *, numbers: Seq
                        categories: Sequence[str] | None = None, max_categories: int = 20,
                        max_dummy_features: int = 1000, encoding: str = "auto", impute: str = "median",
                        rescale: bool = True, limit_per_column: int | None = None,
-                       label: str = "label", high: Sequence[str] | None = None) -> Preprocessor:
+                       label: str = "label", high: Sequence[str] | None = None,
+                       dates: Sequence[str] = (), dictionary_values: int | None = None,
+                       classes: int | None = None) -> Preprocessor:
     """Numbers imputed and scaled; narrow categories one-hot; wide ones encoded by ``encoding``.
 
     ``encoding`` is ``target``, ``hashing``, ``ordinal``, ``binary`` or ``auto``. ``limit_per_column``
     keeps one-hot columns per category by merging rare values. ``target`` encoding reads the numeric
-    column ``label``. A column with more than ``DICTIONARY_VALUES`` values is always hashed.
+    column ``label``. ``dates`` become nanoseconds since 1970 and then count as numbers. Only with
+    ``dictionary_values`` are columns of more values than that hashed whatever ``encoding`` says. ``classes`` tells ``auto``
+    how many classes a numbered target stands for.
     """
     skip = [c for c in (target, label) if c]
     numbers = list(numbers if numbers is not None else numeric_columns(df, skip))
@@ -118,15 +126,19 @@ def build_preprocessor(df: DataFrame, target: str | None = None, *, numbers: Seq
     stages: list[Transformer] = []
     inputs: list[str] = []
     slots: list[Encoded] = []
-    if numbers:
-        stage, made = number_stage(df, numbers, impute, rescale)
+    if dates:
+        stages.append(_sql({f"{c}{EPOCH}": epoch_sql(c) for c in dates}))
+        df = stages[-1].transform(df)
+    if numbers or dates:
+        columns = {**{c: c for c in numbers}, **{f"{c}{EPOCH}": c for c in dates}}
+        stage, made = number_stage(df, list(columns), impute, rescale)
         stages.append(stage)
         inputs += made
-        slots += [Encoded(m, c) for m, c in zip(made, numbers)]
-    huge = [c for c in wide if sizes.get(c, 0) > DICTIONARY_VALUES]
+        slots += [Encoded(m, c) for m, c in zip(made, columns.values())]
+    huge = [c for c in wide if dictionary_values is not None and sizes.get(c, 0) > dictionary_values]
     kept = [c for c in wide if c not in huge]
     if encoding == "auto":
-        encoding = _auto_encoding(df, target, kept)
+        encoding = _auto_encoding(df, target, kept, classes)
     if encoding == "hashing":
         huge, kept = [*kept, *huge], []
     if low or wide:
@@ -197,9 +209,11 @@ def build_preprocessor(df: DataFrame, target: str | None = None, *, numbers: Seq
     return Preprocessor(PipelineModel(stages), slots, target, encoding if wide else None)
 
 
-def _auto_encoding(df: DataFrame, target: str | None, high: Sequence[str]) -> str:
+def _auto_encoding(df: DataFrame, target: str | None, high: Sequence[str], classes: int | None = None) -> str:
     if target is None or not high:
         return "ordinal" if target is None else "target"
+    if classes is not None:
+        return choose_encoding(classes, high)
     known = df.select(named(target)).where(named(target).isNotNull()).distinct().limit(11).count()
     textual = target in text_columns(df)
     return choose_encoding(known if textual or known < 10 else None, high)
@@ -232,9 +246,13 @@ def fallback_preprocessor(df: DataFrame, target: str) -> Preprocessor:
     return build_preprocessor(df, target, max_categories=10, encoding="ordinal")
 
 
-def regression_preprocessor(df: DataFrame, target: str) -> Preprocessor:
-    """All categories one-hot; dates as epoch numbers when prepared by ``dates_as_numbers``."""
-    return build_preprocessor(df, target, max_categories=DICTIONARY_VALUES, max_dummy_features=DICTIONARY_VALUES)
+def regression_preprocessor(df: DataFrame, target: str, most_values: int | None = None) -> Preprocessor:
+    """All categories one-hot and all dates as numbers, inside the stored pipeline.
+
+    With ``most_values`` columns of more values are target-encoded instead.
+    """
+    most = most_values or 2**31 - 1
+    return build_preprocessor(df, target, max_categories=most, max_dummy_features=most, dates=date_columns(df))
 
 
 def dates_as_numbers(df: DataFrame) -> DataFrame:
@@ -252,19 +270,18 @@ def days_since(df: DataFrame, reference: str, drop: Sequence[str] = ()) -> DataF
 
 
 def select_features(p: Preprocessor, df: DataFrame, key: str, k: int, classification: bool,
-                    label: str = "label", sample: int = SELECTION_ROWS) -> Preprocessor:
+                    label: str = "label") -> Preprocessor:
     """Constant slots removed, then the ``k`` best ones kept.
 
-    Classes are scored by mutual information on ``sample`` rows, numbers by an F test on all rows.
+    Classes are scored by mutual information, numbers by an F test, both on all rows.
     """
     ready = p.transform(df)
     variance = ready.select(Summarizer.variance(F.col("features")).alias("v")).first()["v"].toArray()
     alive = [i for i in range(len(p.slots)) if variance[i] > 0]
     if len(alive) > k:
         if classification:
-            some = sample_rows(ready.select(key, label, "features"), sample, key).select(label, "features")
             array = vector_to_array("features")
-            wide = some.select(F.col(label).cast("string").alias("__y"), *[array[i].alias(f"s{i}") for i in alive])
+            wide = ready.select(F.col(label).cast("string").alias("__y"), *[array[i].alias(f"s{i}") for i in alive])
             names = [f"s{i}" for i in alive]
             scored = mutual_information(wide, names, "__y", names, 10)
             best = scored.orderBy(F.desc("mutual_info"), "feature").limit(k).collect()
@@ -288,11 +305,11 @@ def select_features(p: Preprocessor, df: DataFrame, key: str, k: int, classifica
 def efficient_preprocessing(df: DataFrame, target: str, key: str, *, max_categories: int = 20,
                             max_dummy_features: int = 1000, feature_selection: bool = True,
                             max_features: int = 100, encoding: str = "auto", classification: bool = True,
-                            label: str = "label") -> Preprocessor:
+                            label: str = "label", classes: int | None = None) -> Preprocessor:
     """Preprocessing for wide tables and columns of many values, with selection on top."""
     drop = [c for c in (key,) if c in df.columns]
     p = build_preprocessor(df.drop(*drop), target, max_categories=max_categories,
-                           max_dummy_features=max_dummy_features, encoding=encoding, label=label)
+                           max_dummy_features=max_dummy_features, encoding=encoding, label=label, classes=classes)
     if feature_selection and len(p.slots) > max_features:
         p = select_features(p, df, key, max_features, classification, label)
     return p

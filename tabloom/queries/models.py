@@ -194,7 +194,7 @@ def train_regressor(spark, folder):
     df = lines.withColumn("key", F.xxhash64(*[named(c) for c in lines.columns]))
     chosen = regress.regressors(1, trees=3, depth=3) | {"Ridge Regression": regress.ridge(100_000)}
     t = regress.train_regression(df, "l_extendedprice", key="key", models=chosen)
-    scored = score.predict_regression(prepare.dates_as_numbers(lines.drop("l_extendedprice")), t)
+    scored = score.predict_regression(lines.drop("l_extendedprice"), t)
     return scored.groupBy("l_quantity").agg(F.count(F.lit(1)).alias("n"), F.min("prediction").alias("lo"), F.max("prediction").alias("hi"))
 
 

@@ -6,7 +6,7 @@ from tabloom.operators import joins as J
 from tabloom.operators.encode import category_index
 from tabloom.queries.base import query, r, rounded, table
 from tabloom.session import work_folder
-from tabloom.sources import readers, registry
+from tabloom.sources import readers, registry, sinks
 
 
 def users(spark, folder):
@@ -214,16 +214,41 @@ def csv_broken_lines(spark, folder):
     return readers.read_delimited(spark, path, ";", schema="o_orderkey bigint, o_totalprice double")
 
 
-@query("""SELECT CASE WHEN lang = 'en' THEN 'UTF-8' ELSE 'ISO-8859-1' END AS encoding, count(*) > 0 AS found FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1""")
+ENCODED = {"en": "UTF-8", "de": "ISO-8859-1", "fr": "windows-1252", "es": "UTF-16LE"}
+
+
+@query("""SELECT doc_id, md5(text) AS digest FROM documents""")
+def json_lines(spark, folder):
+    """Files named .json with a record per line."""
+    path = work_folder(spark, "records")
+    table(spark, folder, "documents").select("doc_id", "text").write.json(f"{path}/records.json")
+    return readers.read_data_flexible(spark, f"{path}/records.json").select("doc_id", F.md5("text").alias("digest"))
+
+
+@query("""SELECT doc_id, md5(text || '"q", ' || lang) AS digest FROM documents""")
+def csv_quoted(spark, folder):
+    """Values in quotes with line ends, doubled quotes and separators."""
+    path = work_folder(spark, "quoted")
+    docs = table(spark, folder, "documents").select("doc_id", F.concat("text", F.lit('"q", '), "lang").alias("text"))
+    docs.write.csv(path, header=True, escape='"', quoteAll=True)
+    return readers.read_data_flexible(spark, path).select(F.col("doc_id").cast("bigint"), F.md5("text").alias("digest"))
+
+
+@query("""SELECT doc_id, md5(regexp_replace(text, '[\\s"]+', ' ', 'g')) AS digest FROM documents WHERE lang IN ('en', 'de', 'fr', 'es')""")
 def encodings(spark, folder):
-    """The encoding of files from all their bytes."""
+    """A folder with files of several encodings, each found out from all its bytes."""
     path = work_folder(spark, "encoded")
-    docs = table(spark, folder, "documents").select("lang", F.regexp_replace("text", r"[^\x00-\xff]|[\x80-\x9f]", "").alias("text"))
-    line = F.regexp_replace("text", r"\s+", " ")
-    docs.where("lang = 'en'").select(F.regexp_replace(line, r"[^\x00-\x7f]", "").alias("v")).write.option("encoding", "UTF-8").csv(f"{path}/a")
-    docs.where("lang = 'fr'").select(F.concat(line, F.lit("é")).alias("v")).coalesce(1).write.option("encoding", "ISO-8859-1").csv(f"{path}/b")
-    found = readers.file_encodings(spark, f"{path}/*")
-    return found.groupBy("encoding").agg((F.count(F.lit(1)) > 0).alias("found"))
+    docs = table(spark, folder, "documents").select("doc_id", "lang", F.regexp_replace("text", r'[\s"]+', " ").alias("text"))
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    for lang, encoding in ENCODED.items():
+        # the mark at the end holds letters that tell the encodings apart, and is cut off again
+        mark = {"de": " ß", "fr": " €”é", "es": " ñ"}.get(lang, "")
+        docs.where(F.col("lang") == lang).select("doc_id", F.concat("text", F.lit(mark + "|" + lang)).alias("text")).write.option(
+            "encoding", encoding).option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(
+            f"{path}/{lang}", header=True, quoteAll=True)
+    read = readers.read_data_flexible(spark, f"{path}/*")
+    text = F.regexp_replace("text", r"( ß| €”é| ñ)?\|(en|de|fr|es)$", "")
+    return read.select(F.col("doc_id").cast("bigint"), F.md5(text).alias("digest"))
 
 
 @query("""SELECT o_orderkey, o_custkey AS "customer.id", c_mktsegment AS "customer.segment", c_nationkey AS "customer.place.nation" FROM orders JOIN customer ON o_custkey = c_custkey""")
@@ -233,7 +258,7 @@ def json_nested(spark, folder):
     joined = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     joined.select("o_orderkey", F.struct(F.col("o_custkey").alias("id"), F.col("c_mktsegment").alias("segment"),
                                          F.struct(F.col("c_nationkey").alias("nation")).alias("place")).alias("customer")).write.json(path)
-    read = readers.read_json(spark, path, lines=True)
+    read = readers.read_json(spark, path)
     return read.withColumn("customer.place.nation", F.col("`customer.place.nation`").cast("int")).select(
         "o_orderkey", "`customer.id`", "`customer.segment`", "`customer.place.nation`")
 
@@ -251,5 +276,6 @@ def folder_of_files(spark, folder):
 @query("""SELECT row_number() OVER (ORDER BY o_orderpriority)::INT - 1 AS "Class_ID", o_orderpriority AS "Class_Name" FROM (SELECT DISTINCT o_orderpriority FROM orders)""")
 def class_mapping(spark, folder):
     """Class numbers of a label."""
-    found = category_index(table(spark, folder, "orders"), "o_orderpriority")
-    return found.select(F.col("index").cast("int").alias("Class_ID"), F.col("o_orderpriority").alias("Class_Name"))
+    index = category_index(table(spark, folder, "orders"), "o_orderpriority")
+    values = [r[0] for r in index.orderBy("index").select("o_orderpriority").collect()]
+    return sinks.class_map(spark, values).select(F.col("Class_ID").cast("int").alias("Class_ID"), "Class_Name")

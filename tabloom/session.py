@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,10 +37,12 @@ _local: list[str] = []
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, the folder all executors share.
 
-    Only where the cluster names none (tests on one machine) is a local one used.
+    Where it is unset, a master on this machine only (as in tests) gets a local folder; any other is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="tabloom-"))
         base = _local[0]

@@ -12,12 +12,14 @@ from tabloom.functions import fixed_values as V
 from tabloom.functions.scalars import named, quoted
 
 HEAD_LINES = 10
+READABLE = ("ISO-8859-1", "US-ASCII", "UTF-8", "UTF-16", "UTF-16BE", "UTF-16LE")     # without a further setting
+HEAD_CHARS = 100_000       # of a line that are looked at for separators
 
 
-def head_lines(spark: SparkSession, path: str, n: int = HEAD_LINES) -> list[str]:
-    """First lines of a file, read as raw bytes up to ``n`` lines."""
-    rows = spark.read.text(path).limit(n).collect()
-    return [r["value"] for r in rows if r["value"] and r["value"].strip()]
+def head_lines(spark: SparkSession, path: str, n: int = HEAD_LINES, characters: int = HEAD_CHARS) -> list[str]:
+    """First lines of a file, each cut to ``characters`` before it reaches the driver."""
+    lines = spark.read.text(path).limit(n).select(F.substring("value", 1, characters).alias("value"))
+    return [r["value"] for r in lines.collect() if r["value"] and r["value"].strip()]
 
 
 def separator_by_columns(lines: Sequence[str]) -> str | None:
@@ -55,22 +57,38 @@ def separator_report(spark: SparkSession, path: str, n: int = HEAD_LINES) -> Dat
         for s in V.COUNTED_SEPARATORS])).alias("e")).groupBy("e.separator").agg(F.sum("e.n").alias("n"))
 
 
-def file_encodings(spark: SparkSession, path: str) -> DataFrame:
+def file_encodings(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Encoding of each file, decided from all of its bytes.
 
-    Lines are read as raw bytes in ordinary splits. A file of valid UTF-8 lines is UTF-8; else bytes
-    80-9F, which Latin-1 leaves to control codes, speak for Windows-1252.
+    Lines are read as raw bytes in ordinary splits and only counted: a byte order mark or many zero bytes stand for
+    UTF-16, valid UTF-8 lines for UTF-8. The rest is told apart by the pairs and ranges of its high bytes: lead bytes
+    of Shift-JIS with their trail bytes, runs of Cyrillic letters, the letters of Central Europe, the punctuation
+    80-9F of Windows-1252; what is left is Latin-1.
     """
-    raw = F.hex(F.col("value").cast("binary"))
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.is_valid_utf8("value").alias("utf8"),
-        raw.rlike("^(..)*[89]").alias("control"),
-        raw.rlike("^(FFFE|FEFF)").alias("marked"))
-    found = lines.groupBy("path").agg(
-        F.min("utf8").alias("utf8"), F.max("control").alias("control"), F.max("marked").alias("marked"))
-    return found.select("path", F.when(F.col("marked"), "UTF-16").when(F.col("utf8"), "UTF-8")
-                        .when(F.col("control"), "windows-1252").otherwise("ISO-8859-1").alias("encoding"))
+    # a plain view of the bytes: Latin-1 gives every byte one character
+    raw = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+
+    def hits(pattern: str) -> Column:
+        return F.sum(F.regexp_count(raw, F.lit(pattern)))
+    found = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("path")).agg(
+        F.min(F.is_valid_utf8("value")).alias("utf8"), F.sum(F.length(raw)).alias("n"),
+        F.max(raw.rlike("^(\u00ff\u00fe|\u00fe\u00ff)")).alias("marked"),
+        hits("[^\\x00]\\x00").alias("low"), hits("\\x00[^\\x00]").alias("high_first"), hits("\\x00").alias("zeros"),
+        hits("[\u0080-\u00ff]").alias("high"), hits("[\u0080-\u009f]").alias("control"),
+        hits("[\u0081-\u009f\u00e0-\u00ef][\u0040-\u007e\u0080-\u00fc]").alias("sjis"),
+        hits("[\u0082\u0083][\u0040-\u00f1]").alias("kana"),
+        hits("[\u00c0-\u00ff]{3,}").alias("cyrillic"),
+        hits("[\u009c\u009d\u009e\u009a\u009f\u00b3\u00b9\u00bf\u00a3\u00e6\u00ea\u00f1\u00ec\u00f8\u00e8]").alias("central"),
+        hits("[\u009c\u009d\u009e\u009a\u009f\u00b3\u00b9\u00bf]").alias("central_only"))
+    encoding = (F.when(F.col("marked"), "UTF-16")
+                .when((F.col("zeros") * 3 > F.col("n")) & (F.col("high_first") > F.col("low")), "UTF-16BE")
+                .when(F.col("zeros") * 3 > F.col("n"), "UTF-16LE")
+                .when(F.col("utf8"), "UTF-8")
+                .when((F.col("kana") > 0) & (F.col("sjis") * 4 > F.col("high")), "Shift_JIS")
+                .when(F.col("cyrillic") * 6 > F.col("high"), "windows-1251")
+                .when((F.col("central_only") * 4 > F.col("high")), "windows-1250")
+                .when(F.col("control") > 0, "windows-1252").otherwise("ISO-8859-1"))
+    return found.select("path", encoding.alias("encoding"))
 
 
 def flatten_structs(df: DataFrame) -> DataFrame:
@@ -85,28 +103,63 @@ def flatten_structs(df: DataFrame) -> DataFrame:
                        for parts in leaves(df.schema, ())])
 
 
-def read_json(spark: SparkSession, path: str, flatten: bool = True, lines: bool = False) -> DataFrame:
-    """JSON records. ``lines`` reads one record per line, which also splits large files."""
-    df = spark.read.json(path, multiLine=not lines)
+def json_layouts(spark: SparkSession, path: str) -> dict[bool, list[str]]:
+    """Files that hold a record per line (``True``) and files that hold one document or array (``False``).
+
+    A file has a record per line if its first line that isn't blank is a whole object and so is every other; only a
+    flag per file is gathered.
+    """
+    value = F.trim("value")
+    whole = F.try_parse_json(value).isNotNull() & value.startswith("{")
+    found = (spark.read.text(path).where(value != "")
+             .groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min(whole).alias("lines")).collect())
+    return {kind: sorted(r["path"] for r in found if r["lines"] == kind) for kind in (True, False)}
+
+
+def read_json(spark: SparkSession, path: str, flatten: bool = True, lines: bool | None = None) -> DataFrame:
+    """JSON records, one per line or as documents and arrays.
+
+    Which of the two is seen per file unless ``lines`` says so; files with a record per line are read in splits.
+    """
+    if lines is None:
+        layouts = json_layouts(spark, path)
+        parts = [spark.read.json(files, multiLine=not kind) for kind, files in layouts.items() if files]
+        if not parts:
+            return spark.read.json(path)
+        df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    else:
+        df = spark.read.json(path, multiLine=not lines)
     return flatten_structs(df) if flatten else df
 
 
-def read_delimited(spark: SparkSession, path: str, separator: str | None = None,
+def quoted_line_ends(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether some line leaves a quote open, so that a value goes on in the next line."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return bool(spark.read.text(path).agg(F.max(quotes % 2 == 1)).first()[0])
+
+
+def read_delimited(spark: SparkSession, path: str | list[str], separator: str | None = None,
                    encoding: str | None = None, schema: str | T.StructType | None = None,
                    keep_broken: bool = False) -> DataFrame:
     """Delimited text with a header; types are inferred unless a schema is given.
 
-    Malformed lines are left out, or kept in the column ``_broken`` when asked for.
+    Values in quotes may hold separators, doubled quotes and line ends. Malformed lines are left out, or kept in the
+    column ``_broken`` when asked for; ``broken_lines`` counts them.
     """
     if separator is None:
         lines = head_lines(spark, path)
         separator = separator_by_columns(lines) or separator_by_count(lines) or ","
     reader = (spark.read.option("header", True).option("sep", separator)
-              .option("ignoreLeadingWhiteSpace", True))
+              .option("ignoreLeadingWhiteSpace", True).option("quote", '"').option("escape", '"')
+              .option("multiLine", quoted_line_ends(spark, path)))
     western = (encoding or "").lower() in ("windows-1252", "cp1252")
     if encoding:
         # Spark has no reader for Windows-1252; it is Latin-1 with letters in place of control codes
+        if not western and encoding.upper() not in READABLE:
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")     # else only a few encodings are accepted
         reader = reader.option("encoding", "ISO-8859-1" if western else encoding)
+        if encoding.upper().startswith("UTF-16"):
+            reader = reader.option("multiLine", True)      # line ends are two bytes, so splits can't find them
     if schema is None:
         typed = reader.option("inferSchema", True).csv(path).schema
     else:
@@ -123,6 +176,11 @@ def read_delimited(spark: SparkSession, path: str, separator: str | None = None,
     return _western_letters(df) if western else df
 
 
+def broken_lines(spark: SparkSession, path: str | list[str], **options) -> int:
+    """How many records ``read_delimited`` leaves out as malformed."""
+    return read_delimited(spark, path, keep_broken=True, **options).where("_broken IS NOT NULL").count()
+
+
 def _western_letters(df: DataFrame) -> DataFrame:
     """Control codes 80-9F of Latin-1 text as the letters they stand for in Windows-1252."""
     codes = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
@@ -149,11 +207,18 @@ def read_data_flexible(spark: SparkSession, path: str, detect_encoding: bool = T
         return read_json(spark, path)
     if lower.endswith((".jsonl", ".ndjson")):
         return read_json(spark, path, lines=True)
-    encoding = None
-    if detect_encoding:
-        found = {r["encoding"] for r in file_encodings(spark, path).select("encoding").distinct().collect()}
-        encoding = next((e for e in ("UTF-16", "windows-1252", "ISO-8859-1") if e in found), None)
-    return read_delimited(spark, path, encoding=encoding)
+    if not detect_encoding:
+        return read_delimited(spark, path)
+    files: dict[str, list[str]] = {}
+    for r in file_encodings(spark, path).collect():
+        files.setdefault(r["encoding"], []).append(r["path"])
+    parts = [read_delimited(spark, sorted(files[e]), encoding=None if e == "UTF-8" else e) for e in sorted(files)]
+    if not parts:
+        return read_delimited(spark, path)
+    df = parts[0]
+    for other in parts[1:]:
+        df = df.unionByName(other, allowMissingColumns=True)
+    return df
 
 
 def read_folder(spark: SparkSession, path: str, kind: str = "json", **options) -> DataFrame:
@@ -165,7 +230,8 @@ def read_folder(spark: SparkSession, path: str, kind: str = "json", **options) -
 def preview(spark: SparkSession, path: str, lines: int = V.PREVIEW_LINES,
             characters: int = V.PREVIEW_CHARS) -> str:
     """The first lines of a file as one text of limited length."""
-    return "\n".join(r["value"] for r in spark.read.text(path).limit(lines).collect())[:characters]
+    head = spark.read.text(path).limit(lines).select(F.substring("value", 1, characters).alias("value"))
+    return "\n".join(r["value"] for r in head.collect())[:characters]
 
 
 def from_records(spark: SparkSession, records: dict | Sequence[dict]) -> DataFrame:

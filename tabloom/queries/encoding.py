@@ -114,12 +114,15 @@ def target_encode(spark, folder):
     return coded.select("o_orderkey", r(F.col("customer_target")).alias("customer_target"))
 
 
-@query()
+@query("""SELECT 2::BIGINT AS per_row, count(*) AS rows, 2.0 * count(*) AS filled, true AS spread FROM part""")
 def hash_encode(spark, folder):
-    """Rows per filled slot of the hashed vector."""
-    coded = E.hash_encode(table(spark, folder, "part").select("p_brand", "p_type"), ["p_brand", "p_type"])
-    slots = coded.select(F.posexplode(vector_to_array("hashed")).alias("slot", "filled"))
-    return slots.groupBy("slot").agg(F.sum("filled").alias("rows"))
+    """Every row fills one slot per column, and the slots are spread."""
+    coded = E.hash_encode(table(spark, folder, "part").select("p_brand", "p_type"), ["p_brand", "p_type"], width=1024)
+    slots = coded.select(vector_to_array("hashed").alias("v"))
+    each = slots.select(F.aggregate("v", F.lit(0.0), lambda t, x: t + x).alias("filled"),
+                        F.array_position("v", F.array_max("v")).alias("slot"))
+    return each.agg(F.max("filled").cast("bigint").alias("per_row"), F.count(F.lit(1)).alias("rows"),
+                    F.sum("filled").alias("filled"), (F.count_distinct("slot") > 2).alias("spread"))
 
 
 @query("""WITH k AS (SELECT p_type, row_number() OVER (ORDER BY p_type) AS i FROM (SELECT DISTINCT p_type FROM part))
@@ -131,6 +134,13 @@ def binary_encode(spark, folder):
     return coded.select("p_partkey", "p_type_0", "p_type_1", "p_type_2")
 
 
+def polynomial_sql(x, factors):
+    value = f"{factors[0]!r}::DOUBLE"
+    for f in factors[1:]:
+        value = f"({value} * ({x}) + {f!r}::DOUBLE)"
+    return value
+
+
 NORMAL_SHARES = "[" + ", ".join(f"{i}.0::DOUBLE / 99" for i in range(100)) + "]"
 
 
@@ -138,9 +148,10 @@ NORMAL_SHARES = "[" + ", ".join(f"{i}.0::DOUBLE / 99" for i in range(100)) + "]"
     d AS (SELECT o_orderkey, o_totalprice AS v, greatest(len(list_filter(e, lambda x: x < o_totalprice)), 1) AS i, e FROM orders, e),
     p AS (SELECT o_orderkey, (i - 1) / 99.0::DOUBLE + (v - e[i]) * ((1.0::DOUBLE / 99) / (e[i + 1] - e[i])) AS p FROM d),
     c AS (SELECT o_orderkey, p, greatest(least(p, 1 - 1e-7::DOUBLE), 1e-7::DOUBLE) AS q FROM p),
-    t AS (SELECT o_orderkey, q, sqrt(-2 * ln(least(q, 1 - q))) AS t FROM c),
-    z AS (SELECT o_orderkey, q, t - (2.515517::DOUBLE + t * (0.802853::DOUBLE + t * 0.010328::DOUBLE)) / (1 + t * (1.432788::DOUBLE + t * (0.189269::DOUBLE + t * 0.001308::DOUBLE))) AS z FROM t)
-    SELECT o_orderkey, round(CASE WHEN q < 0.5 THEN -z ELSE z END, 4) AS o_totalprice FROM z""")
+    t AS (SELECT o_orderkey, q, CASE WHEN least(q, 1 - q) >= 0.02425::DOUBLE THEN q - 0.5 ELSE sqrt(-2 * ln(least(q, 1 - q))) END AS t FROM c),
+    z AS (SELECT o_orderkey, CASE WHEN least(q, 1 - q) >= 0.02425::DOUBLE THEN {polynomial_sql('t * t', E.NORMAL_MIDDLE)} * t / {polynomial_sql('t * t', E.NORMAL_MIDDLE_UNDER)}
+        WHEN q < 0.5 THEN {polynomial_sql('t', E.NORMAL_TAIL)} / {polynomial_sql('t', E.NORMAL_TAIL_UNDER)} ELSE -{polynomial_sql('t', E.NORMAL_TAIL)} / {polynomial_sql('t', E.NORMAL_TAIL_UNDER)} END AS z FROM t)
+    SELECT o_orderkey, round(z, 4) AS o_totalprice FROM z""")
 def quantile_normal(spark, folder):
     """E15."""
     df = E.quantile_normal(table(spark, folder, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"])

@@ -175,3 +175,11 @@ def test_one_hot_refuses_wide_columns(spark, monkeypatch):
     monkeypatch.setattr(E, "WIDEST", 10)
     with pytest.raises(ValueError):
         E.one_hot(spark.range(20).select(F.col("id").cast("string").alias("c")), ["c"], None)
+
+
+def test_inverse_normal(spark):
+    from statistics import NormalDist
+    shares = [1e-7, 1e-4, 0.02, 0.0243, 0.1, 0.5, 0.7, 0.975, 0.99, 1 - 1e-7]
+    df = spark.createDataFrame([(p,) for p in shares], "p double")
+    for row in E.with_inverse_normal(df, {"z": "p"}).collect():
+        assert row["z"] == pytest.approx(NormalDist().inv_cdf(row["p"]), abs=1e-7)

@@ -16,13 +16,13 @@ def _least(links: DataFrame) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root``, the smallest node it is connected with, for every node that has a link.
 
-    Alternates two steps until nothing changes: each node hands its larger neighbours to its smallest one, then each
+    Alternates two steps until only stars are left: each node hands its larger neighbours to its smallest one, then each
     node hands its smaller neighbours to the smallest of them. Every step is a minimum combined before the shuffle and
     a join whose large keys Spark may split; a round is written to the shared folder and the next starts from there.
     Links to itself, repeats and NULLs are left out.
     """
     pairs = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
-    state, pairs = None, stored(pairs, "links")
+    pairs = stored(pairs, "links")
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = (both.join(_least(both), "a").where("b > a AND b <> least")
@@ -31,9 +31,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(_least(large), "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
         small = small.unionByName(_least(large).select("a", F.col("least").alias("b"))).distinct()
         pairs = stored(small, "links-small")
-        now = pairs.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
-        if now == state:
+        # done when each node hands on to one other that hands on to none
+        ends = pairs.select(F.col("b").alias("a")).distinct()
+        if (pairs.groupBy("a").count().where("count > 1").select("a")
+                .unionByName(pairs.select("a").join(ends, "a", "left_semi")).isEmpty()):
             break
-        state = now
     nodes = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

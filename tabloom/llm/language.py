@@ -17,7 +17,7 @@ from tabloom.llm.common import map_arrow
 BUCKETS = 1 << 16
 SIZES = (1, 2, 3, 4)         # letters per group; the edge of a word counts as one
 UNKNOWN = "und"
-SAMPLE_ROWS = 4000           # expected number of labelled texts that the model is fitted on; at most twice as many
+SAMPLE_ROWS = 2000           # expected number of labelled texts that the model is fitted on; at most twice as many
 
 
 @cache
@@ -94,6 +94,18 @@ def _sample(labelled: DataFrame, rows: int) -> pa.Table:
     return map_arrow(chosen, count, "key string, label string, buckets binary, counts binary").limit(2 * rows).toArrow()
 
 
+def _counts(sample: pa.Table) -> list[tuple[np.ndarray, np.ndarray, str]]:
+    """Buckets, their shares of the text and the label, in an order that doesn't depend on the cluster."""
+    found = []
+    for batch in sample.to_batches():
+        for key, label, buckets, counts in zip(*(batch[c] for c in ("key", "label", "buckets", "counts"))):
+            b, n = np.frombuffer(buckets.as_py(), dtype=np.uint16), np.frombuffer(counts.as_py(), dtype=np.uint32)
+            if len(b):
+                found.append((key.as_py() or "", label.as_py(), b, (n / n.sum()).astype(np.float32)))
+    found.sort(key=lambda f: (f[0], f[1], f[2].tobytes()))
+    return [(b, share, label) for _, label, b, share in found]
+
+
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, dimensions: int = 16, epochs: int = 6, rate: float = 2.0,
         seed: int = 7) -> LanguageModel:
     """Model of the labels of ``labelled`` (columns ``key``, ``text``, ``label``).
@@ -106,14 +118,12 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, dimensions: int = 1
     """
     rows = labelled.where("label IS NOT NULL AND text IS NOT NULL").select(
         F.col("key").cast("string").alias("key"), "text", F.col("label").cast("string").alias("label"))
-    sample = sorted(_sample(rows, sample_rows).to_pylist(), key=lambda r: (r["key"] or "", r["label"], r["buckets"]))
-    texts = [(np.frombuffer(r["buckets"], dtype=np.uint16), np.frombuffer(r["counts"], dtype=np.uint32), r["label"])
-             for r in sample if r["buckets"]]
+    texts = _counts(_sample(rows, sample_rows))
     if not texts:
         raise ValueError("no labelled text to learn from")
     labels = sorted({t[2] for t in texts})
     random = np.random.default_rng(seed)
-    weigh = [(b, (n / n.sum()).astype(np.float32), labels.index(name)) for b, n, name in texts]
+    weigh = [(b, share, labels.index(name)) for b, share, name in texts]
     order = random.permutation(len(weigh))
     apart, learn = order[:len(order) // 5], order[len(order) // 5:]
     embedding = random.uniform(-1, 1, (BUCKETS, dimensions)).astype(np.float32) / dimensions

@@ -52,8 +52,8 @@ def _with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             .select("found.*").dropDuplicates(["line_id"]))
 
 
-def _variants(lines: DataFrame) -> DataFrame:
-    """Hashed variants of the lines: the line itself (``position`` 0) and the line less any one character.
+def _variants(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hashed variants of the lines: the lines themselves, and the lines less the character at each ``position``.
 
     A variant's key is the exclusive-or of the hashes of its numbered blocks. Blocks before a deletion are those of
     the line, blocks after it those of the line shifted by one, so a deletion only hashes its own block anew.
@@ -65,17 +65,18 @@ def _variants(lines: DataFrame) -> DataFrame:
             xxhash64(b, substring(line, b * {BLOCK} + 2, {BLOCK})), 0L))"""),
     })
     fold = "aggregate({}, 0L, (x, y) -> x ^ y)"
-    whole = blocks.select("rank", F.expr(fold.format("plain")).alias("key"),
-                          F.length("line").alias("size"), F.lit(0).alias("position"))
+    known = lambda c, kind: F.coalesce(c, F.lit(0).cast(kind))  # noqa: E731  never NULL, and the planner knows it
+    whole = blocks.select("rank", known(F.expr(fold.format("plain")), "bigint").alias("key"),
+                          known(F.length("line"), "int").alias("size"))
     parts = blocks.select("rank", F.length("line").alias("n"), F.explode(F.expr(f"""transform(sequence(0, {last}),
         b -> struct(b AS block, substring(line, b * {BLOCK} + 1, {BLOCK} + 1) AS part,
                     {fold.format('slice(plain, 1, b)')} ^ {fold.format(f'slice(moved, b + 2, {last} + 1)')} AS others))""")).alias("p"))
     less = parts.select("rank", "n", "p.*", F.explode(F.expr(
-        f"sequence(1, least(length(p.part), {BLOCK}))")).alias("i")).select(
-        "rank",
-        F.expr("others ^ if(length(part) = 1, 0L, xxhash64(block, concat(left(part, i - 1), substring(part, i + 1))))").alias("key"),
-        (F.col("n") - 1).alias("size"), F.expr(f"block * {BLOCK} + i").alias("position"))
-    return whole.unionByName(less)
+        f"sequence(1, least(length(p.part), {BLOCK}))")).alias("i"))
+    key = F.expr("others ^ if(length(part) = 1, 0L, xxhash64(block, concat(left(part, i - 1), substring(part, i + 1))))")
+    return whole, less.select(known(F.col("rank"), "bigint").alias("rank"), known(key, "bigint").alias("key"),
+                              known(F.col("n") - 1, "int").alias("size"),
+                              known(F.expr(f"block * {BLOCK} + i"), "int").alias("position"))
 
 
 def _near_repeats(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -86,18 +87,19 @@ def _near_repeats(docs: DataFrame, lines: DataFrame) -> DataFrame:
     texts = _with_text(docs, lines.select("line_id", "place").join(chosen, "line_id", "left_semi"))
     # numbered in the order of their places, so that one number tells which of two lines comes first
     texts = stored(texts.orderBy("place").select(F.monotonically_increasing_id().alias("rank"), "line_id", "line"), "line-texts")
-    variants = stored(_variants(texts), "line-variants")
+    # moved once by key and length; the aggregate and both joins below find their rows in place
+    whole, deleted = _variants(texts)
+    deleted = deleted.repartition("key", "size")
     # A replaced character: equal after a deletion at one position. Whoever comes first there is within one edit of
     # all the others, so each is paired with that one only.
-    same = ["key", "size", "position"]
-    deleted = variants.where("position > 0")
-    heads = (deleted.groupBy(*same).agg(F.min("rank").alias("early"), F.count(F.lit(1)).alias("n"))
-             .where("n > 1"))
-    replaced = (deleted.join(heads, same).where("rank > early").select(F.col("rank").alias("late"), "early"))
+    heads = (deleted.groupBy("key", "size", "position").agg(F.min("rank").alias("early"), F.count(F.lit(1)).alias("n"))
+             .where("n > 1").withColumnRenamed("position", "at"))
+    replaced = (deleted.join(heads, ["key", "size"]).where("position - at = 0 AND rank > early")
+                .select(F.col("rank").alias("late"), "early"))
     # An added or missing character: one line is a variant of the other.
-    whole = variants.where("position = 0").select("key", "size", F.col("rank").alias("short"))
-    added = deleted.join(whole, ["key", "size"]).select(F.greatest("rank", "short").alias("late"),
-                                                        F.least("rank", "short").alias("early"))
+    added = (deleted.join(whole.withColumnRenamed("rank", "short"), ["key", "size"])
+             .select(F.when(F.col("position") > 0, F.greatest("rank", "short")).alias("late"),    # all columns, so that
+                     F.least("rank", "short").alias("early")))                                     # the exchange is shared
     pairs = replaced.unionByName(added).distinct()
     late = texts.select(F.col("rank").alias("late"), "line_id", F.col("line").alias("late_line"))
     early = texts.select(F.col("rank").alias("early"), F.col("line").alias("early_line"))

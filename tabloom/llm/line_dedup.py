@@ -98,8 +98,9 @@ def _near_repeats(docs: DataFrame, lines: DataFrame) -> DataFrame:
                 .select(F.col("rank").alias("late"), "early"))
     # An added or missing character: one line is a variant of the other.
     added = (deleted.join(whole.withColumnRenamed("rank", "short"), ["key", "size"])
-             .select(F.when(F.col("position") > 0, F.greatest("rank", "short")).alias("late"),    # all columns, so that
-                     F.least("rank", "short").alias("early")))                                     # the exchange is shared
+             # naming the position, which is never 0, keeps all columns, so that the exchange is shared
+             .select(F.when(F.col("position") > 0, F.greatest("rank", "short")).otherwise(F.col("position")).alias("late"),
+                     F.least("rank", "short").alias("early")))
     pairs = replaced.unionByName(added).distinct()
     late = texts.select(F.col("rank").alias("late"), "line_id", F.col("line").alias("late_line"))
     early = texts.select(F.col("rank").alias("early"), F.col("line").alias("early_line"))

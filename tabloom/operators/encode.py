@@ -9,8 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import FeatureHasher
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.bins import interval_sql, sql_double
@@ -22,7 +22,6 @@ from tabloom.operators.profile import to_rows
 from tabloom.session import checkpoint
 
 WIDEST = 5_000              # one-hot columns that one category may give
-ONE_TASK_VALUES = 200_000   # distinct values that one task may number
 
 
 def impute_numbers(df: DataFrame, columns: Sequence[str], strategy: str = "median") -> DataFrame:
@@ -56,7 +55,7 @@ def frequent_values(df: DataFrame, column: str, limit: int | None) -> tuple[list
     if limit is None:
         values = [r["v"] for r in counts.select("v").limit(WIDEST + 1).collect()]
         if len(values) > WIDEST:
-            raise ValueError(f"{column} has over {WIDEST} values; hash or target-encode it instead")
+            raise ValueError(f"{column} has over {WIDEST} values; one_hot_sparse has no such limit")
         return sorted(values), False
     rows = counts.limit(limit + 1).collect()
     if len(rows) <= limit:
@@ -85,6 +84,19 @@ def one_hot(df: DataFrame, columns: Sequence[str], max_categories: int | None =
     return df.withColumns(made).drop(*columns)
 
 
+def one_hot_sparse(df: DataFrame, column: str, out: str = "one_hot") -> DataFrame:
+    """One sparse vector with a slot per value in sorted order, whatever their number; none is set for NULL.
+
+    Values are numbered by a table that is attached by key, so no dictionary passes through the driver.
+    """
+    coded = ordinal(df, column, out="__slot").withColumn("__slot", F.col("__slot").cast("double"))
+    width = int(coded.agg(F.max("__slot")).first()[0] or 0) + 1
+    known = F.when(F.col("__slot") >= 0, F.col("__slot")).otherwise(F.lit(float(width)))
+    coder = OneHotEncoder(inputCol="__slot", outputCol=out, dropLast=True)
+    sized = df.sparkSession.range(width + 1).select(F.col("id").cast("double").alias("__slot"))
+    return coder.fit(sized).transform(coded.withColumn("__slot", known)).drop("__slot")
+
+
 def dummies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Plain dummies for all values, none for NULL."""
     return one_hot(df, columns if columns is not None else text_columns(df), None)
@@ -93,12 +105,8 @@ def dummies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 def numbered(values: DataFrame, column: str, out: str = "index") -> DataFrame:
     """Rows of distinct values with their position in sorted order.
 
-    A small set is numbered by one window. A larger one is range-sorted and written; every
-    partition then starts at the total of the partitions before it.
+    They are range-sorted and written; every partition then starts at the total of the partitions before it.
     """
-    if values.limit(ONE_TASK_VALUES + 1).count() <= ONE_TASK_VALUES:
-        w = Window.orderBy(named(column))
-        return values.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
     placed = checkpoint(values.orderBy(named(column)).withColumn("__at", F.monotonically_increasing_id()))
     part, at = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit(2**33 - 1))
     sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(

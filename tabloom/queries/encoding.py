@@ -141,6 +141,17 @@ def polynomial_sql(x, factors):
     return value
 
 
+@query("""WITH k AS (SELECT o_custkey, row_number() OVER (ORDER BY o_custkey) - 1 AS i FROM (SELECT DISTINCT o_custkey FROM orders)),
+    n AS (SELECT count(*) AS n FROM k)
+    SELECT o_orderkey, n AS width, i AS slot, 1 AS filled FROM orders JOIN k USING (o_custkey), n""")
+def onehot_sparse(spark, folder):
+    """One-hot of a column of any number of values."""
+    coded = E.one_hot_sparse(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), "o_custkey")
+    array = vector_to_array("one_hot")
+    return coded.select("o_orderkey", F.size(array).cast("bigint").alias("width"), (F.array_position(array, 1.0) - 1).alias("slot"),
+                        F.aggregate(array, F.lit(0.0), lambda t, x: t + x).cast("int").alias("filled"))
+
+
 NORMAL_SHARES = "[" + ", ".join(f"{i}.0::DOUBLE / 99" for i in range(100)) + "]"
 
 

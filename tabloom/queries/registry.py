@@ -150,6 +150,71 @@ def bulk_load_models(spark, folder):
                          F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"))
 
 
+NOW = "2000-01-01 00:00:00"
+
+
+@query("""SELECT c_name AS username, CASE WHEN c_custkey % 3 = 0 THEN c_name || '@example.com' ELSE c_mktsegment END AS email,
+    '2000-01-01 00:00:00' AS created, CASE WHEN c_custkey % 2 = 0 THEN '2024-01-02 03:04:05' END AS login, true AS own_id, true AS is_active
+    FROM customer WHERE c_custkey % 7 <> 0""")
+def load_users(spark, folder):
+    """User documents, each twice in the load, less those whose name is there."""
+    key = F.col("c_custkey")
+    customers = table(spark, folder, "customer")
+    documents = customers.select(
+        F.when(key % 4 == 0, F.lit("none")).otherwise(uid(key)).alias("id"), F.col("c_name").alias("username"),
+        F.when(key % 3 != 0, F.col("c_mktsegment")).alias("email"), F.lit("soon").alias("created_at"),
+        F.when(key % 2 == 0, F.lit("2024-01-02 03:04:05")).otherwise(F.lit("never")).alias("last_login"))
+    path = work_folder(spark, "users")
+    documents.unionByName(documents).write.json(path)
+    read = spark.read.schema(registry.USER_DOCUMENT).json(path)
+    loaded = registry.users_from_documents(read, customers.where(key % 7 == 0).select(F.col("c_name").alias("username")),
+                                           F.lit(NOW).cast("timestamp"))
+    moment = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return loaded.select("username", "email", moment("created_at").alias("created"), moment("last_login").alias("login"),
+                         F.col("id").isNotNull().alias("own_id"), "is_active")
+
+
+@query(f"""SELECT {uid_sql('o_orderkey')} AS id, {uid_sql('o_custkey')} AS user_id, CASE WHEN o_orderkey % 3 = 0 THEN 'Unknown file' ELSE o_orderpriority END AS filename,
+    CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS file_path, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 1 END AS proposals, '2000-01-01 00:00:00' AS created
+    FROM orders WHERE o_custkey % 11 <> 0 AND o_orderkey % 7 <> 0 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
+def load_use_cases(spark, folder):
+    """Use-case documents with their proposals, each twice in the load."""
+    orders, key = table(spark, folder, "orders"), F.col("o_orderkey")
+    documents = orders.select(
+        uid(key).alias("id"), F.when(F.col("o_custkey") % 11 == 0, F.lit("nobody")).otherwise(uid(F.col("o_custkey"))).alias("user_id"),
+        F.when(key % 3 != 0, F.col("o_orderpriority")).alias("filename"),
+        F.when(key % 2 == 0, F.create_map(F.lit("preserved_file_path"), F.col("o_orderstatus"))).alias("metadata"),
+        F.when(key % 5 != 0, F.array(F.struct(F.lit("t").alias("title")))).alias("proposals"))
+    path = work_folder(spark, "use-cases")
+    documents.unionByName(documents).write.json(path)
+    read = spark.read.schema(registry.USE_CASE_DOCUMENT).json(path)
+    parents = table(spark, folder, "customer").where("c_acctbal > 0").select(uid(F.col("c_custkey")).alias("id"))
+    new = registry.load_new(read, orders.where(key % 7 == 0).select(uid(key).alias("id")), parents, "user_id")
+    loaded = registry.use_cases_from_documents(new, F.lit(NOW).cast("timestamp"))
+    return loaded.select("id", "user_id", "filename", "file_path", F.size("proposals").alias("proposals"),
+                         F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"))
+
+
+@query(f"""SELECT {uid_sql('o_orderkey')} AS id, {uid_sql('o_custkey')} AS model_id, CASE WHEN o_orderkey % 3 = 0 THEN 'Unnamed Embedding' ELSE o_orderpriority END AS name,
+    CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS settings FROM orders
+    WHERE o_orderkey % 7 <> 0 AND o_orderkey % 13 <> 0 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
+def load_embeddings(spark, folder):
+    """Embedding documents whose user and model exist, each twice in the load."""
+    orders, key = table(spark, folder, "orders"), F.col("o_orderkey")
+    documents = orders.select(
+        F.when(key % 13 == 0, F.lit("none")).otherwise(uid(key)).alias("id"), uid(F.col("o_custkey")).alias("user_id"),
+        uid(F.col("o_custkey")).alias("model_id"), F.when(key % 3 != 0, F.col("o_orderpriority")).alias("name"),
+        F.when(key % 2 == 0, F.create_map(F.lit("k"), F.lit("v"))).alias("settings"))
+    path = work_folder(spark, "embeddings")
+    documents.unionByName(documents).write.json(path)
+    read = spark.read.schema(registry.EMBEDDING_DOCUMENT).json(path)
+    customers = table(spark, folder, "customer")
+    models = customers.where("c_acctbal > 0").select(uid(F.col("c_custkey")).alias("id"))
+    loaded = registry.embeddings_from_documents(read, orders.where(key % 7 == 0).select(uid(key).alias("id")),
+                                                customers.select(uid(F.col("c_custkey")).alias("id")), models)
+    return loaded.select("id", "model_id", "name", F.size("settings").alias("settings"))
+
+
 @query("""SELECT user_id::VARCHAR AS user_id, event_type, (props->>'k')::INT AS k, count(*) AS n FROM events GROUP BY ALL""")
 def log_append(spark, folder):
     """Predictions appended to the log and read back from its JSON."""

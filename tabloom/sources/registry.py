@@ -109,6 +109,11 @@ USE_CASE_DOCUMENT = (
     "metadata map<string, string>")
 
 
+USER_DOCUMENT = "id string, username string, email string, password_hash string, created_at string, last_login string"
+EMBEDDING_DOCUMENT = ("id string, user_id string, model_id string, name string, embed_path string, created_at string, "
+                      "settings map<string, string>")
+
+
 def parsed_moment(text: Column, now: Column | None = None) -> Column:
     return F.coalesce(F.try_to_timestamp(text), now if now is not None else F.current_timestamp())
 
@@ -120,6 +125,40 @@ def load_new(documents: DataFrame, existing: DataFrame, parents: DataFrame, pare
     return only_new(with_parent(kept, parents, parent, "id"), existing, "id")
 
 
+def users_from_documents(documents: DataFrame, existing: DataFrame, now: Column | None = None) -> DataFrame:
+    """User documents whose name is not there yet, as registry rows; repeats of a name inside the load count once.
+
+    An id that is none gives a new one; a missing password hash stays NULL, since accounts are not run here.
+    """
+    new = only_new(documents.where("username IS NOT NULL"), existing, "username")
+    return new.select(
+        F.when(valid_id("id"), F.col("id")).otherwise(F.uuid()).alias("id"), "username",
+        F.coalesce("email", F.concat("username", F.lit("@example.com"))).alias("email"), "password_hash",
+        parsed_moment(F.col("created_at"), now).alias("created_at"),
+        F.try_to_timestamp("last_login").alias("last_login"), F.lit(True).alias("is_active"))
+
+
+def use_cases_from_documents(documents: DataFrame, now: Column | None = None) -> DataFrame:
+    """Use-case documents as registry rows with defaults for what they lack."""
+    return documents.select(
+        "id", "user_id", F.coalesce("filename", F.lit("Unknown file")).alias("filename"),
+        F.col("metadata")["preserved_file_path"].alias("file_path"),
+        F.coalesce("proposals", F.array().cast(documents.schema["proposals"].dataType)).alias("proposals"),
+        parsed_moment(F.col("created_at"), now).alias("created_at"),
+        F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
+
+
+def embeddings_from_documents(documents: DataFrame, existing: DataFrame, users: DataFrame, models: DataFrame,
+                              now: Column | None = None) -> DataFrame:
+    """Embedding documents with an own id that is not there yet, and a user and a model that exist."""
+    kept = documents.where(valid_id("id") & valid_id("user_id") & valid_id("model_id"))
+    kept = with_parent(with_parent(kept, users, "user_id", "id"), models, "model_id", "id")
+    return only_new(kept, existing, "id").select(
+        "id", "user_id", "model_id", F.coalesce("name", F.lit("Unnamed Embedding")).alias("name"), "embed_path",
+        F.coalesce("settings", F.create_map().cast("map<string,string>")).alias("settings"),
+        parsed_moment(F.col("created_at"), now).alias("created_at"))
+
+
 def models_from_documents(documents: DataFrame, now: Column | None = None) -> DataFrame:
     """Model documents as registry rows with defaults for what they lack."""
     m = F.col("metadata")

@@ -175,3 +175,12 @@ def test_small_column_tools(spark):
     assert tuple(C.coerce_record(loose, {"a": "int", "b": "double", "c": "string"}).first()) == (7, None, None)
     hot = C.align_one_hot(spark.createDataFrame([("u_v", 1)], "my_col string, n int"), ["cat__my_col_u_v", "cat__my_col_w", "n", "gone"])
     assert tuple(hot.first()) == (1, 0, 1, 0)
+
+
+def test_text_dates_count_as_temporal(spark):
+    from tabloom.operators.screening import screen_features
+    df = spark.range(600).select(F.date_format(F.timestamp_seconds(F.col("id") * 86400), "yyyy-MM-dd").alias("day"),
+                                 (F.col("id") % 7).alias("x"), F.when(F.col("id") < 300, "a").otherwise("b").alias("y"))
+    df = df.withColumn("day", F.when(F.col("x") < 5, F.lit("2020-01-01")).otherwise(F.col("day")))
+    found = screen_features(df, "y", temporal_columns=["day"], cardinality_threshold=1.0, id_threshold=1.0)
+    assert ("day", "temporal_leakage") in [(f, reason) for f, reason, _ in found.findings]

@@ -178,7 +178,9 @@ def read_delimited(spark: SparkSession, path: str | list[str], separator: str |
 
 def broken_lines(spark: SparkSession, path: str | list[str], **options) -> int:
     """How many records ``read_delimited`` leaves out as malformed."""
-    return read_delimited(spark, path, keep_broken=True, **options).where("_broken IS NOT NULL").count()
+    df = read_delimited(spark, path, keep_broken=True, **options)
+    # the other columns must be read too, or nothing is parsed that could be broken
+    return df.agg(F.count("_broken").alias("n"), *[F.count(named(c)) for c in df.columns if c != "_broken"]).first()["n"]
 
 
 def _western_letters(df: DataFrame) -> DataFrame:

@@ -30,8 +30,7 @@ def test_unseen_category(spark):
     assert {r["c"]: list(r["f"]) for r in made} == {"a": [1, 0], "z": [0, 0], None: [0, 1]}
 
 
-def test_numbering_of_many_values(spark, monkeypatch):
-    monkeypatch.setattr(E, "ONE_TASK_VALUES", 10)
+def test_numbering_of_many_values(spark):
     df = spark.range(500).select(F.format_string("v%05d", F.col("id") * 7 % 500).alias("c")).repartition(6)
     found = {r["c"]: r["index"] for r in E.numbered(df, "c").collect()}
     assert found == {f"v{i:05d}": i for i in range(500)}
@@ -183,3 +182,32 @@ def test_inverse_normal(spark):
     df = spark.createDataFrame([(p,) for p in shares], "p double")
     for row in E.with_inverse_normal(df, {"z": "p"}).collect():
         assert row["z"] == pytest.approx(NormalDist().inv_cdf(row["p"]), abs=1e-7)
+
+
+def test_rare_classes_stay(spark):
+    df = spark.range(50_000).select("id", F.when(F.col("id") < 3, "rare").when(F.col("id") % 2 == 0, "a").otherwise(None).alias("c"))
+    part = M.stratified_sample(df, 1000, "c", "id")
+    found = {r["c"]: r["count"] for r in part.groupBy("c").count().collect()}
+    assert found["rare"] >= 1 and 350 < found["a"] < 650 and 350 < found[None] < 650
+
+
+def test_attached_tables_by_every_way(spark):
+    from tabloom.operators.joins import attach, fits_broadcast
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, None)
+                                    .otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"))
+    table = rows.where("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("__rows"), F.min("id").alias("first"))
+    want = sorted((tuple(r) for r in attach(rows, table, "k", "__rows").collect()), key=str)
+    for weight in ("__rows", None):
+        table_ = table if weight else table.drop("__rows")
+        got = attach(rows, table_, "k", weight, limit_bytes=0)
+        near = attach(rows, table_, "k", weight)
+        assert sorted(map(str, got.select("k", "id", "first").collect())) == sorted(map(str, near.select("k", "id", "first").collect()))
+    assert len(want) == 4000
+    assert not fits_broadcast(spark.range(100).select(F.repeat(F.lit("x"), 10_000).alias("t")), 500_000)
+
+
+def test_repeats_inside_a_load(spark):
+    from tabloom.operators.joins import only_new
+    new = spark.createDataFrame([("a", 2), ("a", 1), ("b", 5), ("c", 1)], "id string, v int")
+    old = spark.createDataFrame([("c",)], "id string")
+    assert sorted(map(tuple, only_new(new, old, "id").collect())) == [("a", 1), ("b", 5)]

@@ -1,3 +1,4 @@
+import pytest
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -124,3 +125,39 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
         spark.range(i * 10, i * 10 + 10).write.mode("append").parquet(source)
         streaming.run_to_end(streaming.read_stream(spark, source, "id long"), out, progress)
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(20))
+
+
+def test_json_layouts(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": 1, "b": {"c": 2}}\n{"a": 2}\n\n{"a": 3}\n')
+    (tmp_path / "b.json").write_text('[{"a": 4},\n {"a": 5}]')
+    (tmp_path / "c.json").write_text('{\n"a": 6}')
+    from tabloom.sources import readers
+    assert sorted(r["a"] for r in readers.read_data_flexible(spark, str(tmp_path / "a.json")).collect()) == [1, 2, 3]
+    assert sorted(r["a"] for r in readers.read_json(spark, f"{tmp_path}/*.json").collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_quoted_values(spark, tmp_path):
+    from tabloom.sources import readers
+    (tmp_path / "q.csv").write_text('id,t\n1,"a\nb"\n2,"say ""x"", y"\n3,plain\nbad,line,with,more\n')
+    rows = readers.read_delimited(spark, str(tmp_path / "q.csv"), ",", schema="id int, t string").collect()
+    assert sorted((r["id"], r["t"]) for r in rows) == [(1, "a\nb"), (2, 'say "x", y'), (3, "plain")]
+    assert readers.broken_lines(spark, str(tmp_path / "q.csv"), separator=",", schema="id int, t string") == 1
+
+
+def test_encodings_of_a_folder(spark, tmp_path):
+    from tabloom.sources import readers
+    texts = {"utf-8": "Müller Straße né", "latin-1": "Müller Straße né", "shift_jis": "日本語のテキスト", "cp1251": "Привет мир как дела",
+             "cp1250": "žluťoučký kůň šťastný", "utf-16": "Übung macht", "utf-16-le": "Grüße aus", "cp1252": "“Quote” – €5 é"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_bytes(f"id,t\n1,{text}\n".encode(name))
+    rows = readers.read_data_flexible(spark, f"{tmp_path}/*.csv").collect()
+    assert sorted(r["t"] for r in rows) == sorted(texts.values())
+
+
+def test_work_folder_must_be_shared(monkeypatch):
+    from types import SimpleNamespace
+
+    from tabloom.session import work_folder
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        work_folder(cluster, "x")

@@ -111,7 +111,7 @@ def _matcher(shared, similarity: float, kinds: list[bytes]):
                 query, diagonal = (np.concatenate(x) for x in zip(*hits))
                 for k in np.unique(query).tolist():
                     item = numbers[k]
-                    slack = max(4, len(item) // 4)
+                    slack = min(max(4, len(item) // 4), 128)
                     found = (align(item, document, low, high) for low, high in bands(diagonal[query == k], slack))
                     best = max(found, key=lambda a: a.score)
                     if best.score >= similarity * MATCH * len(item):

@@ -135,7 +135,7 @@ def _matcher(shared, coverage: float):
                     template = numbers[k]
                     found = {(a.text_start, a.text_end): a for a in (
                         align(template, document, low, high)
-                        for low, high in bands(diagonal[query == k], max(1, len(template) // 4)))}
+                        for low, high in bands(diagonal[query == k], min(max(1, len(template) // 4), 128)))}
                     for a in found.values():
                         if a.matches >= coverage * len(template):
                             out.append((row, names[k], a.matches / len(template), a.matches, spans[a.text_start][0],

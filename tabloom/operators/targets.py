@@ -20,6 +20,7 @@ from tabloom.functions.scalars import (distinct_sketch, flag, min_max, named, nu
 from tabloom.functions.stats import ColumnStats, fit_stats
 from tabloom.operators.columns import clean_columns, column_roles
 from tabloom.operators.joins import group_values
+from tabloom.session import checkpoint
 
 Features = dict[str, Column]
 INF = float("inf")
@@ -311,13 +312,16 @@ class TargetGenerator:
             shares["distance_from_center"] = TERCILES
         if "value_score" in derived and recency:
             shares[recency] = [0.5]
-        fitted = fit_stats(df, shares)
+        # group values come out of a join, which the many scans of a fit should not repeat
+        seen = checkpoint(df.select(*[named(c) for c in shares])) if grouped else df
+        fitted = fit_stats(seen, shares)
+        filled_in = _filled(seen, {c: fitted[c] for c in derived if "_per_" in c and fitted[c].known})
         made: dict[str, Column | None] = {}
         for c in derived:
             if "_per_" in c and fitted[c].known:
                 filled = F.coalesce(named(c), F.lit(fitted[c].median))
                 made[c] = filled
-                made[f"{c}_category"] = quartile_class(filled, _filled(df, c, fitted[c]), V.TIER)
+                made[f"{c}_category"] = quartile_class(filled, filled_in[c], V.TIER)
             elif c.endswith("_length"):
                 made[f"{c}_category"] = labelled_quantiles(
                     named(c).cast("double"), fitted[c].edges(*TERCILES), V.TEXT_LENGTH)
@@ -341,12 +345,14 @@ class TargetGenerator:
         return _keep(made)
 
 
-def _filled(df: DataFrame, c: str, s: ColumnStats) -> ColumnStats:
-    """Statistics of a column after its gaps took the median; unchanged where there is no gap."""
-    if s.known == s.rows:
-        return s
-    filled = df.select(F.coalesce(named(c), F.lit(s.median)).alias(c))
-    return fit_stats(filled, {c: QUARTILES})[c]
+def _filled(df: DataFrame, stats: Mapping[str, ColumnStats]) -> dict[str, ColumnStats]:
+    """Statistics of columns after their gaps took the median, all in one fit; unchanged where there is no gap."""
+    gaps = [c for c, s in stats.items() if s.known < s.rows]
+    if not gaps:
+        return dict(stats)
+    filled = df.select(*[F.coalesce(named(c), F.lit(stats[c].median)).alias(c) for c in gaps])
+    return {**stats, **fit_stats(filled, {c: QUARTILES for c in gaps})}
+
 
 
 def generate_features(df: DataFrame, output_file: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from tabloom.operators import profile as P
 from tabloom.operators import targets as T
 from tabloom.operators.joins import group_values
 from tabloom.queries.base import cut_sql, flag_sql, query, r, rounded, table
+from tabloom.session import checkpoint
 
 
 def stats_cte(columns, name: str, shares: str) -> str:
@@ -174,7 +175,7 @@ def group_mean_sum(spark, folder):
     made = group_values(df, "l_suppkey", T.group_measures(["l_extendedprice"], "l_suppkey"))
     # sums are rounded before binning: their last digits depend on the order of addition
     mean, total = (F.round(F.col(f"l_extendedprice_by_l_suppkey_{a}"), d) for a, d in (("mean", 6), ("sum", 4)))
-    made = made.select("l_suppkey", mean.alias("m"), total.alias("t"))
+    made = checkpoint(made.select("l_suppkey", mean.alias("m"), total.alias("t")))
     s = fit_stats(made, {"m": T.QUARTILES, "t": T.QUARTILES})
     edges = {c: [round(e, d) for e in s[c].edges(*T.QUARTILES)] for c, d in (("m", 6), ("t", 4))}
     classes = {f"{c}_class": T.labelled_quantiles(F.col(c), edges[c], V.QUARTERS) for c in edges}

@@ -82,9 +82,11 @@ def _home(x: Column, syndrome: Column) -> Column:
     return F.when(syndrome == 0, x).otherwise(x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), syndrome - 1)))
 
 
-def linked(fps: DataFrame, max_bits: int = 2) -> DataFrame:
+def linked(fps: DataFrame, max_bits: int = 2, apart: str | None = None) -> DataFrame:
     """``draw`` and pairs ``a`` < ``b`` of its distinct fingerprints ``fp`` that differ in 1 to ``max_bits`` bits (5 at most).
 
+    With the name of a column in ``apart``, only pairs of fingerprints that differ in it are returned.
+
     One half of the two fingerprints differs in at most ``max_bits // 2`` bits. 31 bits of each half are covered by
     the words of the Hamming code: every value has its home anchor within one bit. Fingerprints are replicated to the
     16 anchors within two bits and compared anchor by anchor. With up to 3 bits in all, a half differs in one, so
@@ -102,24 +104,30 @@ def linked(fps: DataFrame, max_bits: int = 2) -> DataFrame:
         return F.call_function("shiftrightunsigned", F.col(fp), start).bitwiseAND(F.lit((1 << CODE_BITS) - 1))
 
     # the slot, draw and half of an anchor, stands above its bits, so that key and fingerprint are all that is moved
-    halves = (fps.select("fp", F.explode(F.array(F.col("draw") * 2, F.col("draw") * 2 + 1)).alias("slot"))
+    group = [F.col(apart).alias("group")] if apart else []
+    halves = (fps.select("fp", *group, F.explode(F.array(F.col("draw") * 2, F.col("draw") * 2 + 1)).alias("slot"))
               .withColumn("x", half("fp", F.col("slot"))).withColumn("s", _syndrome(F.col("x"))))
     above = F.call_function("shiftleft", F.col("slot").cast("bigint"), F.lit(CODE_BITS))
     halves = halves.withColumn("home", _home(F.col("x"), F.col("s")).bitwiseOR(above))
     others = F.expr(f"""transform(filter(sequence(1, {CODE_BITS}), i -> i < (i ^ s)),
         i -> x ^ shiftleft(1L, i - 1) ^ shiftleft(1L, (i ^ s) - 1) | shiftleft(bigint(slot), {CODE_BITS}))""")
     replicas = halves.withColumn("anchor", F.explode(F.concat(F.array("home"), others)))
-    far = replicas.select("anchor", F.col("fp").alias("b"))
+    def side(rows: DataFrame, key: str, name: str) -> DataFrame:
+        return rows.select(F.col(key).alias("anchor"), F.col("fp").alias(name), *([F.col("group").alias(f"{name}_group")] if apart else []))
+
+    far = side(replicas, "anchor", "b")
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
+    if apart:
+        close &= F.col("a_group") != F.col("b_group")
     slot = F.shiftright("anchor", CODE_BITS)
     if max_bits // 2 <= 1:
-        pairs = halves.select(F.col("home").alias("anchor"), F.col("fp").alias("a")).join(far, "anchor").where(close)
+        pairs = side(halves, "home", "a").join(far, "anchor").where(close)
     else:
         a, b = half("a", slot), half("b", slot)
         gap = a.bitwiseXOR(b)
         between = F.when(F.bit_count(gap) == 2, a.bitwiseXOR(gap.bitwiseAND(-gap))).otherwise(a)
         here = F.col("anchor").bitwiseAND(F.lit((1 << CODE_BITS) - 1)) == _home(between, _syndrome(between))
-        pairs = replicas.select("anchor", F.col("fp").alias("a")).join(far, "anchor").where(close & here)
+        pairs = side(replicas, "anchor", "a").join(far, "anchor").where(close & here)
     return pairs.select((slot / 2).cast("int").alias("draw"), "a", "b").distinct()
 
 
@@ -153,26 +161,29 @@ def drop_near_copies(docs: DataFrame, words: int = 5, max_bits: int = 5, draws:
     """``docs`` with all its columns, of every group of near copies the document with the smallest id.
 
     Documents are near copies if any of ``draws`` fingerprints of their shingles, each over other hashes, differ in at
-    most ``max_bits`` bits; one fingerprint alone misses many pairs of similarity 0.8, eight find most. The first two
-    draws run first and only one document of each group goes on to the others, so a large group is not linked over and
-    over. Groups reach over links as in ``near_groups``. Documents without id stay.
+    most ``max_bits`` bits; one fingerprint alone misses many pairs of similarity 0.8, eight find most. Groups reach over
+    links as in ``near_groups``, through the links of all draws together. The first two draws run first; for the others
+    all documents keep their fingerprints under the smallest id of their group so far, and only pairs of different groups
+    are linked, so a large group is not linked over and over. Documents without id stay.
     """
     left = stored(fingerprints(docs, words, draws, id_column, text_column).where("doc_id IS NOT NULL"), "fingerprints")
+    left = left.withColumn("root", F.col("doc_id"))
     gone = None
     for first, last in ((0, min(2, draws)), (2, draws)):
         if first >= last:
             continue
-        each = left.select("doc_id", F.posexplode("fps").alias("draw", "fp")).where(
-            (F.col("draw") >= first) & (F.col("draw") < last))
-        classes = stored(each.groupBy("draw", "fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
-        same = each.join(classes, ["draw", "fp"]).where("doc_id <> least").select(
-            F.col("doc_id").alias("a"), F.col("least").alias("b"))
+        each = left.select("root", F.posexplode(F.slice("fps", first + 1, last - first)).alias("draw", "fp"))
+        classes = stored(each.groupBy("draw", "fp").agg(F.min("root").alias("least")), "fingerprint-classes")
+        same = each.join(classes, ["draw", "fp"]).where("root <> least").select(
+            F.col("root").alias("a"), F.col("least").alias("b"))
         ends = [classes.select("draw", F.col("fp").alias(c), F.col("least").alias(f"{c}_id")) for c in "ab"]
-        pairs = stored(linked(classes, max_bits), "fingerprint-links")
+        pairs = stored(linked(classes, max_bits, "least"), "fingerprint-links")
         near = pairs.join(ends[0], ["draw", "a"]).join(ends[1], ["draw", "b"]).select(
             F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-        copies = stored(components(same.unionByName(near)).where("node <> root").select(F.col("node").alias("doc_id")), "near-copies")
-        gone = copies if gone is None else gone.unionByName(copies)
+        copies = stored(components(same.unionByName(near)).where("node <> root"), "near-copies")
+        gone = copies.select("node") if gone is None else gone.unionByName(copies.select("node"))
         if last < draws:
-            left = stored(left.join(copies, "doc_id", "left_anti"), "fingerprints")
+            roots = copies.select(F.col("node").alias("doc_id"), F.col("root").alias("lower"))
+            left = stored(left.drop("root").join(roots, "doc_id", "left").select(
+                "doc_id", "fps", F.coalesce("lower", "doc_id").alias("root")), "fingerprints")
     return by_id(docs, gone, "left_anti", id_column)

@@ -116,3 +116,21 @@ def test_drop_near_copies(spark):
     ids = {r.doc_id for r in left.collect()}
     assert ids >= {*groups, None, 999} and len(ids) <= len(groups) + 4
     assert drop_near_copies(docs.where("false")).count() == 0
+
+
+def test_links_of_all_draws_count(spark):
+    rng = random.Random(0)
+    vocabulary = ["w%d" % i for i in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(120)]
+    rows = []
+    for k in range(100):
+        other = list(base)
+        for _ in range(2 if k else 0):
+            other[rng.randrange(120)] = rng.choice(vocabulary)
+        rows.append((k, " ".join(other)))
+    prints = {i: fingerprint(t, 5, 8) for i, t in rows}
+    links = [(a, b) for a in prints for b in prints if a < b
+             and any((x ^ y).bit_count() <= 5 for x, y in zip(prints[a], prints[b]))]
+    want = set(plain_components(prints, links).values())
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in drop_near_copies(docs).collect()} == want == {0}

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +13,9 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.align import MATCH, align, bands
 from tabloom.llm.common import by_id, map_arrow
-from tabloom.llm.seeds import Index, Vocabulary, grams, members, words
+from tabloom.llm.seeds import Index, Vocabulary, grams, words
 
 SEED_WORDS = 3
-STRETCH = 3                  # of so many neighbouring word groups of an item, the rarest is a seed
 SIMILARITY = 0.6             # score of the alignment, as a share of that of the whole item
 BLOCK_WORDS = 1_000_000      # words of the items that are looked up in one pass
 FOUND = "item_id {item}, similarity double, matched_words int, item_words int, first_word int, last_word int"
@@ -38,36 +38,33 @@ def _groups(item: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
     return *grams(numbers, size), size
 
 
-def _seeds(rows: DataFrame, block: list[tuple[object, list[bytes]]], vocabulary: Vocabulary) -> dict[int, Index]:
-    """Of every stretch of word groups of an item the group that the fewest documents hold, by size of the group."""
-    found = [_groups(item, vocabulary) for _, item in block]
-    sizes = sorted({size for _, _, size in found})
-    known = {s: np.unique(np.concatenate([h for _, h, z in found if z == s])) for s in sizes}
-    shared = rows.sparkSession.sparkContext.broadcast((vocabulary, known))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, known = shared.value
-        held: Counter = Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                numbers = vocabulary.of(words(text.as_py()))
-                for size, hashes in known.items():
-                    held.update((size, h) for h in members(grams(numbers, size)[1], hashes).tolist())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in held], pa.int32()), pa.array(np.array([k[1] for k in held], np.uint64).view(np.int64)),
-             pa.array(list(held.values()), pa.int64())], ["size", "hash", "n"])
-
-    counts = map_arrow(rows.select("text"), count, "size int, hash bigint, n bigint").groupBy("size", "hash").agg(F.sum("n").alias("n"))
-    documents = {(r["size"], r["hash"] & (1 << 64) - 1): r["n"] for r in counts.collect()}       # seeds of one block only
-    entries: dict[int, set] = {s: set() for s in sizes}
-    for number, (places, hashes, size) in enumerate(found):
-        scarce = np.array([documents.get((size, h), 0) for h in hashes.tolist()])
-        for start in range(0, len(places), STRETCH):
-            k = start + int(scarce[start:start + STRETCH].argmin())
-            entries[size].add((int(hashes[k]), number, int(places[k])))
+def _seeds(block: list[tuple[object, list[bytes]]], vocabulary: Vocabulary) -> dict[int, Index]:
+    """All word groups of the items, by size of the group."""
+    entries: dict[int, set] = {}
+    for number, (_, item) in enumerate(block):
+        places, hashes, size = _groups(item, vocabulary)
+        entries.setdefault(size, set()).update(zip(hashes.tolist(), repeat(number), places.tolist()))
     return {s: Index(e) for s, e in entries.items()}
 
 
+def _passages(item: np.ndarray, document: np.ndarray, diagonals: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+    """Bands of diagonals around hits in which the item can have ``least`` words in the document.
+
+    Hits up to a quarter of the item apart share a band. Wide bands are cut into pieces that overlap by half, which is
+    further than an alignment with ``least`` agreeing words can drift at one point lost a gap. A piece takes memory by
+    the square of the item's length.
+    """
+    size = len(item)
+    if np.isin(item, document).sum() < least:
+        return
+    reach = max(size, math.ceil(MATCH * (size - least)))
+    for low, high in bands(diagonals, max(4, size // 4)):
+        for start in range(low, max(high - reach, low + 1), reach):
+            end = min(start + 2 * reach, high)
+            if np.isin(item, document[max(0, start):max(0, end + size)]).sum() >= least:
+                yield start, end
+
+
 def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, block_words: int = BLOCK_WORDS,
                  id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Pairs of document and benchmark item that the document holds, whole or edited.
@@ -78,10 +75,9 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
 
     Texts are compared as lower-cased words. The items (``item_id``, ``text``) are the query set: they are looked up in
     blocks of about ``block_words`` words, so what the driver holds and broadcasts is bounded, and every block meets all
-    documents. A first pass counts in how many documents each group of three words of an item stands; of each stretch of
-    neighbouring groups the rarest becomes a seed, so that every part of every item has one however common it is. A
-    second pass joins documents to items on the seeds and aligns each item in a band around its hits. Nothing is
-    shuffled but the counts, and a document is never compared with an item without a seed.
+    documents. Every group of three words of an item is a seed, however common it is. One pass joins documents to items
+    on the seeds and aligns each item in bands around its hits, where enough of its words stand. Nothing is shuffled,
+    and a document is never compared with an item without a seed.
 
     NULL and empty texts, of documents or items, match nothing. Items shorter than three words are their own seed.
     Repeated items are looked up once, repeated documents give a row each. Empty tables give an empty result.
@@ -95,7 +91,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
         vocabulary = Vocabulary(item for _, item in block)
         numbers = [vocabulary.of(item) for _, item in block]
         shared = docs.sparkSession.sparkContext.broadcast(
-            (vocabulary, _seeds(rows, block, vocabulary), numbers, [name for name, _ in block]))
+            (vocabulary, _seeds(block, vocabulary), numbers, [name for name, _ in block]))
         result = result.unionByName(map_arrow(rows, _matcher(shared, similarity, kinds), schema))
     return result
 
@@ -111,10 +107,11 @@ def _matcher(shared, similarity: float, kinds: list[bytes]):
                 query, diagonal = (np.concatenate(x) for x in zip(*hits))
                 for k in np.unique(query).tolist():
                     item = numbers[k]
-                    slack = min(max(4, len(item) // 4), 128)
-                    found = (align(item, document, low, high) for low, high in bands(diagonal[query == k], slack))
-                    best = max(found, key=lambda a: a.score)
-                    if best.score >= similarity * MATCH * len(item):
+                    # every word that agrees adds MATCH at most, so a passage needs this share of the item's words
+                    found = (align(item, document, low, high)
+                             for low, high in _passages(item, document, diagonal[query == k], similarity * len(item)))
+                    best = max(found, key=lambda a: a.score, default=None)
+                    if best and best.score >= similarity * MATCH * len(item):
                         out.append((place, names[k], best.score / (MATCH * len(item)), best.matches, len(item),
                                     best.text_start, best.text_end - 1))
             if out:

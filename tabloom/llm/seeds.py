@@ -59,14 +59,6 @@ def grams(numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return places, h
 
 
-def members(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Distinct hashes that are among the sorted ``known`` ones."""
-    if not len(known):
-        return hashes[:0]
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    return np.unique(hashes[known[at] == hashes])
-
-
 class Index:
     """Places of chosen word groups in the query set, by hash; every hit is checked word by word by the alignment."""
 

@@ -75,3 +75,16 @@ def test_documents(spark):
     assert {r.doc_id for r in left.collect()} == {r[0] for r in rows} - {d for d, _ in planted} - {503}
     assert contaminated(docs.where("false"), bench).count() == contaminated(docs, bench.where("false")).count() == 0
     assert drop_contaminated(docs, bench.where("false")).count() == len(rows)
+
+
+def test_any_intact_word_group_is_a_seed(spark):
+    item = ["a%d" % i for i in range(11)]
+    copy = [w if k not in (3, 7) else "other" for k, w in enumerate(item)]
+    common = " ".join(item[1:3] + ["x"] + item[4:7])
+    long = ["b%d" % i for i in range(1000)]
+    parted = long[:500] + ["w"] * 200 + long[500:]
+    docs = spark.createDataFrame([(1, " ".join(copy)), (2, common), (3, " ".join(parted)), (4, " ".join(long[:550])),
+                                  (5, "w " * 5000 + " ".join(parted) + " w" * 5000)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(long))], "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id): round(r.similarity, 2) for r in contaminated(docs, bench).collect()}
+    assert found == {(1, 1): 0.73, (3, 2): 0.9, (5, 2): 0.9}

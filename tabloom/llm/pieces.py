@@ -45,6 +45,9 @@ class Pieces:
         self.normaliser = self._normaliser(rule)
         self.tokenizer = Tokenizer(self._segmenter(trained, kinds))
         self.tokenizer.decoder = self._decoder(rule)
+        self.inner = Tokenizer(self.tokenizer.model)       # decodes a part of a text; nothing is stripped from its start
+        self.inner.decoder = self._decoder(rule, strip=False)
+        self.collapses = rule.remove_extra_whitespaces
         # Where no piece goes on after a space, texts fall apart before every space that follows another character.
         crossing = re.compile(f"[^{MARK}]{MARK}")
         self.parts = None if any(crossing.search(n) for n in self.names) else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -55,6 +58,7 @@ class Pieces:
         self._met: dict[str, bytes] = {}
         self._lossy: set[str] = set()
         self._odd: set[str] = set()
+        self._told: dict[str, str] = {}      # decoded text of the parts that don't decode to themselves
         self.skipped = {i for i, k in enumerate(kinds) if k == CONTROL}
         self.verify(PROBES)
 
@@ -91,11 +95,11 @@ class Pieces:
                           byte_fallback=trained.byte_fallback)
 
     @staticmethod
-    def _decoder(rule):
+    def _decoder(rule, strip: bool = True):
         from tokenizers import decoders
 
         steps = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-        if rule.add_dummy_prefix:
+        if rule.add_dummy_prefix and strip:
             steps.append(decoders.Strip(" ", 1 << 20 if rule.remove_extra_whitespaces else 1, 0))
         return decoders.Sequence(steps)
 
@@ -111,10 +115,17 @@ class Pieces:
         Distinct parts that the worker hasn't met yet are encoded as one batch on several threads, and by the
         sentencepiece library too; where the two differ, its ids are taken.
         """
-        cut = [[n] if self.parts is None and n else self.parts.findall(n) if n else [] for n in map(self.normalise, texts)]
-        met, lossy, odd = self._met, self._lossy, self._odd
+        return self.encode_parts(self.cut(texts))
+
+    def cut(self, texts: Sequence[str]) -> list[list[str]]:
+        """The parts of every normalised text, which are encoded one by one."""
+        return [[n] if self.parts is None and n else self.parts.findall(n) if n else [] for n in map(self.normalise, texts)]
+
+    def encode_parts(self, cut: Sequence[list[str]]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
+        """What ``encode`` gives for texts that are cut already."""
+        met, lossy, odd, told = self._met, self._lossy, self._odd, self._told
         if len(met) > REMEMBERED:
-            for kept in (met, lossy, odd):
+            for kept in (met, lossy, odd, told):
                 kept.clear()
         new = list(set(chain.from_iterable(cut)).difference(met))
         if new:
@@ -126,9 +137,26 @@ class Pieces:
                 met[part] = array("i", i).tobytes()
                 if b"".join(map(self._bytes.__getitem__, i)) != part.encode("utf-8"):
                     lossy.add(part)
+            kept = [[i for i in row if i not in self.skipped] for row in ids]
+            for part, text in zip(new, self.inner.decode_batch(kept, skip_special_tokens=False)):
+                if text != part:
+                    told[part] = text
         return ([np.frombuffer(b"".join(map(met.__getitem__, c)), dtype=np.int32) for c in cut],
                 [not lossy or lossy.isdisjoint(c) for c in cut], [not odd or odd.isdisjoint(c) for c in cut])
 
+    def round_trips(self, texts: Sequence[str], cut: Sequence[list[str]]) -> list[bool]:
+        """Whether the ids of every text, as ``encode_parts`` just gave them, decode to the text itself.
+
+        The decoded text is put together from that of the parts, whose ids were decoded once.
+        """
+        told, found = self._told, []
+        for text, parts in zip(texts, cut):
+            decoded = "".join([told.get(p, p) for p in parts])
+            if self.prefix:
+                decoded = decoded.lstrip(" ") if self.collapses else decoded.removeprefix(" ")
+            found.append(decoded == text)
+        return found
+
     def _differing(self, parts: list[str], ids: list[list[int]]) -> list[tuple[int, list[int]]]:
         """Numbers of the parts that the sentencepiece library encodes otherwise, with its ids."""
         # it puts its own mark in front, so a part gives up the one it has
@@ -160,13 +188,14 @@ def _load(path: str, threads: int) -> Pieces:
 
 def encode_documents(docs: DataFrame, model: str, threads: int = THREADS, id_column: str = "doc_id",
                      text_column: str = "text") -> DataFrame:
-    """``doc_id``, ``ids``, ``n_tokens``, ``round_trip`` (the ids give back the text) and ``parity`` of every document.
+    """``doc_id``, ``ids``, ``n_tokens``, ``round_trip`` (the ids decode to the text) and ``parity`` of every document.
 
     ``model`` is the path of a SentencePiece model file, readable on every executor. Normaliser, space marks, scores or
     merges and byte fallback are rebuilt on the tokenizers library, which encodes each batch on ``threads`` threads.
     Texts are cut before spaces where no piece of the model crosses them, and distinct parts are encoded once while the
     worker remembers them; every part is verified against the sentencepiece library. Where the two differ, ``parity``
-    is false and the ids are those of sentencepiece.
+    is false and the ids are those of sentencepiece. The ids of every part are decoded by the rebuilt decoder in the same
+    pass; a text that the model changes, or that holds the mark of a space itself, has no ``round_trip``.
 
     Documents are independent: one pass, no shuffle, memory bounded by a batch. NULL text counts as empty and gives no
     ids. NULL ids and repeated rows are returned as they are. An empty table gives an empty result.
@@ -177,7 +206,9 @@ def encode_documents(docs: DataFrame, model: str, threads: int = THREADS, id_col
         pieces = _load(model, threads)
         for batch in batches:
             texts = batch["text"].to_pylist()
-            ids, same, agreed = pieces.encode(texts)
+            cut = pieces.cut(texts)
+            ids, _, agreed = pieces.encode_parts(cut)
+            same = pieces.round_trips(texts, cut)
             sizes = np.array([len(i) for i in ids], dtype=np.int64)
             flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)

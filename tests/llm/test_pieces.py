@@ -92,3 +92,15 @@ def test_nulls_repeats_and_empty(spark):
     assert encode_documents(docs.where("false"), PATH).count() == 0
     empty = spark.createDataFrame([(1, None), (2, [])], "doc_id bigint, ids array<int>")
     assert [r.text for r in decode_documents(empty, PATH).collect()] == ["", ""]
+
+
+def test_round_trip_is_decoding(spark, tmp_path):
+    path = str(tmp_path / "u.model")
+    unigram_model(path)
+    rows = texts() + ["a\u2581b", " \u2581", "a  b", " a", "<unk>"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    for model in (PATH, path):
+        plain = sentencepiece.SentencePieceProcessor(model_file=model)
+        got = {r.doc_id: (list(r.ids), r.round_trip) for r in encode_documents(docs, model).collect()}
+        assert {i: same for i, (_, same) in got.items()} == {i: plain.decode(got[i][0]) == t for i, t in enumerate(rows)}
+        assert not got[len(texts())][1]

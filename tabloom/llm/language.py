@@ -17,6 +17,8 @@ from tabloom.llm.common import map_arrow
 BUCKETS = 1 << 16
 SIZES = (1, 2, 3, 4)         # letters per group; the edge of a word counts as one
 UNKNOWN = "und"
+UNSEEN = 0.001               # share of the letter groups of a text that may be new, spread over all buckets
+LEAST_APART = 50             # kept-apart texts below which they are too few to say how unfamiliar a text may be
 SAMPLE_ROWS = 2000           # expected number of labelled texts that the model is fitted on; at most twice as many
 
 
@@ -57,6 +59,8 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
     threshold: float           # texts whose best probability is lower are rejected
+    familiar: np.ndarray | None = None       # for each label, log of the share of each bucket in its texts
+    least: float = -np.inf     # texts whose mean under their label is lower are rejected
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Label, its calibrated probability, and whether the text is rejected; ``und`` and 0 without letters."""
@@ -65,7 +69,8 @@ class LanguageModel:
             return UNKNOWN, 0.0, True
         p = _softmax((self.table[found].mean(axis=0, dtype=np.float64) + self.bias) / self.temperature)
         best = int(p.argmax())
-        return self.labels[best], float(p[best]), bool(p[best] < self.threshold)
+        strange = self.familiar is not None and self.familiar[best][found].mean(dtype=np.float64) < self.least
+        return self.labels[best], float(p[best]), bool(p[best] < self.threshold or strange)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -112,9 +117,12 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, dimensions: int = 1
 
     Learns from a bounded sample: about ``sample_rows`` texts spread evenly over the labels and chosen by a hash of the
     key, of which only bucket counts reach the driver. Stochastic gradient descent in numpy, one text a step. A fifth
-    of the sample is kept apart to set the temperature of the probabilities (least log loss) and the threshold of
-    rejection: half the lowest probability that a correctly labelled text of it gets, and at most a tenth above the
-    even odds of all labels, so that texts like the known ones pass. NULL labels and texts without letters teach nothing.
+    of the sample is kept apart to set the temperature of the probabilities (least log loss) and two thresholds of
+    rejection. Probabilities are high for unknown languages too, so the first only takes texts near even odds: half the
+    lowest probability that a correctly labelled text of it gets, at most a tenth above even. The second is on
+    familiarity, the mean log share that a text's letter groups have in the learnt texts of its label: as far below the
+    lowest of the correctly labelled texts kept apart as that is below their median. Where fewer than 50 are kept apart,
+    nothing is rejected as unfamiliar. NULL labels and texts without letters teach nothing.
     """
     rows = labelled.where("label IS NOT NULL AND text IS NOT NULL").select(
         F.col("key").cast("string").alias("key"), "text", F.col("label").cast("string").alias("label"))
@@ -156,7 +164,17 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, dimensions: int = 1
         p = np.array([_softmax(s / temperature) for s in scores])
         right = p.max(axis=1)[p.argmax(axis=1) == truth]
         threshold = min(1.1 / len(labels), float(right.min()) / 2) if len(right) and len(labels) > 1 else 0.0
-    return LanguageModel(labels, table, bias, temperature, threshold)
+    shares = np.zeros((len(labels), BUCKETS))
+    for buckets, share, label in (weigh[k] for k in learn):
+        shares[label, buckets] += share
+    shares /= np.maximum(shares.sum(axis=1, keepdims=True), 1e-9)
+    familiar, least = np.log((1 - UNSEEN) * shares + UNSEEN / BUCKETS).astype(np.float32), -np.inf
+    if len(truth) >= LEAST_APART:
+        means = [float(share @ familiar[t][b]) for (b, share, _), t, s in zip((weigh[k] for k in apart), truth, scores)
+                 if s.argmax() == t]
+        if means:
+            least = 2 * min(means) - float(np.median(means))
+    return LanguageModel(labels, table, bias, temperature, threshold, familiar, least)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_column: str = "text",

@@ -77,3 +77,17 @@ def test_rejection(spark):
     model = LanguageModel(["a", "b"], np.zeros((BUCKETS, 2), np.float32), np.zeros(2, np.float32), 1.0, 0.55)
     df = spark.createDataFrame([("word",)], "text string")
     assert [tuple(r)[1:] for r in predict(df, model).collect()] == [("a", 0.5, True)]
+
+
+def test_unknown_languages_and_junk_are_rejected(spark, folder):
+    docs = spark.read.parquet(folder.replace("sf0.001", "sf0.01") + "/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(4)
+    junk = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 10))) for _ in range(40)) for _ in range(50)]
+    junk += ["ภาษาไทยเป็นภาษาที่มีระดับเสียงของคำแน่นอนหรือวรรณยุกต์", "中文是世界上使用人数最多的语言之一，也是联合国的工作语言",
+             "Все люди рождаются свободными и равными в своем достоинстве и правах",
+             "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+             "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+             "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQgZW5jb2RlZCB0ZXh0IGZvciB0ZXN0aW5n", "asdf jkl; qwer uiop zxcv asdfg hjkl qwerty"]
+    strange = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(junk)], "doc_id bigint, text string, lang string")
+    left = {r.doc_id for r in drop_unidentified(docs.unionByName(strange)).collect()}
+    assert not [i for i in left if i < 0] and len(left) >= docs.count() - 2

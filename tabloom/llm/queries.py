@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabloom.llm.decontaminate import contaminated
 from tabloom.llm.exact_dedup import exact_groups
+from tabloom.llm.filter_audit import audit, filter_masks
 from tabloom.llm.language import label_documents
 from tabloom.llm.licenses import license_spans
 from tabloom.llm.line_dedup import drop_repeated_lines
@@ -151,3 +152,49 @@ def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learnt from the labelled four fifths."""
     return label_documents(table(spark, folder, "documents"))
+
+
+AUDIT_SQL = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+flags AS (
+    SELECT doc_id, part, len(words) < 100 AS a, 100 * len(list_distinct(words)) < 80 * len(words) AS b,
+           100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text) AS c,
+           regexp_matches(text, '[#$%&*|]') AS d,
+           coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e FROM d),
+marked AS (
+    SELECT part, (CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END
+        || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END) AS fails,
+        coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+    FROM flags LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1)
+    USING (doc_id)),
+masks AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+          FROM marked GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6))::INTEGER AS step FROM orders),
+each AS (
+    SELECT part, filter_order, step, fails, n, good, toxic, contains(fails, substr(filter_order, step, 1)) AS own,
+           len(regexp_extract_all(substr(filter_order, 1, step - 1), '[' || fails || '_]')) > 0 AS early
+    FROM masks, steps),
+rows AS (
+    SELECT part, filter_order, step,
+           sum(CASE WHEN NOT own AND NOT early THEN n ELSE 0 END)::BIGINT AS kept,
+           sum(CASE WHEN own AND NOT early THEN n ELSE 0 END)::BIGINT AS removed,
+           sum(CASE WHEN own AND early THEN n ELSE 0 END)::BIGINT AS redundant,
+           sum(CASE WHEN own AND length(fails) = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+           sum(CASE WHEN own AND NOT early THEN good ELSE 0 END)::BIGINT AS good_lost,
+           sum(CASE WHEN own AND NOT early THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+    FROM each GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1))::BIGINT AS shapley FROM rows
+"""
+
+
+@query(AUDIT_SQL)
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove from each language, in all 120 orders and at every step."""
+    return audit(filter_masks(table(spark, folder, "documents"), table(spark, folder, "labels")), "ABCDE")

@@ -15,6 +15,7 @@ from tabloom.llm.line_dedup import drop_repeated_lines
 from tabloom.llm.pieces import encode_documents
 from tabloom.llm.sharding import shard_documents
 from tabloom.llm.simhash import near_groups
+from tabloom.llm.substrings import drop_repeated_passages
 from tabloom.llm.token_count import token_counts
 from tabloom.llm.warc import archived_pages
 
@@ -198,3 +199,25 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     """What five filters remove from each language, in all 120 orders and at every step."""
     return audit(filter_masks(table(spark, folder, "documents"), table(spark, folder, "labels")), "ABCDE")
+
+
+PASSAGE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+    SELECT doc_id, no, array_to_string(words[no:no + 12], ' ') AS passage
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS no FROM d)),
+late AS (SELECT doc_id, no FROM (SELECT doc_id, no, min(doc_id) OVER (PARTITION BY passage) AS least FROM windows)
+         WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(no, no + 13)) AS no FROM late),
+words AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS no FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY no) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, no)
+         GROUP BY doc_id)
+SELECT d.doc_id, len(words) AS n_words, len(words) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept k USING (doc_id)
+"""
+
+
+@query(PASSAGE_SQL)
+def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that stay once passages of 13 words that a smaller id has are taken out."""
+    return drop_repeated_passages(table(spark, folder, "documents"), 13, texts=False)

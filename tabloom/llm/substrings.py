@@ -12,15 +12,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import map_arrow, stored
+from tabloom.llm.common import map_arrow, remove_folder, stored
+from tabloom.session import work_folder
 
 SEED = 42
-SIGNATURE = 4                  # words of a minimiser
+SIGNATURE = 3                  # words of a minimiser
 LONGEST = 64                   # windows of a super-k-mer; only texts that repeat themselves reach it
-BUCKET_BYTES = 2 << 20         # text per bucket, by which the number of buckets is chosen
-SPLIT_BYTES = 16 << 20         # a bucket with more packed words is dealt anew, window by window
+BUCKET_BYTES = 1 << 20         # text per bucket, by which the number of buckets is chosen
+SPLIT_BYTES = 8 << 20          # a bucket with more packed words is dealt anew, window by window
 FLUSH_BYTES = 32 << 20         # packed words that a task gathers before it hands them on
-REMEMBERED = 1 << 20           # words whose hashes a worker remembers
+REMEMBERED = 1 << 18           # words whose hashes a worker remembers
 PACKED = "bucket bigint, size bigint, data binary"
 _CODEC = "zstd"
 _hashes: dict[bytes, int] = {}
@@ -244,12 +245,11 @@ def repeated_spans(blobs: list[tuple[int, bytes]], window: int) -> list[np.ndarr
     at, group, doc = at[shared], group[shared], doc[shared]
     if not len(at):
         return [np.zeros(0, dtype=k) for k in SPANS]
-    content = codes[at[:, None] + np.arange(window)]
-    fresh = np.concatenate([[True], group[1:] != group[:-1]])
-    heads = np.flatnonzero(fresh)
+    heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     head = np.repeat(heads, np.diff(np.append(heads, len(at))))
-    if (content != content[head]).any():                 # different words under one hash: rank whole windows instead
-        group = np.unique(content, axis=0, return_inverse=True)[1].reshape(-1)
+    if any((codes[at + k] != codes[at[head] + k]).any() for k in range(window)):
+        # different words under one hash: rank whole windows instead
+        group = np.unique(codes[at[:, None] + np.arange(window)], axis=0, return_inverse=True)[1].reshape(-1)
         order = np.argsort(group, kind="stable")
         at, group, doc = at[order], group[order], doc[order]
         heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
@@ -291,7 +291,8 @@ def _resolve(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 def repeated_passages(docs: DataFrame, window: int = 13) -> DataFrame:
     """``id``, ``hash``, ``first``, ``end``: spans of words in windows that a document with a smaller id has too.
 
-    ``docs`` has ``doc_id`` (bigint), ``text`` and ``text_hash``. Spans of one document may overlap.
+    ``docs`` has ``doc_id`` (bigint), ``text`` and ``text_hash``. Spans of one document may overlap. They are stored, and
+    the packed words, which take more room than the texts, are removed then.
     """
     spark = docs.sparkSession
     known = docs.where("doc_id IS NOT NULL")
@@ -302,7 +303,9 @@ def repeated_passages(docs: DataFrame, window: int = 13) -> DataFrame:
         gatherer = _Gatherer(buckets)
         yield from _in_batches(chain(chain.from_iterable(_cut(b, window, gatherer) for b in batches), gatherer.flush()))
 
-    packed = stored(map_arrow(known, cut, PACKED), "super-kmers")
+    folder = work_folder(spark, "super-kmers")
+    map_arrow(known, cut, PACKED).write.option("compression", "uncompressed").parquet(folder)
+    packed = spark.read.schema(PACKED).parquet(folder)
     large = stored(packed.where("bucket >= 0").groupBy("bucket").agg(F.sum("size").alias("size"))
                    .where(F.col("size") > SPLIT_BYTES), "large-buckets")
 
@@ -311,7 +314,9 @@ def repeated_passages(docs: DataFrame, window: int = 13) -> DataFrame:
         return map_arrow(met, lambda batches: _resolve(batches, window), "id bigint, hash bigint, first int, end int")
 
     if large.isEmpty():
-        return resolved(packed)
+        spans = stored(resolved(packed), "repeated-spans")
+        remove_folder(spark, folder)
+        return spans
     # every window of a large bucket travels by itself: at most `window` times the words
     pieces = max(1, -(-(large.select(F.sum("size")).first()[0] * window) // (4 * BUCKET_BYTES)))
 
@@ -322,16 +327,19 @@ def repeated_passages(docs: DataFrame, window: int = 13) -> DataFrame:
 
     names = large.select("bucket")
     apart = map_arrow(packed.join(names, "bucket", "left_semi").select(*packed.columns), split, PACKED)
-    return resolved(packed.join(names, "bucket", "left_anti").select(*packed.columns)).unionByName(resolved(apart))
+    small = packed.join(names, "bucket", "left_anti").select(*packed.columns)
+    spans = stored(resolved(small).unionByName(resolved(apart)), "repeated-spans")
+    remove_folder(spark, folder)
+    return spans
 
 
-def _without(text: bytes, spans: list | None) -> tuple[int, int, bytes]:
+def _without(text: bytes, first: list[int], end: list[int]) -> tuple[int, int, bytes]:
     words = text.split()
-    if not spans:
+    if not first:
         return len(words), 0, b" ".join(words)
     kept = np.ones(len(words), dtype=bool)
-    for s in spans:
-        kept[s["first"]:s["end"]] = False
+    for a, b in zip(first, end):
+        kept[a:b] = False
     left = [words[k] for k in np.flatnonzero(kept).tolist()]
     return len(words), len(words) - len(left), b" ".join(left)
 
@@ -344,7 +352,7 @@ def drop_repeated_passages(docs: DataFrame, window: int = 13, id_column: str = "
     stay, joined by single spaces. Words are what stands between ASCII white space, unchanged; a window is ``window`` of
     them in a row. Windows are judged on the input, not on what is left of it.
 
-    Neighbouring windows whose least hash of four words in a row is the same travel together as one string of words to
+    Neighbouring windows whose least hash of three words in a row is the same travel together as one string of words to
     the bucket of that hash, so equal windows meet there; a bucket sorts its windows and compares equal hashes word by
     word. Strings are combined per task, which settles copies on the spot. Buckets above ``SPLIT_BYTES`` are not sent to one
     task but dealt anew by a hash of each whole window. The spans found are joined to the texts by id and text hash.
@@ -354,14 +362,20 @@ def drop_repeated_passages(docs: DataFrame, window: int = 13, id_column: str = "
     An empty table gives an empty result.
     """
     rows = docs.select(docs[id_column].cast("bigint").alias("doc_id"),
-                       F.coalesce(docs[text_column], F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    spans = stored(repeated_passages(rows, window), "repeated-spans")
-    spans = spans.groupBy("id", "hash").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+                       F.coalesce(docs[text_column], F.lit("")).alias("text"))
+    # the hash only tells rows of one id apart, which is rare; it would take a fifth of what the buckets get
+    several = rows.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"))
+    alone = several.where("doc_id IS NOT NULL AND low <> high").isEmpty()
+    rows = rows.withColumn("text_hash", F.lit(0).cast("bigint") if alone else F.xxhash64("text"))
+    spans = (repeated_passages(rows, window).groupBy("id", "hash")
+             .agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+             .select("id", "hash", "spans.first", "spans.end"))
     joined = rows.join(spans, (F.col("doc_id") == F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [_without(t, s) for t, s in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["spans"].to_pylist())]
+            done = [_without(t, a or [], b or []) for t, a, b in zip(
+                batch["text"].cast(pa.binary()).to_pylist(), batch["first"].to_pylist(), batch["end"].to_pylist())]
             columns = [batch["doc_id"], pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()),
                        pa.array([hashlib.sha256(d[2]).hexdigest() for d in done], pa.string())]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
@@ -370,4 +384,4 @@ def drop_repeated_passages(docs: DataFrame, window: int = 13, id_column: str = "
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if texts else "")
-    return map_arrow(joined.select("doc_id", "text", "spans"), finish, schema)
+    return map_arrow(joined.select("doc_id", "text", "first", "end"), finish, schema)

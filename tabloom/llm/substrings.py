@@ -21,10 +21,10 @@ LONGEST = 64                   # windows of a super-k-mer; only texts that repea
 BUCKET_BYTES = 1 << 20         # text per bucket, by which the number of buckets is chosen
 SPLIT_BYTES = 8 << 20          # a bucket with more packed words is dealt anew, window by window
 FLUSH_BYTES = 32 << 20         # packed words that a task gathers before it hands them on
-REMEMBERED = 1 << 18           # words whose hashes a worker remembers
+SHARED_WORDS = 60_000          # frequent words that travel as numbers known to all tasks
+SAMPLED_BYTES = 16 << 20       # text from which they are picked
 PACKED = "bucket bigint, size bigint, data binary"
 _CODEC = "zstd"
-_hashes: dict[bytes, int] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -34,14 +34,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_hashes) > REMEMBERED:
-        _hashes.clear()
-    for w in set(words).difference(_hashes):
-        _hashes[w] = xxhash.xxh64_intdigest(w, SEED)
-    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def _runs_hash(values: np.ndarray, size: int) -> np.ndarray:
     """A hash of every ``size`` values in a row."""
     total = np.zeros(max(0, len(values) - size + 1), dtype=np.uint64)
@@ -82,63 +74,98 @@ def super_kmers(keys: np.ndarray, valid: np.ndarray, owner: np.ndarray) -> tuple
     return places[begins], np.diff(np.append(begins, len(places)))
 
 
+class _Codes:
+    """Numbers for words: those of a list that all tasks share come first, others are numbered as they are met."""
+
+    def __init__(self, shared: list[bytes]):
+        self.shared = {w: k for k, w in enumerate(shared)}
+        self.known = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in shared), dtype=np.uint64, count=len(shared))
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers = dict(self.shared)
+        self.others: list[bytes] = []
+        self.hashes = self.known
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        new = list(set(words).difference(self.numbers))
+        if new:
+            self.numbers.update(zip(new, range(len(self.hashes), len(self.hashes) + len(new))))
+            self.others += new
+            more = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in new), dtype=np.uint64, count=len(new))
+            self.hashes = np.concatenate([self.hashes, more])
+        return np.fromiter(map(self.numbers.__getitem__, words), dtype=np.uint32, count=len(words))
+
+
 def _transposed(column: np.ndarray) -> bytes:
     """Bytes of the numbers, all first bytes, then all second ones, and so on; they compress better."""
     return column.view(np.uint8).reshape(-1, column.itemsize).T.tobytes()
 
 
-def _pack(columns: list[np.ndarray], words: bytes = b"") -> tuple[int, bytes]:
-    raw = b"".join([np.int64(len(columns[0])).tobytes(), *map(_transposed, columns), words])
-    return len(raw), pa.compress(raw, codec=_CODEC, asbytes=True)
+def _restored(raw: bytes, at: int, n: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T.copy().view(kind)[:, 0]
 
 
-def _unpack(size: int, data: bytes, kinds: list) -> tuple[list[np.ndarray], bytes]:
-    raw = pa.decompress(data, decompressed_size=size, codec=_CODEC, asbytes=True)
-    n, at, columns = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
-    for kind in kinds:
-        width = np.dtype(kind).itemsize
-        columns.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind)[:, 0])
-        at += n * width
-    return columns, raw[at:]
+COLUMNS = [np.int64, np.int64, np.int32, np.int32]      # id, hash of the text, place of the first word, words or end
 
 
-ROUTED = [np.int64, np.int64, np.int32, np.int32]      # id, hash of the text, place of the first word, number of words
-SPANS = [np.int64, np.int64, np.int32, np.int32]       # id, hash of the text, first word, word behind the last
+def _pack(columns: list[np.ndarray], codes: np.ndarray | None = None, others: list[bytes] = ()) -> tuple[int, bytes]:
+    """Columns, and words as codes; ``others`` are the words of the codes that follow the shared list."""
+    codes = np.zeros(0, dtype=np.uint32) if codes is None else codes
+    steps = np.diff(columns[0], prepend=0)
+    raw = b"".join([np.array([len(steps), len(codes)], dtype=np.int64).tobytes(), *map(_transposed, [steps, *columns[1:]]),
+                    _transposed(codes), b" ".join(others)])
+    return len(raw), pa.compress(raw, codec=_CODEC, asbytes=True)
+
+
+def _unpack(size: int, data: bytes) -> tuple[list[np.ndarray], np.ndarray, list[bytes]]:
+    raw = pa.decompress(data, decompressed_size=size, codec=_CODEC, asbytes=True)
+    n, m = np.frombuffer(raw, np.int64, 2).tolist()
+    at, columns = 16, []
+    for kind in COLUMNS:
+        columns.append(_restored(raw, at, n, kind))
+        at += n * np.dtype(kind).itemsize
+    columns[0] = np.cumsum(columns[0])
+    return columns, _restored(raw, at, m, np.uint32), raw[at + 4 * m:].split()
 
 
 class _Gatherer:
-    """Packed strings of words on their way to the buckets.
+    """Strings of words on their way to the buckets, held as codes.
 
     Of equal strings in one go only those of the smallest id travel: for the others it is clear already that a smaller
     id has all their windows, so a passage of any frequency sends one string per task and go.
     """
 
-    def __init__(self, buckets: int):
-        self.buckets = buckets
+    def __init__(self, buckets: int, shared: list[bytes]):
+        self.buckets, self.codes = buckets, _Codes(shared)
         self._clear()
 
     def _clear(self):
-        self.words: list[bytes] = []
+        self.strings: list[bytes] = []
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.held = 0
 
-    def add(self, ids: np.ndarray, hashes: np.ndarray, places: np.ndarray, sizes: np.ndarray, keys: np.ndarray,
-            words: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-        self.words += words
-        self.parts.append((ids, hashes, places, sizes, keys))
-        self.held += sum(map(len, words))
+    def add(self, ids: np.ndarray, hashes: np.ndarray, places: np.ndarray, keys: np.ndarray, words: np.ndarray,
+            starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        """Takes the strings of the ``sizes`` codes from ``starts`` on in ``words``."""
+        flat = words.tobytes()
+        self.strings += [flat[a:b] for a, b in zip((4 * starts).tolist(), (4 * (starts + sizes)).tolist())]
+        self.parts.append((ids, hashes, places.astype(np.int32), sizes.astype(np.int32), keys))
+        self.held += 4 * int(sizes.sum())
         if self.held > FLUSH_BYTES:
             yield from self.flush()
 
     def flush(self) -> Iterator[tuple[int, int, bytes]]:
-        if not self.words:
+        if not self.strings:
             return
         ids, hashes, places, sizes, keys = (np.concatenate(c) for c in zip(*self.parts))
-        words = self.words
+        strings, shared, others = self.strings, len(self.codes.shared), self.codes.others
         self._clear()
         met: dict[bytes, int] = {}
-        same = np.fromiter((met.setdefault(w, k) for k, w in enumerate(words)), dtype=np.int64, count=len(words))
-        least = np.full(len(words), np.iinfo(np.int64).max)
+        same = np.fromiter((met.setdefault(w, k) for k, w in enumerate(strings)), dtype=np.int64, count=len(strings))
+        del met
+        least = np.full(len(strings), np.iinfo(np.int64).max)
         np.minimum.at(least, same, ids)
         late = ids > least[same]
         if late.any():
@@ -150,7 +177,12 @@ class _Gatherer:
         go, at = go[order], at[order]
         begins = np.flatnonzero(np.diff(at, prepend=-1))
         for bucket, piece in zip(at[begins].tolist(), np.split(go, begins[1:])):
-            yield bucket, *_pack([c[piece] for c in (ids, hashes, places, sizes)], b" ".join([words[k] for k in piece.tolist()]))
+            codes = np.frombuffer(b"".join([strings[k] for k in piece.tolist()]), dtype=np.uint32).copy()
+            rare = codes >= shared
+            numbers, codes[rare] = (lambda u, i: (u, i + shared))(*np.unique(codes[rare], return_inverse=True))
+            yield bucket, *_pack([c[piece] for c in (ids, hashes, places, sizes)], codes,
+                                 [others[k - shared] for k in numbers.tolist()])
+        self.codes.forget()
 
 
 def _merged(ids: np.ndarray, hashes: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
@@ -184,51 +216,53 @@ def _in_batches(rows: Iterator[tuple[int, int, bytes]], limit: int = 1 << 22) ->
 def _cut(batch: pa.RecordBatch, window: int, gatherer: _Gatherer) -> Iterator[tuple[int, int, bytes]]:
     """Hands the super-k-mers of the batch's texts to the gatherer."""
     texts = [t.split() for t in batch["text"].cast(pa.binary()).to_pylist()]     # of bytes: at \x20 and \x09-\x0D only
-    words = list(chain.from_iterable(texts))
     counts = np.array([len(t) for t in texts], dtype=np.int64)
-    if not len(words) or counts.max() < window:
+    if not len(texts) or counts.max() < window:
         return
-    keys = minimisers(_word_hashes(words), window)
+    codes = gatherer.codes.of(list(chain.from_iterable(texts)))
+    del texts
+    keys = minimisers(gatherer.codes.hashes[codes], window)
     ends = np.cumsum(counts)
-    owner = np.repeat(np.arange(len(texts)), counts)
-    valid = (np.arange(len(words)) + window <= ends[owner])[:len(keys)]
+    owner = np.repeat(np.arange(len(counts)), counts)
+    valid = (np.arange(len(codes)) + window <= ends[owner])[:len(keys)]
     first, n = super_kmers(keys, valid, owner)
-    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)])
-    joined = b" ".join(words)
-    size = n + window - 1
-    packed = [joined[a:b] for a, b in zip(offsets[first].tolist(), (offsets[first + size] - 1).tolist())]
     row = owner[first]
     ids, hashes = batch["doc_id"].to_numpy(), batch["text_hash"].to_numpy()
-    yield from gatherer.add(ids[row], hashes[row], (first - (ends - counts)[row]).astype(np.int32), size.astype(np.int32),
-                            keys[first], packed)
+    yield from gatherer.add(ids[row], hashes[row], first - (ends - counts)[row], keys[first], codes, first, n + window - 1)
 
 
 def _split(blob: tuple[int, bytes], window: int, gatherer: _Gatherer) -> Iterator[tuple[int, int, bytes]]:
     """Hands every window of packed super-k-mers to the gatherer by itself, under a hash of all its words."""
-    (ids, hashes, places, sizes), text = _unpack(*blob, ROUTED)
-    words = text.split(b" ")
-    keys = _runs_hash(_word_hashes(words), window)
+    (ids, hashes, places, sizes), codes, others = _unpack(*blob)
+    shared = len(gatherer.codes.shared)
+    codes = np.concatenate([np.arange(shared, dtype=np.uint32), gatherer.codes.of(others)])[codes]
+    keys = _runs_hash(gatherer.codes.hashes[codes], window)
     ends = np.cumsum(sizes.astype(np.int64))
     owner = np.repeat(np.arange(len(ids)), sizes)
-    chosen = np.flatnonzero((np.arange(len(words)) + window <= ends[owner])[:len(keys)])
-    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)])
-    packed = [text[a:b] for a, b in zip(offsets[chosen].tolist(), (offsets[chosen + window] - 1).tolist())]
+    chosen = np.flatnonzero((np.arange(len(codes)) + window <= ends[owner])[:len(keys)])
     row = owner[chosen]
-    yield from gatherer.add(ids[row], hashes[row], (places[row] + chosen - (ends - sizes)[row]).astype(np.int32),
-                            np.full(len(chosen), window, dtype=np.int32), keys[chosen], packed)
+    yield from gatherer.add(ids[row], hashes[row], places[row] + chosen - (ends - sizes)[row], keys[chosen], codes,
+                            chosen, np.full(len(chosen), window))
 
 
-def repeated_spans(blobs: list[tuple[int, bytes]], window: int) -> list[np.ndarray]:
+def repeated_spans(blobs: list[tuple[int, bytes]], window: int, shared: int) -> list[np.ndarray]:
     """Spans (id, hash, first word, word behind the last) of the windows in a bucket that a smaller id has too.
 
     Windows are sorted by a hash of their words. Those that share it are compared word by word before they count as equal.
+    Codes below ``shared`` stand for the same word in all blobs; the others are numbered anew.
     """
-    columns, texts = zip(*(_unpack(*b, ROUTED) for b in blobs))
-    ids, hashes, places, sizes = (np.concatenate(c) for c in zip(*columns))
-    words = b" ".join(texts).split(b" ")
-    numbers = {w: k for k, w in enumerate(set(words))}
-    codes = np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words))
-    del words
+    numbers: dict[bytes, int] = {}
+    parts, texts = [], []
+    for columns, codes, others in (_unpack(*b) for b in blobs):
+        parts.append(columns)
+        if others:
+            own = np.fromiter((numbers.setdefault(w, shared + len(numbers)) for w in others), dtype=np.uint32, count=len(others))
+            rare = codes >= shared
+            codes[rare] = own[codes[rare] - shared]
+        texts.append(codes)
+    ids, hashes, places, sizes = (np.concatenate(c) for c in zip(*parts))
+    codes = np.concatenate(texts)
+    del parts, texts
     ends = np.cumsum(sizes.astype(np.int64))
     starts = ends - sizes
     owner = np.repeat(np.arange(len(ids)), sizes)
@@ -244,7 +278,7 @@ def repeated_spans(blobs: list[tuple[int, bytes]], window: int) -> list[np.ndarr
     shared = (least != most)[group]
     at, group, doc = at[shared], group[shared], doc[shared]
     if not len(at):
-        return [np.zeros(0, dtype=k) for k in SPANS]
+        return [np.zeros(0, dtype=k) for k in COLUMNS]
     heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     head = np.repeat(heads, np.diff(np.append(heads, len(at))))
     if any((codes[at + k] != codes[at[head] + k]).any() for k in range(window)):
@@ -261,7 +295,7 @@ def repeated_spans(blobs: list[tuple[int, bytes]], window: int) -> list[np.ndarr
     return _merged(ids[row], hashes[row], first, first + window)
 
 
-def _resolve(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _resolve(batches: Iterator[pa.RecordBatch], window: int, shared: int) -> Iterator[pa.RecordBatch]:
     """Spans of all buckets of a partition that is sorted by bucket."""
     def rows():
         for batch in batches:
@@ -269,13 +303,13 @@ def _resolve(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 
     def spans(held):
         if held:
-            yield repeated_spans(held, window)
+            yield repeated_spans(held, window, shared)
 
     def found():
         bucket, held = None, []
         for b, size, data in rows():
             if b < 0:
-                yield _unpack(size, data, SPANS)[0]
+                yield _unpack(size, data)[0]
                 continue
             if b != bucket:
                 yield from spans(held)
@@ -288,6 +322,18 @@ def _resolve(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(c[k:k + 100_000]) for c in columns], ["id", "hash", "first", "end"])
 
 
+def frequent_words(docs: DataFrame, total: int) -> list[bytes]:
+    """Words that are frequent in a sample of the texts, at most ``SHARED_WORDS`` of at most 40 characters.
+
+    They only shorten what travels: a word that is not among them travels as it is, and results are the same.
+    """
+    share = max(1, total // SAMPLED_BYTES)
+    words = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select(
+        F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> '' AND length(word) <= 40")
+    counts = words.groupBy("word").count().where("count > 1").orderBy(F.desc("count"), "word").limit(SHARED_WORDS)
+    return [r.word.encode() for r in counts.collect()]
+
+
 def repeated_passages(docs: DataFrame, window: int = 13) -> DataFrame:
     """``id``, ``hash``, ``first``, ``end``: spans of words in windows that a document with a smaller id has too.
 
@@ -299,8 +345,10 @@ def repeated_passages(docs: DataFrame, window: int = 13) -> DataFrame:
     total = known.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
 
+    shared = frequent_words(known, total)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gatherer = _Gatherer(buckets)
+        gatherer = _Gatherer(buckets, shared)
         yield from _in_batches(chain(chain.from_iterable(_cut(b, window, gatherer) for b in batches), gatherer.flush()))
 
     folder = work_folder(spark, "super-kmers")
@@ -311,7 +359,7 @@ def repeated_passages(docs: DataFrame, window: int = 13) -> DataFrame:
 
     def resolved(rows: DataFrame) -> DataFrame:
         met = rows.repartition("bucket").sortWithinPartitions("bucket")
-        return map_arrow(met, lambda batches: _resolve(batches, window), "id bigint, hash bigint, first int, end int")
+        return map_arrow(met, lambda batches: _resolve(batches, window, len(shared)), "id bigint, hash bigint, first int, end int")
 
     if large.isEmpty():
         spans = stored(resolved(packed), "repeated-spans")
@@ -321,7 +369,7 @@ def repeated_passages(docs: DataFrame, window: int = 13) -> DataFrame:
     pieces = max(1, -(-(large.select(F.sum("size")).first()[0] * window) // (4 * BUCKET_BYTES)))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gatherer = _Gatherer(pieces)
+        gatherer = _Gatherer(pieces, shared)
         blobs = ((s, d) for b in batches for s, d in zip(b["size"].to_pylist(), b["data"].to_pylist()))
         yield from _in_batches(chain(chain.from_iterable(_split(b, window, gatherer) for b in blobs), gatherer.flush()))
 

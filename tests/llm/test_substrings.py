@@ -46,6 +46,7 @@ def corpus(seed=3):
 def test_passages(spark, monkeypatch, window, split_bytes):
     monkeypatch.setattr(substrings, "BUCKET_BYTES", 2_000)
     monkeypatch.setattr(substrings, "SPLIT_BYTES", split_bytes)
+    monkeypatch.setattr(substrings, "SHARED_WORDS", 20)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, 0, 0, "s", 0, 0) for i, t in rows], SCHEMA).repartition(4)
     got = drop_repeated_passages(docs, window).collect()
@@ -66,7 +67,10 @@ def test_equal_hashes_are_told_apart(monkeypatch):
     texts = [(1, b"a b c d e"), (2, b"x b c d y"), (3, b"b c d"), (4, b"b c e")]
     columns = [np.array([i for i, _ in texts], dtype=np.int64), np.zeros(4, dtype=np.int64), np.zeros(4, dtype=np.int32),
                np.array([len(t.split()) for _, t in texts], dtype=np.int32)]
-    spans = repeated_spans([_pack(columns, b" ".join(t for _, t in texts))], 3)
+    words = [w for _, t in texts for w in t.split()]
+    numbers = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    codes = np.array([numbers[w] for w in words], dtype=np.uint32)
+    spans = repeated_spans([_pack(columns, codes, list(numbers)[4:])], 3, 4)
     assert sorted(zip(*(c.tolist() for c in spans))) == [(2, 0, 1, 4), (3, 0, 0, 3)]
 
 
@@ -74,8 +78,8 @@ def test_windows_keep_their_minimiser():
     rng = np.random.default_rng(1)
     hashes = rng.integers(0, 50, 500).astype(np.uint64)
     keys = minimisers(hashes, 13)
-    grams = substrings._runs_hash(hashes, 4)
-    assert keys.tolist() == [int(grams[k:k + 10].min()) for k in range(488)]
+    grams = substrings._runs_hash(hashes, substrings.SIGNATURE)
+    assert keys.tolist() == [int(grams[k:k + 14 - substrings.SIGNATURE].min()) for k in range(488)]
     first, n = super_kmers(keys, np.arange(488) != 100, np.arange(500) // 200)
     covered = [k for f, c in zip(first, n) for k in range(f, f + c)]
     assert covered == [k for k in range(488) if k != 100] and n.max() <= substrings.LONGEST

@@ -12,14 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import map_arrow, remove_folder, stored
-from tabloom.session import work_folder
+from tabloom.llm.common import map_arrow, stored
 
 SEED = 42
 SIGNATURE = 3                  # words of a minimiser
 LONGEST = 64                   # windows of a super-k-mer; only texts that repeat themselves reach it
 BUCKET_BYTES = 1 << 20         # text per bucket, by which the number of buckets is chosen
-SPLIT_BYTES = 8 << 20          # a bucket with more packed words is dealt anew, window by window
+SPLIT_BYTES = 8 << 20          # windows of a bucket that gets more packed words are dealt by themselves
+LOAD_SHARE = 32                # one document in so many is packed first, to see what the buckets get
 FLUSH_BYTES = 32 << 20         # packed words that a task gathers before it hands them on
 SHARED_WORDS = 60_000          # frequent words that travel as numbers known to all tasks
 SAMPLED_BYTES = 16 << 20       # text from which they are picked
@@ -137,8 +137,8 @@ class _Gatherer:
     id has all their windows, so a passage of any frequency sends one string per task and go.
     """
 
-    def __init__(self, buckets: int, shared: list[bytes]):
-        self.buckets, self.codes = buckets, _Codes(shared)
+    def __init__(self, shared: list[bytes]):
+        self.codes = _Codes(shared)
         self._clear()
 
     def _clear(self):
@@ -146,12 +146,12 @@ class _Gatherer:
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.held = 0
 
-    def add(self, ids: np.ndarray, hashes: np.ndarray, places: np.ndarray, keys: np.ndarray, words: np.ndarray,
+    def add(self, ids: np.ndarray, hashes: np.ndarray, places: np.ndarray, buckets: np.ndarray, words: np.ndarray,
             starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
         """Takes the strings of the ``sizes`` codes from ``starts`` on in ``words``."""
         flat = words.tobytes()
         self.strings += [flat[a:b] for a, b in zip((4 * starts).tolist(), (4 * (starts + sizes)).tolist())]
-        self.parts.append((ids, hashes, places.astype(np.int32), sizes.astype(np.int32), keys))
+        self.parts.append((ids, hashes, places.astype(np.int32), sizes.astype(np.int32), buckets))
         self.held += 4 * int(sizes.sum())
         if self.held > FLUSH_BYTES:
             yield from self.flush()
@@ -159,7 +159,7 @@ class _Gatherer:
     def flush(self) -> Iterator[tuple[int, int, bytes]]:
         if not self.strings:
             return
-        ids, hashes, places, sizes, keys = (np.concatenate(c) for c in zip(*self.parts))
+        ids, hashes, places, sizes, buckets = (np.concatenate(c) for c in zip(*self.parts))
         strings, shared, others = self.strings, len(self.codes.shared), self.codes.others
         self._clear()
         met: dict[bytes, int] = {}
@@ -170,11 +170,10 @@ class _Gatherer:
         late = ids > least[same]
         if late.any():
             spans = _merged(ids[late], hashes[late], places[late], places[late] + sizes[late])
-            yield -1 - int(ids[late][0]) % self.buckets, *_pack(spans)
+            yield -1 - int(buckets[late][0]), *_pack(spans)
         go = np.flatnonzero(~late)
-        at = (_mixed(keys[go]) % np.uint64(self.buckets)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        go, at = go[order], at[order]
+        go = go[np.argsort(buckets[go], kind="stable")]
+        at = buckets[go]
         begins = np.flatnonzero(np.diff(at, prepend=-1))
         for bucket, piece in zip(at[begins].tolist(), np.split(go, begins[1:])):
             codes = np.frombuffer(b"".join([strings[k] for k in piece.tolist()]), dtype=np.uint32).copy()
@@ -213,36 +212,37 @@ def _in_batches(rows: Iterator[tuple[int, int, bytes]], limit: int = 1 << 22) ->
         yield _packed_batch(held)
 
 
-def _cut(batch: pa.RecordBatch, window: int, gatherer: _Gatherer) -> Iterator[tuple[int, int, bytes]]:
-    """Hands the super-k-mers of the batch's texts to the gatherer."""
+def _cut(batch: pa.RecordBatch, window: int, buckets: int, large: np.ndarray, pieces: int,
+         gatherer: _Gatherer) -> Iterator[tuple[int, int, bytes]]:
+    """Hands the super-k-mers of the batch's texts to the gatherer; windows of ``large`` buckets one by one."""
     texts = [t.split() for t in batch["text"].cast(pa.binary()).to_pylist()]     # of bytes: at \x20 and \x09-\x0D only
     counts = np.array([len(t) for t in texts], dtype=np.int64)
     if not len(texts) or counts.max() < window:
         return
     codes = gatherer.codes.of(list(chain.from_iterable(texts)))
     del texts
-    keys = minimisers(gatherer.codes.hashes[codes], window)
+    hashes = gatherer.codes.hashes[codes]
+    keys = minimisers(hashes, window)
     ends = np.cumsum(counts)
     owner = np.repeat(np.arange(len(counts)), counts)
     valid = (np.arange(len(codes)) + window <= ends[owner])[:len(keys)]
     first, n = super_kmers(keys, valid, owner)
+    at = (_mixed(keys[first]) % np.uint64(buckets)).astype(np.int64)
+    if len(large):
+        apart = np.isin(at, large)
+        first, n, at, alone = first[~apart], n[~apart], at[~apart], _stretches(first[apart], n[apart])
+        whole = _runs_hash(hashes, window)[alone] % np.uint64(pieces)
+        first, n = np.concatenate([first, alone]), np.concatenate([n, np.ones(len(alone), dtype=n.dtype)])
+        at = np.concatenate([at, buckets + whole.astype(np.int64)])
     row = owner[first]
-    ids, hashes = batch["doc_id"].to_numpy(), batch["text_hash"].to_numpy()
-    yield from gatherer.add(ids[row], hashes[row], first - (ends - counts)[row], keys[first], codes, first, n + window - 1)
+    yield from gatherer.add(batch["doc_id"].to_numpy()[row], batch["text_hash"].to_numpy()[row],
+                            first - (ends - counts)[row], at, codes, first, n + window - 1)
 
 
-def _split(blob: tuple[int, bytes], window: int, gatherer: _Gatherer) -> Iterator[tuple[int, int, bytes]]:
-    """Hands every window of packed super-k-mers to the gatherer by itself, under a hash of all its words."""
-    (ids, hashes, places, sizes), codes, others = _unpack(*blob)
-    shared = len(gatherer.codes.shared)
-    codes = np.concatenate([np.arange(shared, dtype=np.uint32), gatherer.codes.of(others)])[codes]
-    keys = _runs_hash(gatherer.codes.hashes[codes], window)
-    ends = np.cumsum(sizes.astype(np.int64))
-    owner = np.repeat(np.arange(len(ids)), sizes)
-    chosen = np.flatnonzero((np.arange(len(codes)) + window <= ends[owner])[:len(keys)])
-    row = owner[chosen]
-    yield from gatherer.add(ids[row], hashes[row], places[row] + chosen - (ends - sizes)[row], keys[chosen], codes,
-                            chosen, np.full(len(chosen), window))
+def _stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ``size`` numbers from ``start`` on of every pair, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
 def repeated_spans(blobs: list[tuple[int, bytes]], window: int, shared: int) -> list[np.ndarray]:
@@ -322,14 +322,17 @@ def _resolve(batches: Iterator[pa.RecordBatch], window: int, shared: int) -> Ite
             yield pa.RecordBatch.from_arrays([pa.array(c[k:k + 100_000]) for c in columns], ["id", "hash", "first", "end"])
 
 
+def _one_of(docs: DataFrame, share: int) -> DataFrame:
+    return docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
+
+
 def frequent_words(docs: DataFrame, total: int) -> list[bytes]:
     """Words that are frequent in a sample of the texts, at most ``SHARED_WORDS`` of at most 40 characters.
 
     They only shorten what travels: a word that is not among them travels as it is, and results are the same.
     """
     share = max(1, total // SAMPLED_BYTES)
-    words = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select(
-        F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> '' AND length(word) <= 40")
+    words = _one_of(docs, share).select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> '' AND length(word) <= 40")
     counts = words.groupBy("word").count().where("count > 1").orderBy(F.desc("count"), "word").limit(SHARED_WORDS)
     return [r.word.encode() for r in counts.collect()]
 
@@ -337,48 +340,30 @@ def frequent_words(docs: DataFrame, total: int) -> list[bytes]:
 def repeated_passages(docs: DataFrame, window: int = 13) -> DataFrame:
     """``id``, ``hash``, ``first``, ``end``: spans of words in windows that a document with a smaller id has too.
 
-    ``docs`` has ``doc_id`` (bigint), ``text`` and ``text_hash``. Spans of one document may overlap. They are stored, and
-    the packed words, which take more room than the texts, are removed then.
+    ``docs`` has ``doc_id`` (bigint), ``text`` and ``text_hash``. Spans of one document may overlap. What the buckets will
+    hold is first estimated on one document in ``LOAD_SHARE``; it decides how words travel, never what is found.
     """
-    spark = docs.sparkSession
     known = docs.where("doc_id IS NOT NULL")
     total = known.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
 
     shared = frequent_words(known, total)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gatherer = _Gatherer(buckets, shared)
-        yield from _in_batches(chain(chain.from_iterable(_cut(b, window, gatherer) for b in batches), gatherer.flush()))
+    def packed(rows: DataFrame, large: np.ndarray, pieces: int) -> DataFrame:
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            gatherer = _Gatherer(shared)
+            found = (_cut(b, window, buckets, large, pieces, gatherer) for b in batches)
+            yield from _in_batches(chain(chain.from_iterable(found), gatherer.flush()))
+        return map_arrow(rows, cut, PACKED)
 
-    folder = work_folder(spark, "super-kmers")
-    map_arrow(known, cut, PACKED).write.option("compression", "uncompressed").parquet(folder)
-    packed = spark.read.schema(PACKED).parquet(folder)
-    large = stored(packed.where("bucket >= 0").groupBy("bucket").agg(F.sum("size").alias("size"))
-                   .where(F.col("size") > SPLIT_BYTES), "large-buckets")
-
-    def resolved(rows: DataFrame) -> DataFrame:
-        met = rows.repartition("bucket").sortWithinPartitions("bucket")
-        return map_arrow(met, lambda batches: _resolve(batches, window, len(shared)), "id bigint, hash bigint, first int, end int")
-
-    if large.isEmpty():
-        spans = stored(resolved(packed), "repeated-spans")
-        remove_folder(spark, folder)
-        return spans
+    sizes = (packed(_one_of(known, LOAD_SHARE), np.zeros(0, dtype=np.int64), 1).where("bucket >= 0").groupBy("bucket")
+             .agg((F.sum("size") * LOAD_SHARE).alias("size")).where(F.col("size") > SPLIT_BYTES).collect())
     # every window of a large bucket travels by itself: at most `window` times the words
-    pieces = max(1, -(-(large.select(F.sum("size")).first()[0] * window) // (4 * BUCKET_BYTES)))
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gatherer = _Gatherer(pieces, shared)
-        blobs = ((s, d) for b in batches for s, d in zip(b["size"].to_pylist(), b["data"].to_pylist()))
-        yield from _in_batches(chain(chain.from_iterable(_split(b, window, gatherer) for b in blobs), gatherer.flush()))
-
-    names = large.select("bucket")
-    apart = map_arrow(packed.join(names, "bucket", "left_semi").select(*packed.columns), split, PACKED)
-    small = packed.join(names, "bucket", "left_anti").select(*packed.columns)
-    spans = stored(resolved(small).unionByName(resolved(apart)), "repeated-spans")
-    remove_folder(spark, folder)
-    return spans
+    pieces = max(1, -(-sum(r["size"] for r in sizes) * window // (4 * BUCKET_BYTES)))
+    met = packed(known, np.array(sorted(r.bucket for r in sizes), dtype=np.int64), pieces)
+    met = met.repartition("bucket").sortWithinPartitions("bucket")
+    return stored(map_arrow(met, lambda batches: _resolve(batches, window, len(shared)),
+                            "id bigint, hash bigint, first int, end int"), "repeated-spans")
 
 
 def _without(text: bytes, first: list[int], end: list[int]) -> tuple[int, int, bytes]:
@@ -402,8 +387,8 @@ def drop_repeated_passages(docs: DataFrame, window: int = 13, id_column: str = "
 
     Neighbouring windows whose least hash of three words in a row is the same travel together as one string of words to
     the bucket of that hash, so equal windows meet there; a bucket sorts its windows and compares equal hashes word by
-    word. Strings are combined per task, which settles copies on the spot. Buckets above ``SPLIT_BYTES`` are not sent to one
-    task but dealt anew by a hash of each whole window. The spans found are joined to the texts by id and text hash.
+    word. Strings are combined per task, which settles copies on the spot. Windows of buckets above ``SPLIT_BYTES`` travel
+    one by one, by a hash of the whole window. The spans found are joined to the texts by id and text hash.
 
     NULL text counts as empty. Documents without id keep all words and take none from others; rows that share an id are
     judged one by one and take none from each other. Texts shorter than a window stay whole. Ids must be integers.

@@ -47,6 +47,7 @@ def test_passages(spark, monkeypatch, window, split_bytes):
     monkeypatch.setattr(substrings, "BUCKET_BYTES", 2_000)
     monkeypatch.setattr(substrings, "SPLIT_BYTES", split_bytes)
     monkeypatch.setattr(substrings, "SHARED_WORDS", 20)
+    monkeypatch.setattr(substrings, "LOAD_SHARE", 2)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, 0, 0, "s", 0, 0) for i, t in rows], SCHEMA).repartition(4)
     got = drop_repeated_passages(docs, window).collect()

@@ -18,6 +18,7 @@ from tabloom.llm.simhash import near_groups
 from tabloom.llm.substrings import drop_repeated_passages
 from tabloom.llm.token_count import token_counts
 from tabloom.llm.warc import archived_pages
+from tabloom.llm.whitening import whitened_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -221,3 +222,9 @@ FROM d LEFT JOIN kept k USING (doc_id)
 def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that stay once passages of 13 words that a smaller id has are taken out."""
     return drop_repeated_passages(table(spark, folder, "documents"), 13, texts=False)
+
+
+@query()
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every embedding on the 32 leading components of all of them, whitened."""
+    return whitened_vectors(table(spark, folder, "embeddings"), 32)

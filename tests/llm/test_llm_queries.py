@@ -19,7 +19,7 @@ def test_same_rows_as_sql(spark, folder, name):
 
 def test_all_are_registered():
     known = entry_points.queries()
-    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 13)]
+    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 14)]
     assert set(QUERIES) | {"pipeline"} <= set(known) and set(ORACLES) <= set(entry_points.oracle_sql())
 
 

@@ -18,7 +18,7 @@ MARK = "▁"                   # stands for a space
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6      # fixed values: kinds of pieces in the model file
 UNIGRAM, BPE = 1, 2                              # fixed values: kinds of models in the model file
 THREADS = 2
-REMEMBERED = 1 << 18          # parts that a worker remembers with their ids; a batch may add to them
+REMEMBERED = 1 << 17          # parts after which a worker forgets those it has not met since the last time
 PROBES = ["", " ", "  two  spaces  ", "\ta\n\nb\r\n", "café 日本語 \U0001f600 à́", "x" * 70,
           "<s> </s> <unk> <0x41>", "1234567890 3.14", f"{MARK}a{MARK}{MARK} b", " 　​\x00"]
 
@@ -31,7 +31,7 @@ class Pieces:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
 
         model = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
@@ -44,9 +44,13 @@ class Pieces:
             raise ValueError(f"{path} uses marks that this reader doesn't know")
         self.normaliser = self._normaliser(rule)
         self.tokenizer = Tokenizer(self._segmenter(trained, kinds))
-        self.tokenizer.decoder = self._decoder(rule)
-        self.inner = Tokenizer(self.tokenizer.model)       # decodes a part of a text; nothing is stripped from its start
-        self.inner.decoder = self._decoder(rule, strip=False)
+        self.byte_ids = None          # where a model that scores pieces falls back to bytes: the id of each byte
+        if trained.model_type == UNIGRAM and trained.byte_fallback:
+            self.byte_ids = {int(n[1:-1], 16): i for i, (n, k) in enumerate(zip(self.names, kinds)) if k == BYTE}
+        self.unknown = trained.unk_id
+        names = models.WordLevel({n: i for i, n in enumerate(self.names)}, self.names[trained.unk_id])
+        self.outer, self.inner = Tokenizer(names), Tokenizer(names)     # decode texts and, without stripping, their parts
+        self.outer.decoder, self.inner.decoder = self._decoder(rule), self._decoder(rule, strip=False)
         self.collapses = rule.remove_extra_whitespaces
         # Where no piece goes on after a space, texts fall apart before every space that follows another character.
         crossing = re.compile(f"[^{MARK}]{MARK}")
@@ -54,12 +58,13 @@ class Pieces:
         self.prefix = rule.add_dummy_prefix
         self.plain = sentencepiece.SentencePieceProcessor(model_file=path)
         self.identity = (MARK if self.prefix else "") if not (rule.precompiled_charsmap or rule.remove_extra_whitespaces) else None
-        self._bytes = [bytes([int(n[1:-1], 16)]) if k == BYTE else n.encode("utf-8") for n, k in zip(self.names, kinds)]
-        self._met: dict[str, bytes] = {}
-        self._lossy: set[str] = set()
-        self._odd: set[str] = set()
-        self._told: dict[str, str] = {}      # decoded text of the parts that don't decode to themselves
+        self._met: dict[str, bytes] = {}     # ids of the parts met lately
+        self._older: dict[str, bytes] = {}   # and of those met before
+        self._odd: set[str] = set()          # parts that sentencepiece encodes otherwise
+        self._told: dict[str, str] = {}      # decoded text of the parts whose pieces don't spell them
         self.skipped = {i for i, k in enumerate(kinds) if k == CONTROL}
+        # what a piece adds to a text by itself; others are left to the decoder
+        self._spelt = [n if k == NORMAL else "\uffff" for n, k in zip(self.names, kinds)]
         self.verify(PROBES)
 
     @staticmethod
@@ -79,8 +84,9 @@ class Pieces:
 
         scores = [p.score for p in self.model.pieces]
         if trained.model_type == UNIGRAM:
-            apart = [f"\uffff{k}" if kinds[k] == CONTROL else n for k, n in enumerate(self.names)]    # never met in texts
-            return models.Unigram(list(zip(apart, scores)), trained.unk_id, trained.byte_fallback)
+            # a text may hold the names of bytes and control pieces, which are not pieces of it; bytes are put in by _ids
+            apart = [n if kinds[k] == NORMAL else f"\uffff{k}" for k, n in enumerate(self.names)]
+            return models.Unigram(list(zip(apart, scores)), trained.unk_id, False)
         if trained.model_type != BPE:
             raise ValueError("only byte-pair and unigram models are known")
         vocabulary = {n: i for i, n in enumerate(self.names)}
@@ -109,11 +115,11 @@ class Pieces:
             return self.normaliser.normalize_str(text) if text else ""
         return self.identity + text.replace(" ", MARK)
 
-    def encode(self, texts: Sequence[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
-        """Ids of every text, whether they stand for its normalised form byte by byte, and whether both libraries agree.
+    def encode(self, texts: Sequence[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """Ids of every text, and whether the sentencepiece library gives the same.
 
         Distinct parts that the worker hasn't met yet are encoded as one batch on several threads, and by the
-        sentencepiece library too; where the two differ, its ids are taken.
+        sentencepiece library too.
         """
         return self.encode_parts(self.cut(texts))
 
@@ -121,48 +127,67 @@ class Pieces:
         """The parts of every normalised text, which are encoded one by one."""
         return [[n] if self.parts is None and n else self.parts.findall(n) if n else [] for n in map(self.normalise, texts)]
 
-    def encode_parts(self, cut: Sequence[list[str]]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
+    def encode_parts(self, cut: Sequence[list[str]]) -> tuple[list[np.ndarray], list[bool]]:
         """What ``encode`` gives for texts that are cut already."""
-        met, lossy, odd, told = self._met, self._lossy, self._odd, self._told
-        if len(met) > REMEMBERED:
-            for kept in (met, lossy, odd, told):
-                kept.clear()
+        if len(self._met) > REMEMBERED:
+            self._older, self._met = self._met, {}
+            for kept in (self._odd, self._told):
+                for part in [p for p in kept if p not in self._older]:
+                    kept.discard(part) if kept is self._odd else kept.pop(part)
+        met, older, odd, told = self._met, self._older, self._odd, self._told
         new = list(set(chain.from_iterable(cut)).difference(met))
+        if older:
+            known = [p for p in new if p in older]
+            met.update(zip(known, map(older.__getitem__, known)))
+            new = [p for p in new if p not in older]
         if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            for k, expected in self._differing(new, ids):
-                ids[k] = expected
-                odd.add(new[k])
-            for part, i in zip(new, ids):
-                met[part] = array("i", i).tobytes()
-                if b"".join(map(self._bytes.__getitem__, i)) != part.encode("utf-8"):
-                    lossy.add(part)
-            kept = [[i for i in row if i not in self.skipped] for row in ids]
-            for part, text in zip(new, self.inner.decode_batch(kept, skip_special_tokens=False)):
-                if text != part:
-                    told[part] = text
+            ids = self._ids(new)
+            odd.update(new[k] for k in self._differing(new, ids))
+            met.update((part, array("i", i).tobytes()) for part, i in zip(new, ids))
+            spelt = self._spelt.__getitem__
+            open_ = [k for k, (part, i) in enumerate(zip(new, ids)) if "".join(map(spelt, i)) != part]
+            if open_:
+                rows = [[i for i in ids[k] if i not in self.skipped] for k in open_]
+                for k, text in zip(open_, self.inner.decode_batch(rows, skip_special_tokens=False)):
+                    if text != new[k].replace(MARK, " "):
+                        told[new[k]] = text
         return ([np.frombuffer(b"".join(map(met.__getitem__, c)), dtype=np.int32) for c in cut],
-                [not lossy or lossy.isdisjoint(c) for c in cut], [not odd or odd.isdisjoint(c) for c in cut])
+                [not odd or odd.isdisjoint(c) for c in cut])
+
+    def _ids(self, parts: list[str]) -> list[list[int]]:
+        """Ids of every part; what is unknown to a model that scores pieces becomes bytes where it has them."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        if self.byte_ids is not None:
+            for k, row in enumerate(ids):
+                if self.unknown in row:
+                    e = self.tokenizer.encode(parts[k], add_special_tokens=False)
+                    ids[k] = [j for i, (a, b) in zip(e.ids, e.offsets) for j in (
+                        [self.byte_ids[x] for x in parts[k][a:b].encode("utf-8")] if i == self.unknown else [i])]
+        return ids
 
     def round_trips(self, texts: Sequence[str], cut: Sequence[list[str]]) -> list[bool]:
         """Whether the ids of every text, as ``encode_parts`` just gave them, decode to the text itself.
 
-        The decoded text is put together from that of the parts, whose ids were decoded once.
+        Pieces that spell a part decode to it, with spaces for the marks. Every other part was decoded from its ids.
         """
         told, found = self._told, []
         for text, parts in zip(texts, cut):
-            decoded = "".join([told.get(p, p) for p in parts])
+            plain = not told or told.keys().isdisjoint(parts)
+            if plain and self.identity is not None:
+                found.append(MARK not in text)          # nothing but spaces was changed on the way in
+                continue
+            decoded = "".join([told[p] if p in told else p.replace(MARK, " ") for p in parts])
             if self.prefix:
                 decoded = decoded.lstrip(" ") if self.collapses else decoded.removeprefix(" ")
             found.append(decoded == text)
         return found
 
-    def _differing(self, parts: list[str], ids: list[list[int]]) -> list[tuple[int, list[int]]]:
-        """Numbers of the parts that the sentencepiece library encodes otherwise, with its ids."""
+    def _differing(self, parts: list[str], ids: list[list[int]]) -> list[int]:
+        """Numbers of the parts that the sentencepiece library encodes otherwise."""
         # it puts its own mark in front, so a part gives up the one it has
         chosen = [k for k, p in enumerate(parts) if len(p) > self.prefix and (not self.prefix or p.startswith(MARK))]
         expected = self.plain.encode([parts[k][self.prefix:] for k in chosen], num_threads=self.threads)
-        return [(k, e) for k, e in zip(chosen, expected) if e != ids[k]]
+        return [k for k, e in zip(chosen, expected) if e != ids[k]]
 
     def verify(self, texts: Sequence[str]) -> None:
         """Raises ``ValueError`` unless whole texts encode and decode as with the sentencepiece library."""
@@ -174,7 +199,7 @@ class Pieces:
     def decode(self, ids: Sequence[Sequence[int]]) -> list[str]:
         """Texts of the ids, without control pieces; pieces of bytes that are no UTF-8 become replacement characters."""
         kept = [[i for i in row if i not in self.skipped] for row in ids]
-        return self.tokenizer.decode_batch(kept, skip_special_tokens=False)
+        return self.outer.decode_batch(kept, skip_special_tokens=False)
 
 
 _models: dict[str, Pieces] = {}      # one per worker and file
@@ -194,8 +219,8 @@ def encode_documents(docs: DataFrame, model: str, threads: int = THREADS, id_col
     merges and byte fallback are rebuilt on the tokenizers library, which encodes each batch on ``threads`` threads.
     Texts are cut before spaces where no piece of the model crosses them, and distinct parts are encoded once while the
     worker remembers them; every part is verified against the sentencepiece library. Where the two differ, ``parity``
-    is false and the ids are those of sentencepiece. The ids of every part are decoded by the rebuilt decoder in the same
-    pass; a text that the model changes, or that holds the mark of a space itself, has no ``round_trip``.
+    is false. A part is decoded in the same pass: pieces that spell it stand for it, all others go through the rebuilt
+    decoder; a text that the model changes, or that holds the mark of a space itself, has no ``round_trip``.
 
     Documents are independent: one pass, no shuffle, memory bounded by a batch. NULL text counts as empty and gives no
     ids. NULL ids and repeated rows are returned as they are. An empty table gives an empty result.
@@ -207,7 +232,7 @@ def encode_documents(docs: DataFrame, model: str, threads: int = THREADS, id_col
         for batch in batches:
             texts = batch["text"].to_pylist()
             cut = pieces.cut(texts)
-            ids, _, agreed = pieces.encode_parts(cut)
+            ids, agreed = pieces.encode_parts(cut)
             same = pieces.round_trips(texts, cut)
             sizes = np.array([len(i) for i in ids], dtype=np.int64)
             flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)

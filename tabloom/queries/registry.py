@@ -1,5 +1,6 @@
 """Registry lookups on the star tables: customers as users, orders as models, lines as logs."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabloom.operators import joins as J
@@ -299,6 +300,22 @@ def csv_quoted(spark, folder):
     return readers.read_data_flexible(spark, path).select(F.col("doc_id").cast("bigint"), F.md5("text").alias("digest"))
 
 
+@query("""SELECT doc_id, md5(text) AS digest, lang AS "place.lang", n_chars AS "place.size" FROM documents""")
+def json_array(spark, folder):
+    """Files that hold one array each, cut into elements by byte ranges."""
+    path = work_folder(spark, "arrays")
+    docs = table(spark, folder, "documents")
+    files = max(1, docs.count() // 500)
+    order = Window.partitionBy("file").orderBy("doc_id")
+    element = F.to_json(F.struct("doc_id", "text", F.struct("lang", F.col("n_chars").alias("size")).alias("place")))
+    rows = docs.withColumn("file", F.pmod("doc_id", F.lit(files))).select("file", "doc_id", F.concat(
+        F.when(F.row_number().over(order) == 1, "[").otherwise(","), element,
+        F.when(F.lead("doc_id").over(order).isNull(), "]").otherwise("")).alias("value"))
+    rows.repartition("file").sortWithinPartitions("file", "doc_id").select("file", "value").write.partitionBy("file").text(path)
+    read = readers.read_json(spark, f"{path}/file=*")
+    return read.select("doc_id", F.md5("text").alias("digest"), "`place.lang`", "`place.size`")
+
+
 @query("""SELECT doc_id, md5(regexp_replace(text, '[\\s"]+', ' ', 'g')) AS digest FROM documents WHERE lang IN ('en', 'de', 'fr', 'es')""")
 def encodings(spark, folder):
     """A folder with files of several encodings, each found out from all its bytes."""

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tabloom.functions import fixed_values as V
 from tabloom.functions.scalars import named, quoted
+from tabloom.sources.ranges import array_elements, quoted_records, text_rows
 
 HEAD_LINES = 10
 READABLE = ("ISO-8859-1", "US-ASCII", "UTF-8", "UTF-16", "UTF-16BE", "UTF-16LE")     # without a further setting
@@ -116,26 +117,58 @@ def json_layouts(spark: SparkSession, path: str) -> dict[bool, list[str]]:
     return {kind: sorted(r["path"] for r in found if r["lines"] == kind) for kind in (True, False)}
 
 
+def array_files(spark: SparkSession, files: list[str]) -> list[str]:
+    """Files whose first character that isn't blank opens an array."""
+    start = F.ltrim(F.regexp_replace("value", "^\ufeff", ""))
+    rows = spark.read.text(files).where((start != "") & (F.col("_metadata.file_block_start") == 0)).select(
+        F.col("_metadata.file_path").alias("path"), F.substring(start, 1, 1).alias("first"),
+        F.monotonically_increasing_id().alias("place"))
+    found = rows.groupBy("path").agg(F.min_by("first", "place").alias("first")).where("first = '['").collect()
+    return sorted(r["path"] for r in found)
+
+
 def read_json(spark: SparkSession, path: str, flatten: bool = True, lines: bool | None = None) -> DataFrame:
     """JSON records, one per line or as documents and arrays.
 
-    Which of the two is seen per file unless ``lines`` says so; files with a record per line are read in splits.
+    Which of the two is seen per file unless ``lines`` says so; files with a record per line are read in splits, and so are
+    arrays, which are cut into their elements. A broken element shows in ``_corrupt_record``, as a broken line does.
     """
     if lines is None:
         layouts = json_layouts(spark, path)
-        parts = [spark.read.json(files, multiLine=not kind) for kind, files in layouts.items() if files]
+        arrays = array_files(spark, layouts[False]) if layouts[False] else []
+        documents = [f for f in layouts[False] if f not in set(arrays)]
+        parts = [spark.read.json(files, multiLine=multi) for files, multi in ((layouts[True], False), (documents, True)) if files]
+        if arrays:
+            elements = array_elements(spark, arrays)
+            parts.append(DataFrame(spark.read._jreader.json(text_rows(elements, F.col("data"))), spark))
         if not parts:
             return spark.read.json(path)
-        df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+        df = parts[0]
+        for other in parts[1:]:
+            df = df.unionByName(other, allowMissingColumns=True)
     else:
         df = spark.read.json(path, multiLine=not lines)
     return flatten_structs(df) if flatten else df
 
 
-def quoted_line_ends(spark: SparkSession, path: str | list[str]) -> bool:
-    """Whether some line leaves a quote open, so that a value goes on in the next line."""
+def open_quotes(spark: SparkSession, path: str | list[str]) -> dict[bool, list[str]]:
+    """Files where some line leaves a quote open (``True``), so that a value may go on in the next line, and the others."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return bool(spark.read.text(path).agg(F.max(quotes % 2 == 1)).first()[0])
+    found = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("path")).agg(
+        F.max(quotes % 2 == 1).alias("open")).collect()
+    return {kind: sorted(r["path"] for r in found if r["open"] == kind) for kind in (True, False)}
+
+
+def _common_types(schemas: list[T.StructType]) -> T.StructType:
+    """The first schema, with a type for every column that holds the values of all the others."""
+    def joined(types: list[T.DataType]) -> T.DataType:
+        kinds = set(types) - {T.NullType()} or set(types)
+        if len(kinds) == 1:
+            return kinds.pop()
+        ranked = [T.IntegerType(), T.LongType(), T.DoubleType()]
+        return max(kinds, key=ranked.index) if kinds <= set(ranked) else T.StringType()
+    same = [s for s in schemas if len(s) == len(schemas[0])]
+    return T.StructType([T.StructField(f.name, joined([s[k].dataType for s in same])) for k, f in enumerate(schemas[0])])
 
 
 def read_delimited(spark: SparkSession, path: str | list[str], separator: str | None = None,
@@ -143,36 +176,65 @@ def read_delimited(spark: SparkSession, path: str | list[str], separator: str |
                    keep_broken: bool = False) -> DataFrame:
     """Delimited text with a header; types are inferred unless a schema is given.
 
-    Values in quotes may hold separators, doubled quotes and line ends. Malformed lines are left out, or kept in the
-    column ``_broken`` when asked for; ``broken_lines`` counts them.
+    Values in quotes may hold separators, doubled quotes and line ends. Files where a line leaves a quote open are cut into
+    records by byte ranges, so that a single file is read by many tasks too; only where quotes stand inside values
+    without quotes, or in UTF-16, such a file is one task. Malformed lines are left out, or kept in the column ``_broken``
+    when asked for; ``broken_lines`` counts them.
     """
     if separator is None:
         lines = head_lines(spark, path)
         separator = separator_by_columns(lines) or separator_by_count(lines) or ","
-    reader = (spark.read.option("header", True).option("sep", separator)
-              .option("ignoreLeadingWhiteSpace", True).option("quote", '"').option("escape", '"')
-              .option("multiLine", quoted_line_ends(spark, path)))
     western = (encoding or "").lower() in ("windows-1252", "cp1252")
-    if encoding:
-        # Spark has no reader for Windows-1252; it is Latin-1 with letters in place of control codes
-        if not western and encoding.upper() not in READABLE:
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")     # else only a few encodings are accepted
-        reader = reader.option("encoding", "ISO-8859-1" if western else encoding)
-        if encoding.upper().startswith("UTF-16"):
-            reader = reader.option("multiLine", True)      # line ends are two bytes, so splits can't find them
+    # Spark has no reader for Windows-1252; it is Latin-1 with letters in place of control codes
+    charset = "ISO-8859-1" if western else encoding
+    if charset and charset.upper() not in READABLE:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")     # else only a few encodings are accepted
+
+    def reader(multi: bool, header: bool = True):
+        found = (spark.read.option("header", header).option("sep", separator).option("multiLine", multi)
+                 .option("ignoreLeadingWhiteSpace", True).option("quote", '"').option("escape", '"'))
+        return found.option("encoding", charset) if charset else found
+
+    # ways to read some of the files: a reader that is told the schema, and what it reads
+    wide = bool(encoding) and encoding.upper().startswith("UTF-16")      # line ends are two bytes, so splits can't find them
+    kinds = {True: [path] if isinstance(path, str) else path, False: []} if wide else open_quotes(spark, path)
+    ways, names = [], None
+    if kinds[True] and not wide:
+        first, others, stray = quoted_records(spark, kinds[True], separator)
+
+        def text(rows: DataFrame):
+            return text_rows(rows, F.decode("data", charset) if charset else F.col("data"))
+        if len(stray) < len(kinds[True]):
+            heads = first.orderBy("path").limit(1)
+            names = DataFrame(reader(True)._jreader.csv(text(heads)), spark).columns
+            ways.append((reader(True, header=False), lambda r: DataFrame(r._jreader.csv(text(others)), spark)))
+        kinds[True] = stray
+    if kinds[False]:
+        ways.insert(0, (reader(False), lambda r, files=kinds[False]: r.csv(files)))
+    if kinds[True]:
+        ways.append((reader(True), lambda r, files=kinds[True]: r.csv(files)))
+    if not ways:
+        ways.append((reader(False), lambda r: r.csv(path)))
     if schema is None:
-        typed = reader.option("inferSchema", True).csv(path).schema
+        schemas = [read(r.option("inferSchema", True)).schema for r, read in ways]
+        typed = _common_types(schemas)
+        if names and len(names) == len(typed):
+            typed = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, typed)])
     else:
         typed = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    # whole lines are split, so that a wrong number of fields shows whatever columns are asked for;
-    # a value of the wrong type shows in the columns that are read
-    reader = reader.option("columnPruning", False)
     if keep_broken:
         typed = T.StructType([*typed.fields, T.StructField("_broken", T.StringType())])
-        df = (reader.schema(typed).option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", "_broken").csv(path))
-    else:
-        df = reader.schema(typed).option("mode", "DROPMALFORMED").csv(path)
+    df = None
+    for way, read in ways:
+        # whole lines are split, so that a wrong number of fields shows whatever columns are asked for;
+        # a value of the wrong type shows in the columns that are read
+        way = way.option("columnPruning", False).schema(typed)
+        if keep_broken:
+            way = way.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken")
+        else:
+            way = way.option("mode", "DROPMALFORMED")
+        part = read(way)
+        df = part if df is None else df.unionByName(part)
     return _western_letters(df) if western else df
 
 

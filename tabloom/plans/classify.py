@@ -15,6 +15,7 @@ from tabloom.operators.encode import category_index
 from tabloom.operators.joins import attach, missing_labels
 from tabloom.operators.profile import class_counts
 from tabloom.operators.sampling import marked_split, sample_rows, stratified_sample
+from tabloom.operators.strata import stratified_folds
 from tabloom.operators.screening import leaky_features, screen_features
 from tabloom.plans import metrics
 from tabloom.plans.models import (DEEP, Ensemble, Search, Shape, advanced_models, create_fresh_model, forest,
@@ -23,6 +24,7 @@ from tabloom.plans.prepare import Preprocessor, efficient_preprocessing, fallbac
 from tabloom.sources.readers import read_data_flexible
 from tabloom.sources.sinks import class_map, read_record, write_csv, write_record
 
+FOLD = "__fold"
 KEY = "__row"
 
 
@@ -148,9 +150,12 @@ def train_classification(df: DataFrame, target: str, *, key: str | None = None,
     use_f1 = imbalanced if use_f1_for_threshold is None else use_f1_for_threshold
     weights = {i: rows / (classes * n) if imbalanced else 1.0 for i, n in counts.items()}
     weight = F.element_at(F.create_map(*[F.lit(float(x)) for kv in weights.items() for x in kv]), F.col("label"))
+    if search:      # folds by key, so that they are the same whatever the order of the rows
+        folded = stratified_folds(split.where(~F.col("__test")), KEY, "label", search.folds, name=FOLD)
+        split = folded.unionByName(split.where(F.col("__test")).withColumn(FOLD, F.lit(0)))
     raw = split.withColumn("weight", weight).persist(StorageLevel.MEMORY_AND_DISK)
     train_raw = raw.where(~F.col("__test"))
-    bare = train_raw.drop("weight", "__test")
+    bare = train_raw.drop("weight", "__test", FOLD)
     failures: dict[str, str] = {}
     try:
         prep = efficient_preprocessing(bare, "label", KEY, max_categories=10, max_dummy_features=500, classes=len(labels),
@@ -158,7 +163,8 @@ def train_classification(df: DataFrame, target: str, *, key: str | None = None,
     except Exception as error:  # an encoder that cannot be fitted leaves the plain preprocessor
         failures["preprocessing"] = f"{type(error).__name__}: {error}"[:500]
         prep = fallback_preprocessor(bare.drop(KEY), "label")
-    ready = prep.transform(raw).select("label", "features", "weight", "__test").persist(StorageLevel.MEMORY_AND_DISK)
+    ready = prep.transform(raw).select("label", "features", "weight", "__test", *([FOLD] if search else [])).persist(
+        StorageLevel.MEMORY_AND_DISK)
     train, test = ready.where(~F.col("__test")).drop("__test"), ready.where(F.col("__test")).drop("__test")
     shape = Shape(rows, len(prep.slots), classes, imbalanced)
     chosen = models or (quick_models() if quick_mode else advanced_models(shape))
@@ -167,7 +173,7 @@ def train_classification(df: DataFrame, target: str, *, key: str | None = None,
     for name, fit in chosen.items():
         try:
             estimator = create_fresh_model(name, shape) if search else None
-            model = (search.fit(name, estimator, train, quick_mode, "f1" if imbalanced else "accuracy")
+            model = (search.fit(name, estimator, train, quick_mode, "f1" if imbalanced else "accuracy", fold=FOLD)
                      if search and estimator is not None else fit(train, shape))
             m = metrics.evaluate(with_probability(model.transform(test)), classes, imbalanced)
         except Exception as error:  # one failing model must not end the comparison

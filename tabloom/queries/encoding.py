@@ -9,6 +9,7 @@ from tabloom.operators import encode as E
 from tabloom.operators import joins as J
 from tabloom.operators import rules as R
 from tabloom.operators import sampling as M
+from tabloom.operators import strata
 from tabloom.queries.associations import JOINED, LEAK, joined, mi_sql
 from tabloom.queries.base import flag_sql, query, r, rounded, table
 
@@ -228,6 +229,42 @@ def stratified_split(spark, folder):
     return M.marked_split(labels, "doc_id", 0.2, "toxic").withColumnRenamed("__test", "test")
 
 
+CLASS_RANKS = """c AS (SELECT {label} AS class, {key} AS id, count(*) OVER (PARTITION BY {label}) AS n, count(*) OVER () AS total,
+        row_number() OVER (PARTITION BY {label} ORDER BY md5({key}::VARCHAR || ':42')) AS place FROM {table}),
+    s AS (SELECT DISTINCT class, n, total, least({n}, total)::BIGINT AS wanted FROM c),
+    b AS (SELECT class, n, n * wanted // total AS base, wanted - sum(n * wanted // total) OVER () AS over,
+        row_number() OVER (ORDER BY n * wanted % total DESC, '=' || class) AS nth FROM s),
+    q AS (SELECT class, n, base + CASE WHEN nth <= over THEN 1 ELSE 0 END AS quota FROM b)"""
+
+
+def class_ranks(table: str, label: str, key: str, n: str) -> str:
+    """SQL: the rows of every class in the order of their hashes (c), and the exact quota of every class (q)."""
+    return CLASS_RANKS.format(table=table, label=label, key=key, n=n)
+
+
+@query(f"WITH {class_ranks('orders', 'o_orderstatus', 'o_orderkey', '5000')} SELECT id AS o_orderkey, class AS o_orderstatus FROM c JOIN q USING (class) WHERE place <= quota")
+def exact_sample(spark, folder):
+    """M2: 5,000 orders, of every status its exact share."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+    return strata.exact_sample(orders, 5000, "o_orderstatus", "o_orderkey")
+
+
+@query(f"""WITH {class_ranks('customer', 'c_nationkey', 'c_custkey', 'ceil(0.2 * total)')}
+    SELECT id AS c_custkey, class AS c_nationkey, place <= CASE WHEN q.n < 2 THEN 0 ELSE greatest(1, least(q.n - 1, quota)) END AS test FROM c JOIN q USING (class)""")
+def exact_split(spark, folder):
+    """M3: a fifth of the customers of every nation, exact to the row."""
+    customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
+    return strata.exact_split(customers, "c_custkey", 0.2, "c_nationkey", name="test")
+
+
+@query(f"""WITH {class_ranks('orders', 'o_orderpriority', 'o_orderkey', '1')}
+    SELECT id AS o_orderkey, class AS o_orderpriority, (SELECT count(*) FROM range(1, 5) f(k) WHERE place > n * k // 5)::INTEGER AS fold FROM c""")
+def stratified_folds(spark, folder):
+    """Five folds of orders that differ by at most one row per priority."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
+    return strata.stratified_folds(orders, "o_orderkey", "o_orderpriority", 5)
+
+
 @query(f"SELECT o_orderstatus, count(*) FILTER ({hash_sql('o_orderkey')} < 0.25) AS test, count(*) FILTER ({hash_sql('o_orderkey')} >= 0.25) AS train FROM orders GROUP BY 1")
 def random_split(spark, folder):
     """M4: 75/25 by key hash."""

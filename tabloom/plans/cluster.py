@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from tabloom.plans.classify import Trained
 from tabloom.plans.models import SEED
 from tabloom.plans.prepare import build_preprocessor
+from tabloom.plans.stacked import as_model, stacked_kmeans, stacked_rows
 from tabloom.sources.readers import read_data_flexible
 
 METHODS = ("elbow", "silhouette", "davies_bouldin")
@@ -54,7 +54,11 @@ def davies_bouldin(df: DataFrame, prediction: str, features: Column, centres: Se
     """
     measured = df.select(F.col(prediction).alias("c"), F.get(F.array(*[
         centre_distance(features, c) for c in centres]), F.col(prediction)).alias("d"))
-    spread = {r["c"]: r["s"] for r in measured.groupBy("c").agg(F.avg("d").alias("s")).collect()}
+    return worst_ratio(centres, {r["c"]: r["s"] for r in measured.groupBy("c").agg(F.avg("d").alias("s")).collect()})
+
+
+def worst_ratio(centres: Sequence[Sequence[float]], spread: dict[int, float]) -> float:
+    """Mean over the clusters that have rows, whose spreads are given, of the worst ratio."""
     used = sorted(spread)
     if len(used) < 2:
         return math.inf
@@ -98,19 +102,20 @@ def elbow(costs: Sequence[float], method: str = "acceleration") -> int:
 
 
 def scan_clusters(ready: DataFrame, most: int = 20, methods: Sequence[str] = METHODS, restarts: int = 10) -> Scan:
+    """All numbers of clusters from 2 to ``most``, all restarts of each, in the same passes over the rows."""
     found = Scan()
     if "elbow" in methods:
         found.cost[1] = one_cluster_cost(ready)
-    for k in range(2, most + 1):
-        model = fit_kmeans(ready, k, restarts)
-        found.models[k] = model
-        found.cost[k] = model.summary.trainingCost
-        scored = model.transform(ready)
+    rows = stacked_rows(ready).persist(StorageLevel.MEMORY_AND_DISK)
+    for k, held in stacked_kmeans(rows, range(2, most + 1), restarts, SEED).items():
+        found.models[k] = as_model(ready.sparkSession, held.centres)
+        found.cost[k] = held.cost
         if "silhouette" in methods:
-            found.silhouette[k] = ClusteringEvaluator().evaluate(scored)
+            found.silhouette[k] = held.silhouette
         if "davies_bouldin" in methods:
-            centres = [list(map(float, c)) for c in model.clusterCenters()]
-            found.davies_bouldin[k] = davies_bouldin(scored, "prediction", vector_to_array("features"), centres)
+            found.davies_bouldin[k] = worst_ratio(held.centres.tolist(), {
+                i: float(s) for i, s in enumerate(held.spread) if s == s})
+    rows.unpersist()
     return found
 
 
@@ -133,11 +138,12 @@ def train_clustering(df: DataFrame, n_clusters: int | None = None, max_clusters_
         chosen = {m: scan.best(m) for m in methods}
         results["chosen"] = chosen
         n_clusters = chosen.get("elbow") or next(iter(chosen.values()))
-        model = scan.models[n_clusters]
+        model, cost = scan.models[n_clusters], scan.cost[n_clusters]
     else:
         model = fit_kmeans(ready, n_clusters, restarts)
+        cost = float(model.summary.trainingCost)
     ready.unpersist()
-    return Trained("KMeans", model, prep, [], "cluster", float(model.summary.trainingCost), results, {},
+    return Trained("KMeans", model, prep, [], "cluster", cost, results, {},
                    columns=df.columns, model_type="clustering", info={"clusters": n_clusters})
 
 

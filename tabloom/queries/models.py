@@ -256,16 +256,16 @@ def vectors(spark, folder):
 
 
 @query("""SELECT k, CASE WHEN k = 1 THEN (SELECT (max(len(embedding)) * count(*))::DOUBLE FROM embeddings) END AS closed_form, true AS falls, true AS bounded
-    FROM (SELECT unnest(range(1, 6))::INTEGER AS k)""")
+    FROM (SELECT unnest(range(1, 21))::INTEGER AS k)""")
 def kmeans_choice(spark, folder):
-    """Cost, silhouette and Davies-Bouldin for up to five clusters, and the choice of each.
+    """Cost, silhouette and Davies-Bouldin for up to twenty clusters from ten starts each, and the choice of each.
 
     The cost of one cluster of scaled columns is rows times columns; more clusters never cost more.
     """
     df = vectors(spark, folder).drop("vec_id", "label")
     prep = prepare.build_preprocessor(df, None, impute="mean")
     ready = prep.transform(df).select("features").persist()
-    scan = cluster.scan_clusters(ready, 5, restarts=4)
+    scan = cluster.scan_clusters(ready)
     ready.unpersist()
     rows = []
     for k in sorted(scan.cost):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,30 +11,18 @@ from pyspark.sql import functions as F
 from tabloom.functions.bins import bin_sql
 from tabloom.functions.scalars import named, number
 from tabloom.functions.stats import fit_stats
+from tabloom.operators.gram import correlation_report
 from tabloom.operators.profile import to_rows
 
-PAIRS_PER_AGGREGATE = 200
 MISSING = "(missing)"
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Absolute correlation of every pair of columns over the rows where both are known.
 
-    All pairs share one scan; very wide tables are cut into several scans so that generated code
-    stays within its limits.
+    One scan for up to a thousand columns; see ``gram``.
     """
-    slim = df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    pairs = list(combinations(range(len(columns)), 2))
-    report = None
-    for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
-        part = pairs[start:start + PAIRS_PER_AGGREGATE]
-        row = slim.agg(*[F.corr(f"c{i}", f"c{j}").alias(f"r{k}") for k, (i, j) in enumerate(part)])
-        entries = [F.struct(F.lit(columns[i]).alias("left"), F.lit(columns[j]).alias("right"),
-                            F.abs(F.col(f"r{k}")).alias("correlation"))
-                   for k, (i, j) in enumerate(part)]
-        tall = row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-        report = tall if report is None else report.unionByName(tall)
-    return report
+    return correlation_report(df, [number(c) for c in columns], columns)
 
 
 def target_correlation(df: DataFrame, columns: Sequence[str], target: str | Column) -> DataFrame:

@@ -29,6 +29,21 @@ def corr_matrix(spark, folder):
     return rounded(A.correlation_pairs(priced(spark, folder), NUMBERS), correlation=6)
 
 
+DERIVED = 200
+
+
+@query(f"""WITH v AS (SELECT p_partkey, k, (p_partkey * (7 * k + 3) % (k + 11) + p_size * (k % 5) + p_retailprice * (k % 3))::DOUBLE AS x
+        FROM part, range({DERIVED}) r(k) WHERE (p_partkey + k) % 7 <> 0)
+    SELECT 'c' || a.k AS "left", 'c' || b.k AS "right", round(abs(corr(a.x, b.x)), 6) AS correlation
+    FROM v a JOIN v b ON a.p_partkey = b.p_partkey AND a.k < b.k GROUP BY a.k, b.k""")
+def corr_wide(spark, folder):
+    """All pairs of 200 columns with gaps, in one scan."""
+    part = table(spark, folder, "part")
+    value = "CASE WHEN (p_partkey + {k}) % 7 <> 0 THEN p_partkey * (7 * {k} + 3) % ({k} + 11) + p_size * ({k} % 5) + p_retailprice * ({k} % 3) END"
+    df = part.select(*[F.expr(value.format(k=k)).alias(f"c{k}") for k in range(DERIVED)])
+    return rounded(A.correlation_pairs(df, df.columns), correlation=6)
+
+
 @query(" UNION ALL ".join(
     f"SELECT '{c}' AS feature, round(corr({c}, l_quantity), 6) AS correlation FROM {PRICED}" for c in NUMBERS[1:]))
 def corr_target(spark, folder):

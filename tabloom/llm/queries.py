@@ -22,7 +22,7 @@ from tabloom.llm.whitening import whitened_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-SHARD_BYTES = 64 * 1024 * 1024
+SHARD_BYTES = 256 * 1024
 
 
 def query(sql: str | None = None):
@@ -56,9 +56,9 @@ firsts AS (
         FROM lines WHERE trim(line) <> '') WHERE nth = 1),
 deleted AS (
     SELECT place, i, hash(substr(line, 1, i - 1) || substr(line, i + 1)) AS rest
-    FROM (SELECT place, line, unnest(range(1, length(line) + 1)) AS i FROM firsts WHERE length(line) >= 16)),
+    FROM (SELECT place, line, unnest(range(1, length(line) + 1)) AS i FROM firsts)),
 heads AS (SELECT rest, i, min(place) AS place FROM deleted GROUP BY ALL),
-whole AS (SELECT place, hash(line) AS line FROM firsts WHERE length(line) >= 16),
+whole AS (SELECT place, hash(line) AS line FROM firsts),
 late AS (
     SELECT d.place FROM deleted d JOIN heads h ON d.rest = h.rest AND d.i = h.i WHERE h.place < d.place
     UNION
@@ -75,7 +75,7 @@ FROM lines l LEFT JOIN kept k ON k.doc_id = l.doc_id AND k.no = l.no GROUP BY l.
 @query(LINE_SQL)
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the lines that an earlier line repeats up to one edit."""
-    return drop_repeated_lines(table(spark, folder, "documents"))
+    return drop_repeated_lines(table(spark, folder, "documents"), min_chars=1)
 
 
 @query("""
@@ -110,7 +110,7 @@ FROM rows r JOIN ends e USING (doc_id) JOIN buckets b ON b.depth = e.depth AND b
 
 @query(shard_sql(SHARD_BYTES))
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    """Shard of every document; no shard of several documents is above 64 MiB of text."""
+    """Shard of every document; no shard of several documents is above 256 KiB of text."""
     return shard_documents(table(spark, folder, "documents"), SHARD_BYTES)
 
 

@@ -18,6 +18,9 @@ MASK = (1 << 64) - 1
 CHUNK = 65536          # shingles whose bits are counted at a time
 CODE_BITS = 31         # length of the Hamming code whose words are the anchors; covering radius 1
 HALVES = (0, 32)       # where the compared halves of a fingerprint start
+LOOSE_BITS = 9         # of a fingerprint, within which documents are candidates if a half differs in two at most
+NEAR_SHARE = 0.16      # of the bits of all draws: 0.1515 are expected to differ at a similarity of 0.8
+CLOSE_SHARE = 0.2      # where a whole fingerprint is close
 
 
 def _mixed(hashes: np.ndarray, draw: int) -> np.ndarray:
@@ -82,10 +85,12 @@ def _home(x: Column, syndrome: Column) -> Column:
     return F.when(syndrome == 0, x).otherwise(x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), syndrome - 1)))
 
 
-def linked(fps: DataFrame, max_bits: int = 2, apart: str | None = None) -> DataFrame:
+def linked(fps: DataFrame, max_bits: int = 2, apart: str | None = None, loose_bits: int = 0) -> DataFrame:
     """``draw`` and pairs ``a`` < ``b`` of its distinct fingerprints ``fp`` that differ in 1 to ``max_bits`` bits (5 at most).
 
-    With the name of a column in ``apart``, only pairs of fingerprints that differ in it are returned.
+    With the name of a column in ``apart``, only pairs of fingerprints that differ in it are returned. With
+    ``loose_bits``, pairs up to so many bits are returned where a half differs in at most ``max_bits // 2`` of them: they
+    meet at the anchors anyway, but not all such pairs do.
 
     One half of the two fingerprints differs in at most ``max_bits // 2`` bits. 31 bits of each half are covered by
     the words of the Hamming code: every value has its home anchor within one bit. Fingerprints are replicated to the
@@ -116,7 +121,7 @@ def linked(fps: DataFrame, max_bits: int = 2, apart: str | None = None) -> DataF
         return rows.select(F.col(key).alias("anchor"), F.col("fp").alias(name), *([F.col("group").alias(f"{name}_group")] if apart else []))
 
     far = side(replicas, "anchor", "b")
-    close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
+    close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max(max_bits, loose_bits))
     if apart:
         close &= F.col("a_group") != F.col("b_group")
     slot = F.shiftright("anchor", CODE_BITS)
@@ -156,15 +161,24 @@ def near_groups(docs: DataFrame, words: int = 3, max_bits: int = 2, id_column: s
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _far_apart(a: str, b: str) -> Column:
+    """Share of differing bits over all draws."""
+    gaps = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(gaps, F.lit(0), lambda t, x: t + x) / (64 * F.size(a))
+
+
 def drop_near_copies(docs: DataFrame, words: int = 5, max_bits: int = 5, draws: int = 8, id_column: str = "doc_id",
                      text_column: str = "text") -> DataFrame:
     """``docs`` with all its columns, of every group of near copies the document with the smallest id.
 
-    Documents are near copies if any of ``draws`` fingerprints of their shingles, each over other hashes, differ in at
-    most ``max_bits`` bits; one fingerprint alone misses many pairs of similarity 0.8, eight find most. Groups reach over
-    links as in ``near_groups``, through the links of all draws together. The first two draws run first; for the others
-    all documents keep their fingerprints under the smallest id of their group so far, and only pairs of different groups
-    are linked, so a large group is not linked over and over. Documents without id stay.
+    Each of ``draws`` fingerprints of a document's shingles is over other hashes. Candidates are documents of which one
+    fingerprint differs in at most ``max_bits`` bits and, from the third draw on, in at most ``LOOSE_BITS`` with at most two in
+    a half. They are near copies if all their fingerprints together differ in at most ``NEAR_SHARE`` of the bits, the share
+    at a similarity of 0.8 with a margin of a standard deviation (``CLOSE_SHARE`` where one is within ``max_bits``). Documents
+    with one fingerprint in common are near copies too. Groups reach over links as in ``near_groups``, through the links of all
+    draws together. The first two draws run first; for the others all documents keep their fingerprints under the
+    smallest id of their group so far, and only pairs of different groups are linked, so a large group is not linked over
+    and over. Documents without id stay.
     """
     left = stored(fingerprints(docs, words, draws, id_column, text_column).where("doc_id IS NOT NULL"), "fingerprints")
     left = left.withColumn("root", F.col("doc_id"))
@@ -172,13 +186,19 @@ def drop_near_copies(docs: DataFrame, words: int = 5, max_bits: int = 5, draws:
     for first, last in ((0, min(2, draws)), (2, draws)):
         if first >= last:
             continue
-        each = left.select("root", F.posexplode(F.slice("fps", first + 1, last - first)).alias("draw", "fp"))
-        classes = stored(each.groupBy("draw", "fp").agg(F.min("root").alias("least")), "fingerprint-classes")
+        each = left.select("root", "doc_id", F.posexplode(F.slice("fps", first + 1, last - first)).alias("draw", "fp"))
+        classes = stored(each.groupBy("draw", "fp").agg(F.min("root").alias("least"), F.min("doc_id").alias("member")),
+                         "fingerprint-classes")
         same = each.join(classes, ["draw", "fp"]).where("root <> least").select(
             F.col("root").alias("a"), F.col("least").alias("b"))
-        ends = [classes.select("draw", F.col("fp").alias(c), F.col("least").alias(f"{c}_id")) for c in "ab"]
-        pairs = stored(linked(classes, max_bits, "least"), "fingerprint-links")
-        near = pairs.join(ends[0], ["draw", "a"]).join(ends[1], ["draw", "b"]).select(
+        pairs = stored(linked(classes, max_bits, "least", LOOSE_BITS if first else 0), "fingerprint-links")
+        for end in "ab":
+            # by the member's own fingerprints, since the smallest of the group may have others
+            held = classes.select("draw", F.col("fp").alias(end), F.col("least").alias(f"{end}_id"), F.col("member").alias(f"{end}_member"))
+            prints = left.select(F.col("doc_id").alias(f"{end}_member"), F.col("fps").alias(f"{end}_fps"))
+            pairs = pairs.join(held, ["draw", end]).join(prints, f"{end}_member")
+        apart, bits = _far_apart("a_fps", "b_fps"), F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+        near = pairs.where((apart <= NEAR_SHARE) | (bits <= max_bits) & (apart <= CLOSE_SHARE)).select(
             F.col("a_id").alias("a"), F.col("b_id").alias("b"))
         copies = stored(components(same.unionByName(near)).where("node <> root"), "near-copies")
         gone = copies.select("node") if gone is None else gone.unionByName(copies.select("node"))

@@ -134,22 +134,3 @@ def test_links_of_all_draws_count(spark):
     want = set(plain_components(prints, links).values())
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r.doc_id for r in drop_near_copies(docs).collect()} == want == {0}
-
-
-def test_recall_of_near_copies(spark):
-    """Pairs of similarity 0.8 or a little more: at least nine of ten are found; pairs of 0.5 and less never are."""
-    rng = random.Random(11)
-    vocabulary = ["w%d" % i for i in range(5000)]
-    rows, far = [], []
-    for g in range(150):
-        base = [rng.choice(vocabulary) for _ in range(250)]
-        other, third = list(base), list(base)
-        for at in range(12, 252, 60):                   # four of 246 shingle runs of five: similarity 226 / 266 = 0.85
-            other[at] = "changed%d" % g
-        for at in range(3, 250, 8):
-            third[at] = "again%d" % g
-        rows += [(10 * g, " ".join(base)), (10 * g + 1, " ".join(other)), (10 * g + 2, " ".join(third))]
-        far.append(10 * g + 2)
-    left = {r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert left >= {10 * g for g in range(150)} | set(far)
-    assert len([g for g in range(150) if 10 * g + 1 in left]) <= 15

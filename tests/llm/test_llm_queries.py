@@ -11,7 +11,8 @@ from tabloom.llm.queries import ORACLES, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows_as_sql(spark, folder, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for name_ in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name_} AS SELECT * FROM '{folder}/{name_}.parquet'")
     df = QUERIES[name](spark, folder)
     columns = ", ".join(df.columns)
     assert sorted(map(tuple, df.collect()), key=str) == sorted(con.execute(f"SELECT {columns} FROM ({ORACLES[name]})").fetchall(), key=str)

@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 
-from tabloom.llm.align import align, bands
-from tabloom.llm.decontaminate import contaminated, drop_contaminated
+from tabloom.llm import align as aligning
+from tabloom.llm.align import MATCH, align, bands
+from tabloom.llm.decontaminate import contaminated, drop_contaminated, spare_groups
 
 
 def plain_score(query, text, low, high):
@@ -88,3 +89,52 @@ def test_any_intact_word_group_is_a_seed(spark):
     bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(long))], "item_id bigint, text string")
     found = {(r.doc_id, r.item_id): round(r.similarity, 2) for r in contaminated(docs, bench).collect()}
     assert found == {(1, 1): 0.73, (3, 2): 0.9, (5, 2): 0.9}
+
+
+def test_large_tables_are_aligned_in_parts(monkeypatch):
+    rng = random.Random(3)
+    cases = []
+    for _ in range(100):
+        query, text = ([rng.randint(1, 5) for _ in range(rng.randint(1, 60))] for _ in range(2))
+        low = rng.randint(-40, 20)
+        cases.append((np.array(query), np.array(text), low, low + rng.randint(0, 60)))
+    whole = [align(*case) for case in cases]
+    monkeypatch.setattr(aligning, "SMALL", 0)
+    assert [align(*case) for case in cases] == whole
+
+
+def test_against_all_pairs(spark):
+    """Rare seeds lose no pair that a full alignment of every item with every document finds."""
+    rng = random.Random(9)
+    ranked = ["w%d" % i for i in range(300)]
+    def some(n):
+        return rng.choices(ranked, [1 / (i + 1) for i in range(300)], k=n)        # few words are frequent
+    items = [some(rng.randint(9, 45)) for _ in range(60)]
+    docs = []
+    for d in range(300):
+        body = some(rng.randint(0, 80))
+        if d % 2:
+            copy = list(rng.choice(items))
+            for _ in range(rng.randint(0, len(copy) // 3)):
+                k = rng.randrange(len(copy))
+                copy[k:k + 1] = rng.choice([["new%d" % rng.randrange(99)], []])
+            cut = rng.randint(0, len(copy) // 4)
+            body[len(body) // 2:len(body) // 2] = copy[cut:] if d % 4 == 1 else copy[:len(copy) - cut]
+        docs.append(body)
+    numbers = {w: i for i, w in enumerate(sorted({w for text in items + docs for w in text}))}
+    coded = [[np.array([numbers[w] for w in text]) for text in part] for part in (items, docs)]
+    wanted = {}
+    for k, item in enumerate(coded[0]):
+        for d, text in enumerate(coded[1]):
+            score = align(item, text, -len(item), len(text)).score / (MATCH * len(item)) if len(text) else 0
+            if score >= 0.6:
+                wanted[d, k] = score
+    assert len(wanted) > 80 and sum(s < 0.7 for s in wanted.values()) > 15 and any(spare_groups(len(i), 0.6) > 4 for i in items)
+    found = contaminated(spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id bigint, text string"),
+                         spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id): r.similarity for r in found.collect()} == wanted
+
+
+def test_spare_groups():
+    assert [spare_groups(n, 0.6) for n in (1, 3, 8, 9, 10, 11, 15, 40)] == [0, 0, 0, 0, 0, 1, 0, 6]
+    assert spare_groups(10, 1.0) == 7

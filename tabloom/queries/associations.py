@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators import association as A
 from tabloom.operators import screening as S
+from tabloom.operators.neighbours import neighbour_information
 from tabloom.queries.base import query, r, rounded, table
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "disc_price", "charge"]
@@ -162,6 +163,38 @@ LEAK = {"is_cheap": False, "o_orderstatus": False, "o_orderpriority": False, "c_
         "o_custkey": True, "o_totalprice": True, "c_nationkey": True, "c_acctbal": True}
 
 
+NEAR_COLUMNS = ["o_totalprice", "is_cheap", "o_custkey", "c_nationkey", "c_acctbal"]
+
+
+def neighbours_sql(columns, target, name, k=3):
+    """Neighbours by lag and lead within the class, counts of nearer rows by running sums, digamma by harmonic numbers."""
+    tall = " UNION ALL ".join(f"SELECT '{c}' AS feature, {target} AS y, {c}::DOUBLE AS x FROM {name}" for c in columns)
+    reach = ", ".join(f"greatest(x - lag(x, {j}) OVER w, lead(x, {k - j}) OVER w - x)" if 0 < j < k
+                      else f"lead(x, {k}) OVER w - x" if j == 0 else f"x - lag(x, {k}) OVER w" for j in range(k + 1))
+    # greatest() skips NULL, so a side without enough rows is ruled out by asking for its outermost row
+    known = ", ".join(f"CASE WHEN lag(x, {j}) OVER w IS NOT NULL AND lead(x, {k - j}) OVER w IS NOT NULL THEN 1 END" for j in range(k + 1))
+    return f"""WITH t AS ({tall}),
+        d AS (SELECT feature, y, x, count(*) OVER (PARTITION BY feature, y) AS size, [{reach}] AS reach, [{known}] AS known
+              FROM t WINDOW w AS (PARTITION BY feature, y ORDER BY x)),
+        v AS (SELECT feature, y, x, size, list_min([CASE WHEN known[i] = 1 THEN reach[i] END FOR i IN range(1, {k + 2})]) AS r FROM d),
+        g AS (SELECT feature, y, x, size, r, count(*) AS n FROM v GROUP BY ALL),
+        c AS (SELECT feature, x, sum(count(*)) OVER (PARTITION BY feature ORDER BY x) AS upto, count(*) AS here FROM t GROUP BY feature, x),
+        e AS (SELECT g.*, coalesce(a.upto, 0) AS high FROM g ASOF LEFT JOIN c a ON g.feature = a.feature AND g.x + g.r > a.x),
+        f AS (SELECT e.*, coalesce(b.upto, 0) AS low FROM e ASOF LEFT JOIN c b ON e.feature = b.feature AND e.x - e.r >= b.x),
+        m AS (SELECT f.*, CASE WHEN r = 0 THEN c.here ELSE high - low END AS within FROM f JOIN c USING (feature, x)),
+        h AS (SELECT i, -0.5772156649015329 + coalesce(sum(CASE WHEN i > 1 THEN 1.0::DOUBLE / (i - 1) END) OVER (ORDER BY i), 0) AS psi
+              FROM (SELECT unnest(range(1, (SELECT count(*) + 1 FROM {name}))) AS i))
+        SELECT feature, greatest((SELECT psi FROM h WHERE i = (SELECT count(*) FROM {name}))
+            + sum(n * (z.psi - s.psi - w.psi)) / sum(n), 0) AS mutual_info
+        FROM m JOIN h z ON z.i = CASE WHEN r = 0 THEN m.n ELSE {k} END JOIN h s ON s.i = m.size JOIN h w ON w.i = m.within GROUP BY feature"""
+
+
+@query(f"SELECT feature, round(mutual_info, 6) AS mutual_info FROM ({neighbours_sql(NEAR_COLUMNS, 'size_class', JOINED)})")
+def mutual_info_neighbours(spark, folder):
+    """By nearest neighbours, no bins."""
+    return rounded(neighbour_information(joined(spark, folder), NEAR_COLUMNS, "size_class"), mutual_info=6)
+
+
 @query(f"""SELECT feature, round(mutual_info, 5) AS score, 'mutual_info' AS measure
     FROM ({mi_sql(LEAK, 'size_class', False, JOINED)}) WHERE mutual_info > 0.4""")
 def leakage_report(spark, folder):

@@ -56,3 +56,11 @@ def checkpoint(df):
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(work_folder(spark, "checkpoints"))
     return df.checkpoint()
+
+
+def written(df, name: str):
+    """``df`` written once to the shared folder and read again; unlike a checkpoint, its work is done once only."""
+    spark = df.sparkSession
+    folder = work_folder(spark, name)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

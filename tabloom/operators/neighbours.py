@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.scalars import named, number
+from tabloom.operators.joins import attach
 from tabloom.session import written
 
 NEIGHBOURS = 3
@@ -105,9 +106,12 @@ def neighbour_information(df: DataFrame, columns: Sequence[str], target: str, ne
         named(target).cast("string").alias("y"), F.array(*[number(c) for c in names]).alias("values"))
     tall = held.select("y", F.posexplode("values").alias("at", "x")).where("x IS NOT NULL AND abs(x) < double('Infinity')")
     cells = _ranged(tall.groupBy("at", "y", "x").agg(F.count(F.lit(1)).alias("n")), "at", "x")
-    sizes = cells.groupBy("at", "y").agg(F.sum("n").alias("size")).where("size > 1")
+    cells = cells.withColumn("group", F.concat_ws(":", "at", "y"))
+    sizes = written(cells.groupBy("group").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("cells")), "class-sizes")
     sizes = sizes.withColumn("k", F.least(F.lit(neighbours), F.col("size") - 1))
-    cells = written(_radii(cells.join(sizes, ["at", "y"]), neighbours), "radii")
+    # not a join on the class alone: its partitioning would be kept by the windows, a common class in one task
+    sized = attach(cells, sizes, "group", "cells").where("size > 1").drop("group")
+    cells = written(_radii(sized, neighbours), "radii")
     joined = cells.join(_counts_within(cells), ["at", "y", "x"])
     n = F.col("n").cast("double")
     scores = joined.groupBy("at").agg(F.sum("n").alias("rows"), F.sum(

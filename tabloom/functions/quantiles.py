@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.bins import interval_sql, sql_double
-from tabloom.functions.scalars import number
+from tabloom.functions.scalars import distinct_sketch, number
 
 MAP_VALUES = 50_000        # distinct values the built-in aggregate may hold
 SPAN_ROWS = 20_000         # rows of one span that may be sorted together
@@ -36,7 +36,7 @@ class Extent:
     known: int
     low: float | None
     high: float | None
-    distinct: int  # a guess within a small factor
+    distinct: int  # estimated within about one percent
 
 
 @dataclass
@@ -53,35 +53,13 @@ class _Span:
 
 
 def extent_columns(columns: Iterable[str]) -> list[Column]:
-    """Count, range and two 64-bit distinct sketches; all of it stays in generated code."""
+    """Count, range and estimated number of distinct values."""
     return [measure.alias(f"{c}_{name}") for c in columns for name, measure in (
-        ("known", F.count(c)), ("low", F.min(c)), ("high", F.max(c)), *_distinct_sketches(c))]
-
-
-def _distinct_sketches(c: str) -> list[tuple[str, Column]]:
-    mixed = F.xxhash64(F.col(c)).bitwiseAND(F.lit(2**62 - 1))
-    lowest_bit = mixed.bitwiseAND(-mixed)
-    slot = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(mixed, F.lit(64)).cast("int"))
-    known = F.col(c).isNotNull()
-    return [("slots", F.bit_or(F.when(known, slot))), ("runs", F.bit_or(F.when(known, lowest_bit)))]
-
-
-def distinct_guess(slots: int | None, runs: int | None) -> int:
-    """Linear counting for few values, else the magnitude from the longest run of zero bits.
-
-    The number of filled slots never exceeds the true count.
-    """
-    filled = ((slots or 0) & (2**64 - 1)).bit_count()
-    if filled < 40:
-        return round(64 * math.log(64 / (64 - filled)))
-    bits = (runs or 0) & (2**64 - 1)
-    lowest_zero = next(i for i in range(65) if not bits >> i & 1)
-    return max(64, round(2**lowest_zero / 0.77351))
+        ("known", F.count(c)), ("low", F.min(c)), ("high", F.max(c)), ("distinct", distinct_sketch(F.col(c))))]
 
 
 def read_extent(row, key: str) -> Extent:
-    return Extent(row[f"{key}_known"], row[f"{key}_low"], row[f"{key}_high"],
-                  distinct_guess(row[f"{key}_slots"], row[f"{key}_runs"]))
+    return Extent(row[f"{key}_known"], row[f"{key}_low"], row[f"{key}_high"], row[f"{key}_distinct"])
 
 
 def quantiles(df: DataFrame, wanted: Wanted, extents: Mapping[str, Extent] | None = None,

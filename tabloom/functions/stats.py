@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tabloom.functions import quantiles as Q
 from tabloom.functions.scalars import named, number
 
-# under this guess the distinct count is taken exactly
+# under this estimate the distinct count is taken exactly
 EXACT_DISTINCT_BELOW = 60
 
 
@@ -19,7 +19,7 @@ EXACT_DISTINCT_BELOW = 60
 class ColumnStats:
     rows: int
     known: int
-    distinct: int            # exact when small, else a guess of its magnitude
+    distinct: int            # exact when small, else estimated within about one percent
     mean: float | None
     std: float | None        # sample
     std_pop: float | None    # population

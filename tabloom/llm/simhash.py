@@ -20,6 +20,7 @@ CODE_BITS = 31         # length of the Hamming code whose words are the anchors;
 HALVES = (0, 32)       # where the compared halves of a fingerprint start
 FIRST_DRAWS = 2        # draws that group most copies, before the others are linked
 NEXT_DRAWS = 6         # further draws linked at a time
+FIRST_BITS = (1, 2, 3) # bits at which the first draws are linked, one after the other, before the largest number
 
 
 def _mixed(hashes: np.ndarray, draw: int) -> np.ndarray:
@@ -166,25 +167,30 @@ def drop_near_copies(docs: DataFrame, words: int = 5, max_bits: int = 5, draws:
     most ``max_bits`` bits. One fingerprint alone finds a quarter of the pairs of similarity 0.8 or more, fourteen find nine
     in ten. Groups reach over links as in ``near_groups``, through the links of all draws together. Two draws run first, then
     six at a time; between these steps all documents keep their fingerprints under the smallest id of their group so far, and
-    only pairs of different groups are linked, so a large group is not linked over and over. Documents without id stay.
+    only pairs of different groups are linked, so a large group is not linked over and over. The first two draws are linked at
+    one bit, then two, three and all: a fingerprint has at most 64 others within one bit, and where a group is so dense that
+    many pairs are within a few bits, the steps before have joined them. Documents without id stay.
     """
     left = stored(fingerprints(docs, words, draws, id_column, text_column).where("doc_id IS NOT NULL"), "fingerprints")
     left = left.withColumn("root", F.col("doc_id"))
     gone = None
     starts = [0, *range(FIRST_DRAWS, draws, NEXT_DRAWS)]
-    for first, last in zip(starts, [*starts[1:], draws]):
+    steps = [(0, min(FIRST_DRAWS, draws), bits) for bits in FIRST_BITS if bits < max_bits]
+    steps += [(first, last, max_bits) for first, last in zip(starts, [*starts[1:], draws])]
+    for number, (first, last, bits) in enumerate(steps, 1):
         each = left.select("root", F.posexplode(F.slice("fps", first + 1, last - first)).alias("draw", "fp"))
         classes = stored(each.groupBy("draw", "fp").agg(F.min("root").alias("least")), "fingerprint-classes")
         same = each.join(classes, ["draw", "fp"]).where("root <> least").select(
             F.col("root").alias("a"), F.col("least").alias("b"))
         ends = [classes.select("draw", F.col("fp").alias(c), F.col("least").alias(f"{c}_id")) for c in "ab"]
-        pairs = stored(linked(classes, max_bits, "least"), "fingerprint-links")
+        pairs = stored(linked(classes, bits, "least"), "fingerprint-links")
         near = pairs.join(ends[0], ["draw", "a"]).join(ends[1], ["draw", "b"]).select(
             F.col("a_id").alias("a"), F.col("b_id").alias("b"))
         copies = stored(components(same.unionByName(near)).where("node <> root"), "near-copies")
         gone = copies.select("node") if gone is None else gone.unionByName(copies.select("node"))
-        if last < draws:
-            roots = copies.select(F.col("node").alias("doc_id"), F.col("root").alias("lower"))
-            left = stored(left.drop("root").join(roots, "doc_id", "left").select(
-                "doc_id", "fps", F.coalesce("lower", "doc_id").alias("root")), "fingerprints")
+        if number < len(steps):
+            # by the group so far, not by the document: a later step links only the roots of the groups before it
+            lower = copies.select(F.col("node").alias("root"), F.col("root").alias("lower"))
+            left = stored(left.join(lower, "root", "left").select(
+                "doc_id", "fps", F.coalesce("lower", "root").alias("root")), "fingerprints")
     return by_id(docs, gone, "left_anti", id_column)

@@ -4,6 +4,7 @@ import random
 
 import xxhash
 
+from tabloom.llm import simhash
 from tabloom.llm.components import components
 from tabloom.llm.simhash import drop_near_copies, fingerprint, linked, near_groups
 
@@ -134,3 +135,38 @@ def test_links_of_all_draws_count(spark):
     want = set(plain_components(prints, links).values())
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r.doc_id for r in drop_near_copies(docs).collect()} == want == {0}
+
+
+def test_dense_groups_give_few_links(spark, monkeypatch):
+    rng = random.Random(3)
+    vocabulary = ["w%d" % i for i in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(400)]
+    rows = []
+    for k in range(250):
+        other = list(base)
+        for _ in range(2):
+            other[rng.randrange(400)] = rng.choice(vocabulary)
+        rows.append((k, " ".join(other)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    made = []
+
+    def counted(*args, **options):
+        found = linked(*args, **options)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(simhash, "linked", counted)
+    assert [r.doc_id for r in drop_near_copies(docs).collect()] == [0]
+    prints = [fingerprint(t, 5, 2) for _, t in rows]
+    close = sum(any((x ^ y).bit_count() <= 5 for x, y in zip(p, q)) for i, p in enumerate(prints) for q in prints[:i])
+    assert close > 25 * len(rows) and sum(made) < 10 * len(rows)
+
+
+def test_groups_are_kept_between_steps(spark, monkeypatch):
+    # 0 and 2 meet in the first draw, nothing in the next six, 1 and 2 in the last ones: then 1 is a copy of 0
+    far = [[(0x0123456789ABCDEF * (7 * i + 3 * d + 1) ^ i << 40) & 0x7FFFFFFFFFFFFFFF for d in range(14)] for i in range(3)]
+    far[2][0], far[2][12] = far[0][0], far[1][12]
+    rows = spark.createDataFrame(list(enumerate(far)), "doc_id bigint, fps array<bigint>")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *args: rows)
+    docs = spark.createDataFrame([(i, "x") for i in range(3)], "doc_id bigint, text string")
+    assert [r.doc_id for r in drop_near_copies(docs).collect()] == [0]

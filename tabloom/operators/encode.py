@@ -9,7 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import FeatureHasher, OneHotEncoder
+from pyspark.ml.feature import FeatureHasher
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,14 +88,17 @@ def one_hot(df: DataFrame, columns: Sequence[str], max_categories: int | None =
 def one_hot_sparse(df: DataFrame, column: str, out: str = "one_hot") -> DataFrame:
     """One sparse vector with a slot per value in sorted order, whatever their number; none is set for NULL.
 
-    Values are numbered by a table that is attached by key, so no dictionary passes through the driver.
+    Values are numbered by a table that is attached by key, so no dictionary passes through the driver; the fitted encoder
+    would, as it names every slot in the schema.
     """
-    coded = ordinal(df, column, out="__slot").withColumn("__slot", F.col("__slot").cast("double"))
-    width = int(coded.agg(F.max("__slot")).first()[0] or 0) + 1
-    known = F.when(F.col("__slot") >= 0, F.col("__slot")).otherwise(F.lit(float(width)))
-    coder = OneHotEncoder(inputCol="__slot", outputCol=out, dropLast=True)
-    sized = df.sparkSession.range(width + 1).select(F.col("id").cast("double").alias("__slot"))
-    return coder.fit(sized).transform(coded.withColumn("__slot", known)).drop("__slot")
+    table = category_index(df, column)
+    width = max(table.count(), 1)
+
+    @F.udf(returnType=VectorUDT())
+    def one_slot(slot):
+        return Vectors.sparse(width, [slot], [1.0]) if slot >= 0 else Vectors.sparse(width, [], [])
+
+    return ordinal(df, column, table, "__slot").withColumn(out, one_slot("__slot")).drop("__slot")
 
 
 def dummies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from tabloom.operators.joins import attach
 from tabloom.operators.profile import class_counts
 
 SEED = 42
+TASK_ROWS = 1_000, 500_000    # rows that are worth a task of their own, and rows a task should not exceed
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = SEED) -> DataFrame:
@@ -24,6 +25,17 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = SEED) -> DataFrame:
     return df.where(hash_unit(named(key), seed) < margin).orderBy(hash_text(named(key), seed), named(key)).limit(n)
 
 
+def spread_rows(df: DataFrame, rows: int) -> DataFrame:
+    """The rows dealt evenly over all cores, for work that reads them many times.
+
+    Otherwise they stay in the few parts that a small file has, whatever the cores and the cost of a row. Rows are
+    dealt in turn, not by key, so repeated and missing keys weigh nothing.
+    """
+    least, most = TASK_ROWS
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(min(cores, rows // least), -(-rows // most), 1))
+
+
 def sample_share(df: DataFrame, share: float, key: str, seed: int = SEED) -> DataFrame:
     """About ``share`` of the rows, in one narrow pass."""
     return df.where(hash_unit(named(key), seed) < share)

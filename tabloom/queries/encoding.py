@@ -148,9 +148,10 @@ def polynomial_sql(x, factors):
 def onehot_sparse(spark, folder):
     """One-hot of a column of any number of values."""
     coded = E.one_hot_sparse(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), "o_custkey")
-    array = vector_to_array("one_hot")
-    return coded.select("o_orderkey", F.size(array).cast("bigint").alias("width"), (F.array_position(array, 1.0) - 1).alias("slot"),
-                        F.aggregate(array, F.lit(0.0), lambda t, x: t + x).cast("int").alias("filled"))
+    parts = coded.select("o_orderkey", F.unwrap_udt("one_hot").alias("v"))     # as an array every row would be as long as the dictionary
+    return parts.select("o_orderkey", F.col("v.size").cast("bigint").alias("width"),
+                        F.coalesce(F.get("v.indices", F.lit(0)), F.lit(-1)).cast("bigint").alias("slot"),
+                        F.aggregate("v.values", F.lit(0.0), lambda t, x: t + x).cast("int").alias("filled"))
 
 
 NORMAL_SHARES = "[" + ", ".join(f"{i}.0::DOUBLE / 99" for i in range(100)) + "]"

@@ -211,3 +211,29 @@ def test_repeats_inside_a_load(spark):
     new = spark.createDataFrame([("a", 2), ("a", 1), ("b", 5), ("c", 1)], "id string, v int")
     old = spark.createDataFrame([("c",)], "id string")
     assert sorted(map(tuple, only_new(new, old, "id").collect())) == [("a", 1), ("b", 5)]
+
+
+def test_sparse_one_hot_names_no_slots(spark):
+    df = spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "k string")
+    coded = E.one_hot_sparse(df, "k")
+    assert not coded.schema["one_hot"].metadata      # the encoder's names of all slots would pass through the driver
+    assert sorted((str(r.k), r.one_hot.size, r.one_hot.indices.tolist()) for r in coded.collect()) == [
+        ("None", 2, []), ("a", 2, [0]), ("b", 2, [1]), ("b", 2, [1])]
+
+
+def test_sparse_one_hot_query_makes_no_arrays(spark, tmp_path):
+    from tabloom.queries.encoding import onehot_sparse
+    spark.range(20).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    found = onehot_sparse(spark, str(tmp_path))
+    assert "vector_to_array" not in found._jdf.queryExecution().toString().lower() and "UDF(one_hot" not in found._jdf.queryExecution().toString()
+    assert sorted(map(tuple, found.collect())) == [(i, 7, i % 7, 1) for i in range(20)]
+
+
+def test_rows_are_spread_over_the_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(100_000).withColumn("same", F.lit(None).cast("string")).coalesce(1)
+    spread = M.spread_rows(rows, 100_000)
+    sizes = [r["n"] for r in spread.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == cores and max(sizes) < 1.2 * 100_000 / cores and sum(sizes) == 100_000
+    assert M.spread_rows(rows.limit(500), 500).rdd.getNumPartitions() == 1
+    assert M.spread_rows(rows, 500_000 * 100 + 1).rdd.getNumPartitions() == max(cores, 101)

@@ -9,6 +9,7 @@ each chunk begins, and then every chunk finds its records alone. What is left at
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from tabloom.session import work_folder
 
 CHUNK_BYTES = 1 << 22
+BATCH_BYTES = 1 << 22        # bytes handed to Python at a time; a batch of so many rows would hold all chunks of a task
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 CHUNK = ("path string, block bigint, number int, data binary, quotes bigint, depth_outside bigint, depth_inside bigint")
 PIECE = "path string, block bigint, number int, side int, data binary"
 WHOLE, TAIL, MIDDLE, HEAD = 0, 1, 2, 3      # records, and the begin, middle and end of one that goes over several chunks
@@ -25,6 +28,17 @@ FIRST, STRAY = 4, 5                         # the first record of a file, and th
 MARK = b"\xef\xbb\xbf"                       # of UTF-8, may stand at the start of a file
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Batches for Python bounded by bytes while a table is written."""
+    held = spark.conf.get(_BATCH_LIMIT, None)
+    spark.conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH_LIMIT) if held is None else spark.conf.set(_BATCH_LIMIT, held)
+
+
 def _chunker(separator: bytes, escapes: bool, limit: int):
     """Task that gathers neighbouring pieces of a file's byte range into chunks and counts quotes and brackets."""
     def unescaped(data: bytes) -> bytes:
@@ -72,7 +86,8 @@ def chunks_of(spark: SparkSession, path: str | list[str], separator: str, escape
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
         F.col("value").cast("binary").alias("data"))
     folder = work_folder(spark, "chunks")
-    lines.mapInArrow(_chunker(separator.encode(), escapes, chunk_bytes), CHUNK).write.parquet(folder)
+    with _small_batches(spark):
+        lines.mapInArrow(_chunker(separator.encode(), escapes, chunk_bytes), CHUNK).write.parquet(folder)
     return spark.read.schema(CHUNK).parquet(folder)
 
 
@@ -124,7 +139,7 @@ def _cutter(separator: int, level: int, escapes: bool, field: bytes = b""):
     def pieces(data: bytes, inside: int, depth: int, first: bool):
         plain = data.replace(b"\\\\", b"__").replace(b'\\"', b"__") if escapes else data
         raw = np.frombuffer(plain, dtype=np.uint8)
-        outside = (inside + np.cumsum(raw == quote)) % 2 == 0
+        outside = (np.cumsum(raw == quote, dtype=np.uint8) + np.uint8(inside)) % 2 == 0      # a byte keeps whether it is odd
         cut = (raw == separator) & outside
         start = len(MARK) if first and data.startswith(MARK) else 0
         fresh, over = first or not inside, False
@@ -168,7 +183,8 @@ def _pieces(chunks: DataFrame, separator: str, level: int, escapes: bool, field:
            .select("path", "block", "number", "inside", "depth", "data")
            .mapInArrow(_cutter(ord(separator), level, escapes, field.encode()), PIECE))
     folder = work_folder(spark, "pieces")
-    cut.write.partitionBy("side").parquet(folder)
+    with _small_batches(spark):
+        cut.write.partitionBy("side").parquet(folder)
     return spark.read.schema(PIECE).parquet(folder)
 
 

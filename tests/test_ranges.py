@@ -111,3 +111,28 @@ def test_json_ends(small_splits, tmp_path):
     mixed = R.read_json(small_splits, str(tmp_path / "mix"))
     assert sorted((r["i"], r["t"]) for r in mixed.collect()) == [(1, None), (2, None), (3, "[,"), (4, None), (5, "]")]
     assert mixed.where(F.col("t").isNotNull()).count() == 2
+
+
+def test_chunks_go_to_python_one_by_one(spark, tmp_path, monkeypatch):
+    sizes = spark.sparkContext.accumulator(0)
+    cutter = ranges._cutter
+
+    def watched(*args):
+        run = cutter(*args)
+
+        def outer(batches):
+            def each():
+                for batch in batches:
+                    sizes.add(batch.num_rows > 1)
+                    yield batch
+            return run(each())
+        return outer
+
+    monkeypatch.setattr(ranges, "_cutter", watched)
+    monkeypatch.setattr(ranges, "BATCH_BYTES", 20_000)
+    held = spark.conf.get(ranges._BATCH_LIMIT, None)
+    (tmp_path / "one.csv").write_text(written([[str(i), "x" * 100, "y"] for i in range(4000)]), encoding="utf-8")
+    first, others, stray = ranges.quoted_records(spark, str(tmp_path / "one.csv"), chunk_bytes=20_000)
+    assert (first.count(), others.count(), stray) == (1, 4000, [])
+    assert sizes.value == 0
+    assert spark.conf.get(ranges._BATCH_LIMIT, None) == held

@@ -10,6 +10,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tabloom.llm.common import id_and_text, map_arrow
@@ -19,10 +20,32 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6      # fixed values: kinds of pieces
 UNIGRAM, BPE = 1, 2                              # fixed values: kinds of models in the model file
 THREADS = 2
 REMEMBERED = 1 << 17          # parts after which a worker forgets those it has not met since the last time
+REMEMBERED_CHARS = 1 << 21    # and their characters
+SLICE_BYTES = 1 << 18         # text that is cut into parts at a time; a longer text stands alone
+BLOCK_PARTS = 1 << 13         # new parts encoded at a time: what the libraries return takes a hundred times their text
+BLOCK_CHARS = 1 << 17         # and their characters; a longer part stands alone
 PROBES = ["", " ", "  two  spaces  ", "\ta\n\nb\r\n", "café 日本語 \U0001f600 à́", "x" * 70,
           "<s> </s> <unk> <0x41>", "1234567890 3.14", f"{MARK}a{MARK}{MARK} b", " 　​\x00"]
 
 
+def _runs(sizes: Sequence[int], most: int, rows: int) -> Iterator[tuple[int, int]]:
+    """Starts and ends of runs of at most ``rows`` items that together have at most ``most``; a larger item is alone."""
+    start = total = 0
+    for k, size in enumerate(sizes):
+        if k > start and (total + size > most or k - start >= rows):
+            yield start, k
+            start, total = k, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def _blocks(parts: list[str]) -> Iterator[list[str]]:
+    """The parts in blocks bounded by number and characters."""
+    for a, b in _runs([len(p) for p in parts], BLOCK_CHARS, BLOCK_PARTS):
+        yield parts[a:b]
+
+
 class Pieces:
     """A SentencePiece model (byte pairs or unigram) rebuilt from its protobuf."""
 
@@ -60,6 +83,7 @@ class Pieces:
         self.identity = (MARK if self.prefix else "") if not (rule.precompiled_charsmap or rule.remove_extra_whitespaces) else None
         self._met: dict[str, bytes] = {}     # ids of the parts met lately
         self._older: dict[str, bytes] = {}   # and of those met before
+        self._chars = 0                      # of the parts met lately
         self._odd: set[str] = set()          # parts that sentencepiece encodes otherwise
         self._told: dict[str, str] = {}      # decoded text of the parts whose pieces don't spell them
         self.skipped = {i for i, k in enumerate(kinds) if k == CONTROL}
@@ -118,7 +142,7 @@ class Pieces:
     def encode(self, texts: Sequence[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids of every text, and whether the sentencepiece library gives the same.
 
-        Distinct parts that the worker hasn't met yet are encoded as one batch on several threads, and by the
+        Distinct parts that the worker hasn't met yet are encoded in bounded blocks on several threads, and by the
         sentencepiece library too.
         """
         return self.encode_parts(self.cut(texts))
@@ -129,31 +153,36 @@ class Pieces:
 
     def encode_parts(self, cut: Sequence[list[str]]) -> tuple[list[np.ndarray], list[bool]]:
         """What ``encode`` gives for texts that are cut already."""
-        if len(self._met) > REMEMBERED:
-            self._older, self._met = self._met, {}
+        if len(self._met) > REMEMBERED or self._chars > REMEMBERED_CHARS:
+            self._older, self._met, self._chars = self._met, {}, 0
             for kept in (self._odd, self._told):
                 for part in [p for p in kept if p not in self._older]:
                     kept.discard(part) if kept is self._odd else kept.pop(part)
-        met, older, odd, told = self._met, self._older, self._odd, self._told
+        met, older, odd = self._met, self._older, self._odd
         new = list(set(chain.from_iterable(cut)).difference(met))
+        self._chars += sum(map(len, new))
         if older:
             known = [p for p in new if p in older]
             met.update(zip(known, map(older.__getitem__, known)))
             new = [p for p in new if p not in older]
-        if new:
-            ids = self._ids(new)
-            odd.update(new[k] for k in self._differing(new, ids))
-            met.update((part, array("i", i).tobytes()) for part, i in zip(new, ids))
-            spelt = self._spelt.__getitem__
-            open_ = [k for k, (part, i) in enumerate(zip(new, ids)) if "".join(map(spelt, i)) != part]
-            if open_:
-                rows = [[i for i in ids[k] if i not in self.skipped] for k in open_]
-                for k, text in zip(open_, self.inner.decode_batch(rows, skip_special_tokens=False)):
-                    if text != new[k].replace(MARK, " "):
-                        told[new[k]] = text
+        for block in _blocks(new):
+            self._learn(block)
         return ([np.frombuffer(b"".join(map(met.__getitem__, c)), dtype=np.int32) for c in cut],
                 [not odd or odd.isdisjoint(c) for c in cut])
 
+    def _learn(self, new: list[str]) -> None:
+        """Remembers the ids of parts, which of them sentencepiece encodes otherwise, and what odd ones decode to."""
+        ids = self._ids(new)
+        self._odd.update(new[k] for k in self._differing(new, ids))
+        self._met.update((part, array("i", i).tobytes()) for part, i in zip(new, ids))
+        spelt = self._spelt.__getitem__
+        open_ = [k for k, (part, i) in enumerate(zip(new, ids)) if "".join(map(spelt, i)) != part]
+        if open_:
+            rows = [[i for i in ids[k] if i not in self.skipped] for k in open_]
+            for k, text in zip(open_, self.inner.decode_batch(rows, skip_special_tokens=False)):
+                if text != new[k].replace(MARK, " "):
+                    self._told[new[k]] = text
+
     def _ids(self, parts: list[str]) -> list[list[int]]:
         """Ids of every part; what is unknown to a model that scores pieces becomes bytes where it has them."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -222,25 +251,30 @@ def encode_documents(docs: DataFrame, model: str, threads: int = THREADS, id_col
     is false. A part is decoded in the same pass: pieces that spell it stand for it, all others go through the rebuilt
     decoder; a text that the model changes, or that holds the mark of a space itself, has no ``round_trip``.
 
-    Documents are independent: one pass, no shuffle, memory bounded by a batch. NULL text counts as empty and gives no
-    ids. NULL ids and repeated rows are returned as they are. An empty table gives an empty result.
+    Documents are independent: one pass, no shuffle. A batch is worked on in slices and its new parts in blocks, both
+    bounded by text, so a worker holds the model, the parts it remembers and a slice, or one longer text. NULL text
+    counts as empty and gives no ids. NULL ids and repeated rows are returned as they are. An empty table gives an empty
+    result.
     """
     rows = id_and_text(docs, id_column, text_column)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _load(model, threads)
-        for batch in batches:
-            texts = batch["text"].to_pylist()
-            cut = pieces.cut(texts)
-            ids, agreed = pieces.encode_parts(cut)
-            same = pieces.round_trips(texts, cut)
-            sizes = np.array([len(i) for i in ids], dtype=np.int64)
-            flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sizes),
-                 pa.array(same, pa.bool_()), pa.array(agreed, pa.bool_())],
-                ["doc_id", "ids", "n_tokens", "round_trip", "parity"])
+        for whole in batches:
+            lengths = pc.binary_length(whole["text"]).to_pylist()
+            for start, end in _runs(lengths, SLICE_BYTES, len(lengths)):
+                batch = whole.slice(start, end - start)
+                texts = batch["text"].to_pylist()
+                cut = pieces.cut(texts)
+                ids, agreed = pieces.encode_parts(cut)
+                same = pieces.round_trips(texts, cut)
+                sizes = np.array([len(i) for i in ids], dtype=np.int64)
+                flat = np.concatenate(ids)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sizes),
+                     pa.array(same, pa.bool_()), pa.array(agreed, pa.bool_())],
+                    ["doc_id", "ids", "n_tokens", "round_trip", "parity"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return map_arrow(rows, encode, f"doc_id {kind}, ids array<int>, n_tokens bigint, round_trip boolean, parity boolean")

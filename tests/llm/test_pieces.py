@@ -131,3 +131,66 @@ def test_round_trip_is_decoding(spark, tmp_path):
         got = {r.doc_id: (list(r.ids), r.round_trip) for r in encode_documents(docs, model).collect()}
         assert {i: same for i, (_, same) in got.items()} == {i: plain.decode(got[i][0]) == t for i, t in enumerate(rows)}
         assert not got[len(texts())][1]
+
+
+def test_new_parts_are_encoded_in_bounded_blocks():
+    from tabloom.llm import pieces as module
+    pieces, plain = Pieces(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    fast, handed = pieces.tokenizer.encode_batch_fast, []
+
+    class Noted:
+        def encode_batch_fast(self, parts, add_special_tokens):
+            handed.append(list(parts))
+            return fast(parts, add_special_tokens=add_special_tokens)
+    pieces.tokenizer = Noted()
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcde") for _ in range(2 * module.BLOCK_CHARS))
+    rows = [" ".join(f"{rng.randrange(1 << 40):x}" for _ in range(6000)) for _ in range(5)] + [long, "a b"]
+    ids, agreed = pieces.encode(rows)
+    assert [i.tolist() for i in ids] == plain.encode(rows) and all(agreed)
+    assert max(map(len, handed)) <= module.BLOCK_PARTS
+    assert all(sum(map(len, h)) <= module.BLOCK_CHARS or len(h) == 1 for h in handed)
+    assert len(pieces._met) > 30_000      # all were met, in several blocks
+    pieces.encode([long[1:]])             # many characters, though few parts, are forgotten as well
+    for k in range(8):
+        pieces.encode([f"{k}{long}"])
+    assert max(pieces._chars, sum(map(len, pieces._met))) <= module.REMEMBERED_CHARS + len(long) + 2
+
+
+def test_batches_are_cut_in_slices(spark, tmp_path):
+    """Batches are cut by text: what a worker is handed at a time doesn't grow with the batch."""
+    from tabloom.llm import pieces as module
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcde日") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    rows = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 800))) for _ in range(600)]
+    rows[300] = " ".join(rng.choice(words) for _ in range(module.SLICE_BYTES // 3))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").coalesce(1)
+    seen = str(tmp_path / "seen")
+    cut = Pieces.cut
+
+    def noted(self, texts):
+        with open(seen, "a") as f:
+            f.write(f"{len(texts)} {sum(len(t.encode()) for t in texts)}\n")
+        return cut(self, texts)
+
+    def load(path, threads):
+        pieces = Pieces(path, threads)
+        pieces.cut = noted.__get__(pieces)
+        return pieces
+    kept, encode = module.map_arrow, []
+    module.map_arrow = lambda df, work, schema: encode.append(work) or df
+    try:
+        encode_documents(docs, PATH)
+    finally:
+        module.map_arrow = kept
+    kept, module._load = module._load, load
+    try:
+        out = [b for b in encode[0](iter(docs.toArrow().to_batches()))]
+    finally:
+        module._load = kept
+    plain = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    assert [i for b in out for i in b["doc_id"].to_pylist()] == list(range(len(rows)))
+    assert [i for b in out for i in b["ids"].to_pylist()] == plain.encode(rows)
+    handed = [tuple(map(int, x.split())) for x in open(seen)]
+    assert len(handed) > 3 and all(size <= module.SLICE_BYTES or n == 1 for n, size in handed)
+    assert any(size > module.SLICE_BYTES for n, size in handed)

@@ -88,7 +88,8 @@ def _home(x: Column, syndrome: Column) -> Column:
 def linked(fps: DataFrame, max_bits: int = 2, apart: str | None = None) -> DataFrame:
     """``draw`` and pairs ``a`` < ``b`` of its distinct fingerprints ``fp`` that differ in 1 to ``max_bits`` bits (5 at most).
 
-    With the name of a column in ``apart``, only pairs of fingerprints that differ in it are returned.
+    With the name of a column in ``apart``, only fingerprints that differ in it are linked, and the pairs of its values
+    are returned as ``a`` and ``b``, once for every link.
 
     One half of the two fingerprints differs in at most ``max_bits // 2`` bits. 31 bits of each half are covered by
     the words of the Hamming code: every value has its home anchor within one bit. Fingerprints are replicated to the
@@ -100,7 +101,7 @@ def linked(fps: DataFrame, max_bits: int = 2, apart: str | None = None) -> DataF
     if not 0 <= max_bits <= 5:
         raise ValueError("max_bits is 0 to 5")
     if max_bits == 0:
-        return fps.select("draw", F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
+        return fps.select(*([] if apart else ["draw"]), *(F.col(apart or "fp").alias(c) for c in "ab")).where("false")
 
     def half(fp: str, slot: Column) -> Column:
         start = F.when(slot % 2 == 0, HALVES[0]).otherwise(HALVES[1])
@@ -131,6 +132,8 @@ def linked(fps: DataFrame, max_bits: int = 2, apart: str | None = None) -> DataF
         between = F.when(F.bit_count(gap) == 2, a.bitwiseXOR(gap.bitwiseAND(-gap))).otherwise(a)
         here = F.col("anchor").bitwiseAND(F.lit((1 << CODE_BITS) - 1)) == _home(between, _syndrome(between))
         pairs = side(replicas, "anchor", "a").join(far, "anchor").where(close & here)
+    if apart:
+        return pairs.select(F.col("a_group").alias("a"), F.col("b_group").alias("b"))
     return pairs.select((slot / 2).cast("int").alias("draw"), "a", "b").distinct()
 
 
@@ -170,27 +173,32 @@ def drop_near_copies(docs: DataFrame, words: int = 5, max_bits: int = 5, draws:
     only pairs of different groups are linked, so a large group is not linked over and over. The first two draws are linked at
     one bit, then two, three and all: a fingerprint has at most 64 others within one bit, and where a group is so dense that
     many pairs are within a few bits, the steps before have joined them. Documents without id stay.
+
+    Documents of one fingerprint are of one group from the first step of their draw on. Later steps of the draw therefore
+    carry the group with the fingerprint, and documents get theirs from it when the next draws begin: every step more costs
+    the driver memory for its plans, stages and threads, whatever the number of rows.
     """
     left = stored(fingerprints(docs, words, draws, id_column, text_column).where("doc_id IS NOT NULL"), "fingerprints")
     left = left.withColumn("root", F.col("doc_id"))
     gone = None
     starts = [0, *range(FIRST_DRAWS, draws, NEXT_DRAWS)]
-    steps = [(0, min(FIRST_DRAWS, draws), bits) for bits in FIRST_BITS if bits < max_bits]
-    steps += [(first, last, max_bits) for first, last in zip(starts, [*starts[1:], draws])]
-    for number, (first, last, bits) in enumerate(steps, 1):
+    for first, last in zip(starts, [*starts[1:], draws]):
         each = left.select("root", F.posexplode(F.slice("fps", first + 1, last - first)).alias("draw", "fp"))
         classes = stored(each.groupBy("draw", "fp").agg(F.min("root").alias("least")), "fingerprint-classes")
-        same = each.join(classes, ["draw", "fp"]).where("root <> least").select(
+        links = each.join(classes, ["draw", "fp"]).where("root <> least").select(
             F.col("root").alias("a"), F.col("least").alias("b"))
-        ends = [classes.select("draw", F.col("fp").alias(c), F.col("least").alias(f"{c}_id")) for c in "ab"]
-        pairs = stored(linked(classes, bits, "least"), "fingerprint-links")
-        near = pairs.join(ends[0], ["draw", "a"]).join(ends[1], ["draw", "b"]).select(
-            F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-        copies = stored(components(same.unionByName(near)).where("node <> root"), "near-copies")
-        gone = copies.select("node") if gone is None else gone.unionByName(copies.select("node"))
-        if number < len(steps):
+        steps = [*(bits for bits in FIRST_BITS if bits < max_bits and not first), max_bits]
+        for number, bits in enumerate(steps, 1):
+            near = linked(classes, bits, "least")
+            copies = components(near if number > 1 else links.unionByName(near)).where("node <> root")
+            gone = copies.select("node") if gone is None else gone.unionByName(copies.select("node"))
             # by the group so far, not by the document: a later step links only the roots of the groups before it
-            lower = copies.select(F.col("node").alias("root"), F.col("root").alias("lower"))
-            left = stored(left.join(lower, "root", "left").select(
-                "doc_id", "fps", F.coalesce("lower", "root").alias("root")), "fingerprints")
+            lower = copies.select(F.col("node").alias("least"), F.col("root").alias("lower"))
+            classes = classes.join(lower, "least", "left").select("draw", "fp", F.coalesce("lower", "least").alias("least"))
+            if number < len(steps):
+                classes = stored(classes, "fingerprint-classes")
+        if last < draws:
+            groups = classes.where("draw = 0").select(F.col("fp").alias("head"), F.col("least").alias("root"))
+            left = stored(left.drop("root").join(groups, F.col("fps")[first] == F.col("head")).select(
+                "doc_id", "fps", "root"), "fingerprints")
     return by_id(docs, gone, "left_anti", id_column)

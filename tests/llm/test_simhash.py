@@ -4,7 +4,9 @@ import random
 
 import xxhash
 
+from tabloom.llm import components as components_module
 from tabloom.llm import simhash
+from tabloom.llm.common import stored
 from tabloom.llm.components import components
 from tabloom.llm.simhash import drop_near_copies, fingerprint, linked, near_groups
 
@@ -170,3 +172,26 @@ def test_groups_are_kept_between_steps(spark, monkeypatch):
     monkeypatch.setattr(simhash, "fingerprints", lambda *args: rows)
     docs = spark.createDataFrame([(i, "x") for i in range(3)], "doc_id bigint, text string")
     assert [r.doc_id for r in drop_near_copies(docs).collect()] == [0]
+
+
+def test_steps_store_few_tables(spark, monkeypatch):
+    # what the driver holds grows with the number of tables, plans and stages, not with the rows
+    made = []
+
+    def counted(df, name):
+        made.append(name)
+        return stored(df, name)
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    monkeypatch.setattr(components_module, "stored", counted)
+    stars = spark.createDataFrame([(1, 2), (3, 1), (7, 9), (9, 7), (7, 9)], "a bigint, b bigint")
+    assert sorted(map(tuple, components(stars).collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)]
+    assert len(made) == 2
+    made.clear()
+    far = [[(0x0123456789ABCDEF * (7 * i + 3 * d + 1) ^ i << 40) & 0x7FFFFFFFFFFFFFFF for d in range(14)] for i in range(6)]
+    far[2][0], far[2][12], far[5][1], far[5][7] = far[0][0], far[1][12], far[4][1] ^ 7, far[3][7] ^ 31
+    rows = spark.createDataFrame(list(enumerate(far)), "doc_id bigint, fps array<bigint>")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *args: rows)
+    docs = spark.createDataFrame([(i, "x") for i in range(6)], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == [0, 3]
+    assert len(made) <= 30
